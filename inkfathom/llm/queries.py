@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import simhash, urlfilter
-from inkfathom.llm.common import table
+from inkfathom.llm import bpe, langid, licenses, media, packing, simhash, toxicity, urlfilter
+from inkfathom.llm.common import fold, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out()
+    found = langid.identify(table(spark, sf_dir, "documents"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +26,85 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).drop("by_pattern")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold("doc_id", 3) == 1
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+#: The table has no paths, so the query gives each document one: every 50th is a
+#: licence file, at one of three levels.
+_PATH = """
+CASE WHEN doc_id % 50 <> 0 THEN concat(source, '/', lang, '/', cast(doc_id % 97 AS varchar(9)), '/doc-', cast(doc_id AS varchar(20)), '.txt')
+     WHEN doc_id % 3 = 0 THEN concat(source, '/LICENSE-', cast(doc_id AS varchar(20)), '.txt')
+     WHEN doc_id % 3 = 1 THEN concat(source, '/', lang, '/LICENSE-', cast(doc_id AS varchar(20)), '.txt')
+     ELSE concat(source, '/', lang, '/', cast(doc_id % 97 AS varchar(9)), '/LICENSE-', cast(doc_id AS varchar(20)), '.txt') END"""
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", F.expr(_PATH))
+
+
+def _license_sql() -> str:
+    templates = ", ".join(
+        f"({i}, '{name}', [{', '.join(repr(w) for w in ws)}])" for i, (name, ws) in enumerate(licenses.template_words())
+    )
+    word, cue = licenses.WORD, licenses.CUE
+    return f"""
+WITH templates(t, license, words) AS (VALUES {templates}),
+vocab AS (SELECT DISTINCT unnest(words) AS w FROM templates),
+files AS (SELECT doc_id, {_PATH} AS path, text FROM documents),
+placed AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, text FROM files),
+lines AS (
+  SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM placed WHERE regexp_matches(lower(text), '{cue}')),
+segs AS (
+  SELECT row_number() OVER () AS seg, doc_id, path, list_distinct(regexp_extract_all(lower(line), '{word}', 1)) AS words
+  FROM lines WHERE regexp_matches(lower(line), '{cue}')),
+total AS (SELECT count(*) AS n FROM segs),
+seg_words AS (SELECT seg, unnest(words) AS w FROM segs),
+df AS (SELECT w, count(*) AS n FROM seg_words WHERE w IN (SELECT w FROM vocab) GROUP BY w),
+idf AS (
+  SELECT w, power(ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1, 2) AS q FROM vocab CROSS JOIN total LEFT JOIN df USING (w)),
+seg_norm AS (
+  SELECT seg, sqrt(sum(coalesce(q, power(ln(1 + total.n) + 1, 2)))) AS norm
+  FROM seg_words CROSS JOIN total LEFT JOIN idf USING (w) GROUP BY seg),
+tw AS (SELECT t, license, unnest(words) AS w FROM templates),
+t_norm AS (SELECT t, sqrt(sum(q)) AS norm FROM tw JOIN idf USING (w) GROUP BY t),
+dots AS (
+  SELECT seg, t, license, sum(q) AS dot FROM seg_words JOIN tw USING (w) JOIN idf USING (w) GROUP BY seg, t, license),
+scored AS (
+  SELECT doc_id, license, round(dot / (s.norm * n.norm), 9) AS score
+  FROM dots JOIN seg_norm s USING (seg) JOIN t_norm n USING (t) JOIN segs USING (seg)),
+own AS (
+  SELECT doc_id, max(score) AS score, arg_max(license, (score, license)) AS license
+  FROM scored WHERE score >= {licenses.THRESHOLD} GROUP BY doc_id),
+given AS (
+  SELECT dir, arg_max({{'score': score, 'license': license, 'path': path}}, (score, license, path)) AS g
+  FROM placed JOIN own USING (doc_id)
+  WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}') GROUP BY dir),
+nearest AS (
+  SELECT dir, arg_max(g, length(at_dir)) AS g
+  FROM (SELECT DISTINCT dir FROM placed) d
+  JOIN (SELECT dir AS at_dir, g FROM given) ON at_dir = '' OR dir = at_dir OR starts_with(dir, at_dir || '/')
+  GROUP BY dir)
+SELECT p.doc_id, p.path, coalesce(o.license, g.license) AS license, coalesce(o.score, g.score) AS score,
+  CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN g IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.doc_id IS NOT NULL THEN p.path ELSE g.path END AS licensed_by
+FROM placed p LEFT JOIN own o USING (doc_id) LEFT JOIN nearest USING (dir)"""
+
+
 def _url_sql() -> str:
     q = "'"
     fits = " ".join(
@@ -45,8 +130,14 @@ FROM ruled"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
+    "op6_media_columns": op6_media_columns,
+    "op7_bpe": op7_bpe,
+    "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": _url_sql()}
+ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op10_license_scan": _license_sql()}
