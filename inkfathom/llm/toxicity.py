@@ -4,8 +4,9 @@ Positives are texts confirmed as toxic; the unlabelled texts are drawn from all
 training rows, toxic ones among them. A linear model in numpy minimises the
 risk  pi R_p+ + max(0, R_u- - pi R_p-)  with the class prior pi taken from the
 labels; where the second part turns negative, its gradient is turned round.
-Features say which hashed 5- and 6-grams of letters, with the words' edges, a
-text holds; those kept are clearly more usual among positives.
+A feature is how often a text has a hashed 5- or 6-gram of letters, with the
+words' edges; those kept are clearly more usual among positives. The number of
+words is one more feature, so that chance finds in a long text weigh little.
 
 Both training samples are bounded (``POSITIVES``, ``UNLABELLED``, in
 expectation) and drawn by a hash of the id.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,36 +31,42 @@ from pyspark.sql import functions as F
 from inkfathom.llm.common import map_batches
 from inkfathom.llm.ngrams import hashed, letters
 
-BITS = 18
+BITS = 22
 ORDERS = (5, 6)
 POSITIVES = 2000
 UNLABELLED = 6000
-#: A kept feature is so many times as usual among positives, and in so many of them.
-LIFT, SUPPORT, KEPT = 3.0, 8, 2000
+#: A feature of toxic texts alone is 1/prior times as usual among positives as
+#: among unlabelled texts. Kept are those of LIFT of that or more, whose count is
+#: DEVIATIONS over what the unlabelled texts make likely; the KEPT most telling.
+LIFT, DEVIATIONS, KEPT = 0.6, 4.0, 400
 THRESHOLD = 0.7
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct buckets of the whole text."""
-    seen = np.zeros(1 << BITS, bool)
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of the whole text, their counts, and the number of words."""
+    found, words = [], 0
     for codes in letters(text or ""):
-        for n in ORDERS:
-            seen[hashed(codes, n, BITS, inner=True)] = True
-    return np.flatnonzero(seen)
+        found += [hashed(codes, n, BITS, inner=True) for n in ORDERS]
+        words += int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    return *np.unique(np.concatenate(found), return_counts=True), words
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4):
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3):
     """Weights and bias of least non-negative risk under the logistic loss."""
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        gp, gu = p @ w + b, u @ w + b
+        w32 = w.astype(np.float32)  # the matrices are not to be copied
+        gp, gu = (p @ w32).astype(float) + b, (u @ w32).astype(float) + b
         sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         up, uu = prior * (sp - 1) / len(p), su / len(u)
         over = prior * sp / len(p)
         rp, ru = (up - over, uu) if negative >= 0 else (over, -uu)
-        gw, gb = p.T @ rp + u.T @ ru + decay * w, rp.sum() + ru.sum()
+        gw = rp.astype(np.float32) @ p + ru.astype(np.float32) @ u + decay * w
+        gb = rp.sum() + ru.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
@@ -69,50 +77,78 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: flo
 
 @dataclass
 class Model:
+    bucket: np.ndarray
     weight: np.ndarray
+    per_word: float
     bias: float
 
+    @cached_property
+    def column(self) -> np.ndarray:
+        """The weight's place for each bucket, -1 for none."""
+        column = np.full(1 << BITS, -1, np.int16)
+        column[self.bucket] = np.arange(len(self.bucket))
+        return column
+
     def score(self, text: str | None) -> float:
-        g = self.bias + float(self.weight[features(text)].sum())
+        g = self.bias
+        for codes in letters(text or ""):
+            g += self.per_word * int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
+            for n in ORDERS:
+                c = self.column[hashed(codes, n, BITS, inner=True)]
+                g += float(self.weight[c[c >= 0]].sum())
         return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
 
 
-def _rows(found: list[np.ndarray], column: np.ndarray, width: int) -> np.ndarray:
-    dense = np.zeros((len(found), width), np.float32)
-    for i, f in enumerate(found):
-        c = column[f]
-        dense[i, c[c >= 0]] = 1
+Text = tuple[np.ndarray, np.ndarray, int]
+#: Words to a unit of the length feature; occurrences in a text that count for the choice of features.
+UNIT, CLIP = 100.0, 4
+
+
+def _rows(found: list[Text], column: np.ndarray, width: int) -> np.ndarray:
+    dense = np.zeros((len(found), width + 1), np.float32)
+    for i, (bucket, count, words) in enumerate(found):
+        c = column[bucket]
+        dense[i, c[c >= 0]] = count[c >= 0]
+        dense[i, width] = words / UNIT
     return dense
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+def fit(positive: list[Text], unlabelled: list[Text], prior: float) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(np.zeros(1 << BITS), -50.0)
-    np_, nu = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for f in positive:
-        np_[f] += 1
-    for f in unlabelled:
-        nu[f] += 1
-    lift = (np_ / len(positive)) / ((nu + 1) / len(unlabelled))
-    support = max(2, min(SUPPORT, len(positive) // 20))
-    good = np.flatnonzero((lift >= LIFT) & (np_ >= support))
-    good = np.sort(good[np.argsort(-np_[good] * np.log(lift[good]), kind="stable")[:KEPT]])
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, -50.0)
+    texts, times = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
+    for k, group in enumerate((positive, unlabelled)):
+        for bucket, count, _ in group:
+            texts[k, bucket] += 1
+            times[k, bucket] += np.minimum(count, CLIP)
+    share = len(positive) / len(unlabelled)
+    likely = (texts[1] + 1) * share
+    excess = (texts[0] - likely) / np.sqrt(likely + 1)
+    good = np.flatnonzero((times[0] * prior >= LIFT * (times[1] + 1) * share) & (excess >= DEVIATIONS))
+    good = np.sort(good[np.argsort(-excess[good], kind="stable")[:KEPT]])
     column = np.full(1 << BITS, -1)
     column[good] = np.arange(len(good))
     w, b = nnpu(_rows(positive, column, len(good)), _rows(unlabelled, column, len(good)), prior)
-    weight = np.zeros(1 << BITS)
-    weight[good] = w
-    return Model(weight, b)
+    return Model(good, w[:-1], w[-1] / UNIT, b)
 
 
-def _collect(texts: DataFrame) -> list[np.ndarray]:
+def _collect(texts: DataFrame) -> list[Text]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t.as_py()).astype(np.int32) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["at"])
-
-    got = map_batches(texts.select("text"), run, "at array<int>").toArrow()
-    return [x.values.to_numpy() for x in got["at"]]
+            found = list(zip(*(features(t.as_py()) for t in b.column("text"))))
+            bucket, count, words = found if found else ((), (), ())
+            cols = [
+                pa.array([x.astype(np.int32) for x in bucket], pa.list_(pa.int32())),
+                pa.array([np.minimum(x, 32767).astype(np.int16) for x in count], pa.list_(pa.int16())),
+                pa.array(words, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "times", "words"])
+
+    got = map_batches(texts.select("text"), run, "bucket array<int>, times array<smallint>, words bigint").toArrow()
+    return [
+        (b.values.to_numpy(), t.values.to_numpy(), w.as_py())
+        for b, t, w in zip(got["bucket"], got["times"], got["words"])
+    ]
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
