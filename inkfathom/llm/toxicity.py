@@ -5,8 +5,8 @@ training rows, toxic ones among them. A linear model in numpy minimises the
 risk  pi R_p+ + max(0, R_u- - pi R_p-)  with the class prior pi taken from the
 labels; where the second part turns negative, its gradient is turned round.
 A feature is how often a text has a hashed 5- or 6-gram of letters, with the
-words' edges; those kept are clearly more usual among positives. The number of
-words is one more feature, so that chance finds in a long text weigh little.
+words' edges; those kept are clearly more usual among positives. The number
+of words and its logarithm are features too, as chance finds grow with the text.
 
 Both training samples are bounded (``POSITIVES``, ``UNLABELLED``, in
 expectation) and drawn by a hash of the id.
@@ -53,8 +53,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return *np.unique(np.concatenate(found), return_counts=True), words
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3):
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.3):
     """Weights and bias of least non-negative risk under the logistic loss."""
+    decay /= len(p)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -79,7 +80,7 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: flo
 class Model:
     bucket: np.ndarray
     weight: np.ndarray
-    per_word: float
+    length: np.ndarray
     bias: float
 
     @cached_property
@@ -90,32 +91,37 @@ class Model:
         return column
 
     def score(self, text: str | None) -> float:
-        g = self.bias
+        g, words = self.bias, 0
         for codes in letters(text or ""):
-            g += self.per_word * int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
+            words += int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
             for n in ORDERS:
                 c = self.column[hashed(codes, n, BITS, inner=True)]
                 g += float(self.weight[c[c >= 0]].sum())
+        g += float(self.length @ extent(words))
         return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
 
 
+def extent(words: int) -> np.ndarray:
+    return np.array([words / 100, np.log1p(words)])
+
+
 Text = tuple[np.ndarray, np.ndarray, int]
-#: Words to a unit of the length feature; occurrences in a text that count for the choice of features.
-UNIT, CLIP = 100.0, 4
+#: Occurrences in a text that count for the choice of features.
+CLIP = 4
 
 
 def _rows(found: list[Text], column: np.ndarray, width: int) -> np.ndarray:
-    dense = np.zeros((len(found), width + 1), np.float32)
+    dense = np.zeros((len(found), width + 2), np.float32)
     for i, (bucket, count, words) in enumerate(found):
         c = column[bucket]
         dense[i, c[c >= 0]] = count[c >= 0]
-        dense[i, width] = words / UNIT
+        dense[i, width:] = extent(words)
     return dense
 
 
 def fit(positive: list[Text], unlabelled: list[Text], prior: float) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, -50.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(2), -50.0)
     texts, times = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
     for k, group in enumerate((positive, unlabelled)):
         for bucket, count, _ in group:
@@ -129,7 +135,7 @@ def fit(positive: list[Text], unlabelled: list[Text], prior: float) -> Model:
     column = np.full(1 << BITS, -1)
     column[good] = np.arange(len(good))
     w, b = nnpu(_rows(positive, column, len(good)), _rows(unlabelled, column, len(good)), prior)
-    return Model(good, w[:-1], w[-1] / UNIT, b)
+    return Model(good, w[:-2], w[-2:], b)
 
 
 def _collect(texts: DataFrame) -> list[Text]:
