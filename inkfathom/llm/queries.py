@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import bpe, langid, licenses, media, packing, simhash, toxicity, urlfilter
+from inkfathom.llm import bpe, langid, licenses, lm, media, packing, simhash, toxicity, urlfilter
 from inkfathom.llm.common import fold, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold("doc_id", 5) == 1
+    return lm.score_texts(table(spark, sf_dir, "documents"), ~out, keep=[out.alias("held_out")])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out()
     found = langid.identify(table(spark, sf_dir, "documents"), ~out)
@@ -130,6 +135,7 @@ FROM ruled"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
