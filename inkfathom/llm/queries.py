@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import bpe, langid, licenses, lm, media, packing, simhash, toxicity, urlfilter
+from inkfathom.llm import bpe, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
 from inkfathom.llm.common import fold, table
 
 
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.join(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -137,6 +141,7 @@ FROM ruled"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
+    "op3_embedding_join": op3_embedding_join,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_media_columns": op6_media_columns,

@@ -164,6 +164,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, run, "doc_id bigint, fp bigint")
 
 
+def fingerprint_texts(texts: DataFrame, words: int = 4) -> DataFrame:
+    """__text and its fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column("__text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("__text"), pa.array(fps)], names=["__text", "fp"])
+
+    return map_batches(texts.select("__text"), run, "__text string, fp bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,7 +184,8 @@ def near_duplicates(
     blocks: int = 6,
     tree_size: int = 2048,
 ) -> DataFrame:
-    """doc_id, fp and component_id: the least id reachable by links."""
+    """doc_id, fp, component_id (the least id reachable by links) and root (the
+    group's own key, known without any id)."""
     prints = spool(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius, blocks, tree_size))
@@ -181,9 +193,24 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        "fp", "component_id"
+        "fp", "component_id", "root"
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """One row of each near-duplicate group: of its least id, or any if none has an id."""
+    found = spool(near_duplicates(docs, id_col, text_col, **settings), "near")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
+    nameless = docs.where(F.col(id_col).isNull())
+    roots = found.where("component_id is null").select("fp", "root").distinct()
+    if roots.isEmpty():
+        return kept
+    own = nameless.withColumn("__text", F.coalesce(text_col, F.lit("")))
+    texts = fingerprint_texts(own.select("__text").distinct(), settings.get("words", 4))
+    picked = own.join(texts, "__text").join(roots, "fp").dropDuplicates(["root"])
+    return kept.unionByName(picked.select(*docs.columns))
 
 
 def as_hex(column: str):
