@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from inkfathom.registry import ORACLES, QUERIES
+
+for _module in ("search",):
+    import_module(f"inkfathom.plans.{_module}")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 ENTRY = "rrf_weighted_fields"
+
+__all__ = ["ENTRY", "ORACLES", "QUERIES"]
