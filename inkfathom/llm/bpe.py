@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 #: A blank inside a run of white space that is one word; else each blank begins a word.
 _INNER_BLANK = re.compile(r"(?<=\s) (?=\s|\Z)")
-_CACHED_PIECES = 400_000
+_CACHED_PIECES, _CACHED_WORDS = 1_000_000, 500_000
 _CACHED_PAIRS = 1_000_000
 _LONGEST_CACHED = 48
 _NEVER = 1 << 60
@@ -57,6 +58,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -81,6 +86,8 @@ class Codec:
         self._split = regex.compile(WORD)
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self._build(plain)
+        self._moves: dict[int, int] = {}
+        self._endings: list[tuple[tuple[int, int], ...] | None] = [None] * len(self._goto)
         self._fit: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
@@ -164,34 +171,42 @@ class Codec:
 
     # -- encoding ----------------------------------------------------------
     def encode_word(self, word: bytes) -> list[int]:
-        token, fit, last, at = self.token, self._fit, [], 0
+        moves, endings, fit, last, lengths, at = self._moves, self._endings, self._fit, [], [], 0
         for n, byte in enumerate(word):
-            at = self._step(at, byte)
-            for t in self._suffixes[at]:
-                before = n - len(token[t])
+            key = at << 8 | byte
+            at = moves.get(key)
+            if at is None:
+                at = moves[key] = self._step(key >> 8, byte)
+            ends = endings[at]
+            if ends is None:
+                ends = endings[at] = tuple((t, len(self.token[t])) for t in self._suffixes[at] if self.whole(t))
+            for t, size in ends:
+                before = n - size
                 if before < 0:
-                    if self.whole(t):
-                        break
-                elif (ok := fit.get(last[before] << 32 | t)) or (ok is None and self.compatible(last[before], t)):
-                    if self.whole(t):
-                        break
+                    break
+                pair = last[before] << 32 | t
+                ok = fit.get(pair)
+                if ok or (ok is None and self.compatible(last[before], t)):
+                    break
             else:
                 raise ValueError(f"no token ends {word[: n + 1]!r}")
             last.append(t)
-        ids, n = [], len(word)
-        while n:
-            ids.append(last[n - 1])
-            n -= len(token[last[n - 1]])
-        return ids[::-1]
+            lengths.append(size)
+        ids, n = [], len(word) - 1
+        while n >= 0:
+            ids.append(last[n])
+            n -= lengths[n]
+        ids.reverse()
+        return ids
 
     def _words_of(self, text: str) -> bytes:
         out, kept = [], self._words
-        for w in self._split.findall(text):
+        for w in (text,) if text[1:].isalpha() and text[0] in " " else self._split.findall(text):
             got = kept.get(w)
             if got is None:
-                got = np.array(self.encode_word(w.encode()), "<u4").tobytes()
+                got = packed(self.encode_word(w.encode()))
                 if len(w) <= _LONGEST_CACHED:
-                    if len(kept) >= _CACHED_PIECES:
+                    if len(kept) >= _CACHED_WORDS:
                         kept.clear()
                     kept[w] = got
             out.append(got)

@@ -28,14 +28,16 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.bpe import Codec, codec, default_path
+from inkfathom.llm.bpe import WORD, Codec, default_path, packed
 from inkfathom.llm.common import map_batches
 
 SIZE = 1024
@@ -116,6 +118,26 @@ def cuts(place: np.ndarray, penalty: np.ndarray, size: int, last: bool) -> np.nd
     return np.array(found[::-1], np.int64)
 
 
+class FastCodec(Codec):
+    """The same ids; the words that are in no cache go to a native encoder."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        ranks = {t: i for i, t in enumerate(self.token) if i not in self.special.values()}
+        self._native = tiktoken.Encoding("file", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+
+    def _build(self, plain: dict[str, int]) -> None:
+        self._goto = []
+
+    def _words_of(self, text: str) -> bytes:
+        return packed(self._native.encode_ordinary(text))
+
+
+@lru_cache(2)
+def fast_codec(path: str) -> FastCodec:
+    return FastCodec(path)
+
+
 class Packer:
     """Takes documents in order and gives rows of pieces."""
 
@@ -178,7 +200,7 @@ def pack(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = fast_codec(path)
         packer = Packer(sentence_ends(c), size, TaskContext.get().partitionId() << 32)
         end = np.array([END_ID], "<u4")
         for b in batches:
