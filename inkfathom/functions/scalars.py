@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a query's type is told by, in order of precedence.
 CLI = (r"\bweka\s+\w+", r"--[a-z][\w-]+", r"\s-[a-z]\b", r"\bcli\b", r"\bcommand\b", r"\brun\b.*\bcommand")
@@ -200,7 +201,7 @@ def filename_title(name: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Compatibility-decomposed ASCII letters and digits joined by hyphens; ``section`` if none is left."""
     ascii_ = text.fillna("").map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
@@ -210,7 +211,7 @@ def slug(text: pd.Series) -> pd.Series:
 def truncate_bytes(limit: int):
     """A UDF: the longest prefix of whole characters of at most ``limit`` UTF-8 bytes."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else t.encode()[:limit].decode("utf-8", "ignore"))
 

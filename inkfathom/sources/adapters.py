@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfathom.shipping import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # A union of children that are hash-partitioned alike may else stand for their
     # partitioning although adaptive coalescing has cut each child differently;
     # an aggregate above, planned without an exchange, then splits groups.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
