@@ -257,7 +257,7 @@ def expansion_fuse_gate(spark: SparkSession, sf: str) -> DataFrame:
     gated = fusion.gate(both, F.col("score") >= 0.3, ["query_id"])
     return gated.select(
         "query_id", "id",
-        F.round(fusion.expansion_score(F.col("score"), F.col("structural"), F.col("rank")), 9).alias("fused"),
+        F.round(fusion.expansion_score(F.col("score"), F.col("structural"), F.col("rank")), 6).alias("fused"),
         F.round(fusion.neighbour_score(F.col("score")), 9).alias("neighbour"),
     )
 
