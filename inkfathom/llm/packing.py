@@ -60,13 +60,14 @@ def sentence_ends(c: Codec) -> np.ndarray:
     return np.array([b"\n" in t or t.rstrip(b"\"')]") .endswith((b".", b"!", b"?")) for t in c.token], bool)
 
 
-def candidates(n: int, doc_ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(n: int, doc_ends: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Places in (0, n] where the stream may be cut, and their penalties."""
     place = np.union1d(doc_ends, sentences)
     place = np.union1d(place, [0, n])
-    gaps = np.flatnonzero(np.diff(place) > 2 * GRID)
+    grid = max(1, min(GRID, size // 4))
+    gaps = np.flatnonzero(np.diff(place) > 2 * grid)
     if len(gaps):
-        place = np.union1d(place, np.concatenate([np.arange(place[g] + GRID, place[g + 1], GRID) for g in gaps]))
+        place = np.union1d(place, np.concatenate([np.arange(place[g] + grid, place[g + 1], grid) for g in gaps]))
     penalty = np.full(len(place), HARD_CUT)
     penalty[np.isin(place, sentences, assume_unique=True)] = SENTENCE_CUT
     penalty[np.isin(place, doc_ends, assume_unique=True) | (place == n)] = 0.0
@@ -159,7 +160,7 @@ class Packer:
         ids = np.concatenate(self.pending)
         begins = np.array([d[2] for d in self.docs])
         doc_ends = begins + [d[1] for d in self.docs]
-        place, penalty = candidates(len(ids), doc_ends, np.flatnonzero(self.ends[ids]) + 1)
+        place, penalty = candidates(len(ids), doc_ends, np.flatnonzero(self.ends[ids]) + 1, self.size)
         windows = cuts(place, penalty, self.size, last)
         done = int(windows[-1])
         edges = np.union1d(np.concatenate(([0], doc_ends[doc_ends < done])), windows)

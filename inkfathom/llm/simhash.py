@@ -207,10 +207,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     roots = found.where("component_id is null").select("fp", "root").distinct()
     if roots.isEmpty():
         return kept
-    own = nameless.withColumn("__text", F.coalesce(text_col, F.lit("")))
+    own = nameless.select(F.struct("*").alias("__row"), F.coalesce(text_col, F.lit("")).alias("__text"))
     texts = fingerprint_texts(own.select("__text").distinct(), settings.get("words", 4))
     picked = own.join(texts, "__text").join(roots, "fp").dropDuplicates(["root"])
-    return kept.unionByName(picked.select(*docs.columns))
+    return kept.unionByName(picked.select("__row.*"))
 
 
 def as_hex(column: str):
