@@ -145,26 +145,31 @@ def train(rows: DataFrame, id_col: str, sample: int = SAMPLE, centroids: int = C
 
     got = map_batches(drawn.select("text", "lang"), vectors, "lang string, at array<int>, value array<float>, size bigint")
     got = got.toArrow()
-    names = np.array(got["lang"].to_pylist(), object)
-    dense = np.zeros((len(names), 1 << BITS), np.float32)
-    for row, (at, value) in enumerate(zip(got["at"], got["value"])):
-        dense[row, at.values.to_numpy()] = value.values.to_numpy()
-    size = got["size"].to_numpy()
-    useful = size > 0
+    names, size = np.array(got["lang"].to_pylist(), object), got["size"].to_numpy()
+
+    def dense(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of one language's rows with letters, and their sizes."""
+        own = np.flatnonzero((names == lang) & (size > 0))
+        x = np.zeros((len(own), 1 << BITS), np.float32)
+        for row, i in enumerate(own.tolist()):
+            x[row, got["at"][i].values.to_numpy()] = got["value"][i].values.to_numpy()
+        return x, size[own]
+
     owner, found = [], []
     for k, g in enumerate(langs):
-        own = dense[(names == g) & useful]
+        own, _ = dense(g)
         if len(own):
             c = kmeans(own, centroids)
             found.append(c)
             owner += [k] * len(c)
-    centres = np.concatenate(found) if found else np.zeros((0, 1 << BITS), np.float32)
-    if not len(centres):
+    if not found:
         return Model([], np.zeros(0, int), np.zeros((1 << BITS, 0)), idf, np.zeros(17))
-    best = (dense @ centres.T).max(1)
+    centres = np.concatenate(found)
     lowest = np.full(18, np.inf)
-    for s, c in zip(size[useful], best[useful]):
-        lowest[_bucket(s)] = min(lowest[_bucket(s)], c)
+    for g in langs:
+        own, letters_in = dense(g)
+        for s, c in zip(letters_in, (own @ centres.T).max(1) if len(own) else ()):
+            lowest[_bucket(s)] = min(lowest[_bucket(s)], c)
     floor = np.minimum.accumulate(lowest[::-1])[::-1][:17]
     floor = np.where(np.isfinite(floor), floor, floor[np.isfinite(floor)].max()) * REACH
     return Model(langs, np.array(owner), np.ascontiguousarray(centres.T.astype(np.float64)), idf, floor)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import map_batches
+from inkfathom.llm.common import map_batches, spool
 from inkfathom.llm.ngrams import hashed, letters
 
 BITS = 22
@@ -105,56 +105,97 @@ def extent(words: int) -> np.ndarray:
     return np.array([words / 100, np.log1p(words)])
 
 
-Text = tuple[np.ndarray, np.ndarray, int]
-#: Occurrences in a text that count for the choice of features.
-CLIP = 4
-
-
-def _rows(found: list[Text], column: np.ndarray, width: int) -> np.ndarray:
-    dense = np.zeros((len(found), width + 2), np.float32)
-    for i, (bucket, count, words) in enumerate(found):
-        c = column[bucket]
-        dense[i, c[c >= 0]] = count[c >= 0]
-        dense[i, width:] = extent(words)
-    return dense
-
-
-def fit(positive: list[Text], unlabelled: list[Text], prior: float) -> Model:
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(2), -50.0)
-    texts, times = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
-    for k, group in enumerate((positive, unlabelled)):
-        for bucket, count, _ in group:
-            texts[k, bucket] += 1
-            times[k, bucket] += np.minimum(count, CLIP)
-    share = len(positive) / len(unlabelled)
-    likely = (texts[1] + 1) * share
-    excess = (texts[0] - likely) / np.sqrt(likely + 1)
-    good = np.flatnonzero((times[0] * prior >= LIFT * (times[1] + 1) * share) & (excess >= DEVIATIONS))
-    good = np.sort(good[np.argsort(-excess[good], kind="stable")[:KEPT]])
-    column = np.full(1 << BITS, -1)
-    column[good] = np.arange(len(good))
-    w, b = nnpu(_rows(positive, column, len(good)), _rows(unlabelled, column, len(good)), prior)
-    return Model(good, w[:-2], w[-2:], b)
-
-
-def _collect(texts: DataFrame) -> list[Text]:
+#: Occurrences in a text that count for the choice of features; fewer positives than SUPPORT never deviate enough.
+CLIP, SUPPORT = 4, 5
+_FLUSH = 1 << 21
+
+
+def _counted(texts: DataFrame, within: np.ndarray | None = None) -> pa.Table:
+    """bucket, texts and times (clipped) over whole ``texts``, only for buckets
+    ``within``, or else those of SUPPORT texts or more. Counted on the executors."""
+    spark = texts.sparkSession
+    marks = None if within is None else spark.sparkContext.broadcast(np.packbits(np.isin(np.arange(1 << BITS), within)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if marks is None else np.unpackbits(marks.value).astype(bool)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            bucket, at = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([s[1] for s in seen])).astype(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket.astype(np.int32)), pa.array(np.bincount(at).astype(np.int64)), pa.array(times)],
+                names=["bucket", "texts", "times"],
+            )
+
+        for b in batches:
+            for t in b.column("text"):
+                bucket, count, _ = features(t.as_py())
+                if wanted is not None:
+                    count, bucket = count[wanted[bucket]], bucket[wanted[bucket]]
+                seen.append((bucket, np.minimum(count, CLIP)))
+                held += len(bucket)
+                if held >= _FLUSH:
+                    yield out()
+                    seen, held = [], 0
+        if held:
+            yield out()
+
+    sums = map_batches(texts.select("text"), run, "bucket int, texts bigint, times bigint").groupBy("bucket")
+    sums = sums.agg(F.sum("texts").alias("texts"), F.sum("times").alias("times"))
+    return (sums.where(F.col("texts") >= SUPPORT) if within is None else sums).toArrow()
+
+
+def choose(texts_p, times_p, texts_u, times_u, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Places of the features kept, of the given counts among positives and unlabelled texts."""
+    share = n_p / n_u
+    likely = (texts_u + 1) * share
+    excess = (texts_p - likely) / np.sqrt(likely + 1)
+    good = np.flatnonzero((times_p * prior >= LIFT * (times_u + 1) * share) & (excess >= DEVIATIONS))
+    return np.sort(good[np.argsort(-excess[good], kind="stable")[:KEPT]])
+
+
+def _rows(texts: DataFrame, kept: np.ndarray) -> np.ndarray:
+    """Counts of the kept features and the extent of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(zip(*(features(t.as_py()) for t in b.column("text"))))
-            bucket, count, words = found if found else ((), (), ())
-            cols = [
-                pa.array([x.astype(np.int32) for x in bucket], pa.list_(pa.int32())),
-                pa.array([np.minimum(x, 32767).astype(np.int16) for x in count], pa.list_(pa.int16())),
-                pa.array(words, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "times", "words"])
-
-    got = map_batches(texts.select("text"), run, "bucket array<int>, times array<smallint>, words bigint").toArrow()
-    return [
-        (b.values.to_numpy(), t.values.to_numpy(), w.as_py())
-        for b, t, w in zip(got["bucket"], got["times"], got["words"])
-    ]
+            found = []
+            for t in b.column("text"):
+                bucket, count, words = features(t.as_py())
+                row = np.zeros(len(kept) + 2, np.float32)
+                at = np.minimum(np.searchsorted(kept, bucket), max(len(kept) - 1, 0))
+                hit = kept[at] == bucket if len(kept) else np.zeros(len(bucket), bool)
+                row[at[hit]] = count[hit]
+                row[-2:] = extent(words)
+                found.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float32()))], names=["row"])
+
+    got = map_batches(texts.select("text"), run, "row array<float>").toArrow()["row"].combine_chunks()
+    return got.values.to_numpy().reshape(len(got), len(kept) + 2)
+
+
+_NONE = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(2), -50.0)
+
+
+def fit(positive: DataFrame, unlabelled: DataFrame, prior: float) -> Model:
+    """``positive``, ``unlabelled``: text. What reaches the driver is a count for
+    each n-gram of SUPPORT positives or more, and KEPT numbers a text."""
+    n_p, n_u = positive.count(), unlabelled.count()
+    if not n_p or not n_u or not 0 < prior < 1:
+        return _NONE
+    p = _counted(positive)
+    order = np.argsort(p["bucket"].to_numpy())
+    bucket, texts_p, times_p = (p[c].to_numpy()[order] for c in ("bucket", "texts", "times"))
+    texts_u, times_u = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+    if len(bucket):
+        u = _counted(unlabelled, bucket)
+        at = np.searchsorted(bucket, u["bucket"].to_numpy())
+        texts_u[at], times_u[at] = u["texts"].to_numpy(), u["times"].to_numpy()
+    kept = bucket[choose(texts_p, times_p, texts_u, times_u, n_p, n_u, prior)].astype(np.int64)
+    w, b = nnpu(_rows(positive, kept), _rows(unlabelled, kept), prior)
+    return Model(kept, w[:-2], w[-2:], b)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -162,15 +203,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     said = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not said["n"] or not said["toxic"]:
-        return fit([], [], 0.0)
+        return _NONE
     prior = min(said["toxic"] / said["n"], 0.9)
     # The ids are at most ``positives``, so their broadcast is bounded.
     toxic = known.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(positives)
-    p = _collect(docs.join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_semi").limit(2 * positives))
+    p = docs.join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_semi").select("text").limit(2 * positives)
     n = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), 1 << 30) / float(1 << 30)
-    u = _collect(docs.where(draw < min(1.0, unlabelled / max(n, 1))).limit(2 * unlabelled))
-    return fit(p, u, prior)
+    u = docs.where(draw < min(1.0, unlabelled / max(n, 1))).select("text").limit(2 * unlabelled)
+    return fit(spool(p, "positives"), spool(u, "unlabelled"), prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
