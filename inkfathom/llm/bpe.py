@@ -38,7 +38,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 #: A blank inside a run of white space that is one word; else each blank begins a word.
 _INNER_BLANK = re.compile(r"(?<=\s) (?=\s|\Z)")
-_CACHED_PIECES, _CACHED_WORDS = 1_000_000, 500_000
+_CACHED_PIECES, _CACHED_WORDS = 500_000, 250_000
 _CACHED_PAIRS = 1_000_000
 _LONGEST_CACHED = 48
 _NEVER = 1 << 60
