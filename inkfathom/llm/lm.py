@@ -134,16 +134,27 @@ class Lexicon:
         return n
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """Words of the greatest counts, at most HOT: all from a least count up that
+    a histogram of counts gives, so that no task sorts or merges the words."""
+    short = counts.where((F.length("word") > 0) & (F.length("word") <= HOT_BYTES))
+    level = F.floor(F.log2("c") * 64).cast("int")  # some thousands of levels for any corpus
+    sizes = short.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    taken, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        taken += r["n"]
+        if taken > HOT:
+            break
+        least = r["c"]
+    return short.where(F.lit(False) if least is None else F.col("c") >= least)
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
-    top = (
-        counts.where((F.length("word") > 0) & (F.length("word") <= HOT_BYTES))
-        .orderBy(F.desc("c"), "word")
-        .limit(HOT)
-        .toArrow()
-    )
-    words = [END, *top["word"].to_pylist()]
-    n = np.concatenate(([whole["ends"] or 0], top["c"].to_numpy().astype(np.int64)))
+    top = frequent(counts).toArrow()
+    order = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    words = [END, *(w for _, w in order)]
+    n = np.array([whole["ends"] or 0, *(c for c, _ in order)], np.int64)
     cls = F.crc32(F.substring("word", -3, 3)) % CLASSES
     outside = counts.where(~F.col("word").isin([bytearray(w) for w in words[:WORDS]]))
     mass = np.full(CLASSES, 0.5)
