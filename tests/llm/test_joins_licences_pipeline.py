@@ -82,6 +82,71 @@ def test_licences(spark):
     assert licenses.scan(d.where("false"), "doc_id", F.col("path")).count() == 0
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 Ada Bystander <ada@example.org>
+
+""" + (licenses.TEXTS / "MIT.txt").read_text()
+BSD_3_FILE = "Copyright 2021, Some Company. All rights reserved.\n\n" + (licenses.TEXTS / "BSD-3-Clause.txt").read_text().replace("the copyright holder nor", "Some Company nor")
+APACHE_HEADER = """#!/usr/bin/env python
+# Copyright 2022 The Example Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     https://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+import os
+""" + "x = os.getcwd()\n" * 500
+GPL_HEADER = """/* frob.c
+ * This file is part of Frob.
+ * Frob is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * Frob is distributed in the hope that it will be useful, but WITHOUT
+ * ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+ * FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License
+ * for more details. */
+int main(void) { return 0; }
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+let x = 1;
+"""
+WHOLE = [
+    (MIT_FILE, "MIT"), (BSD_3_FILE, "BSD-3-Clause"), (APACHE_HEADER, "Apache-2.0"), (GPL_HEADER, "GPL-2.0"), (MPL_HEADER, "MPL-2.0"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0"),
+    ("<!-- SPDX-License-Identifier: (Apache-2.0 OR BSD-3-Clause) -->", "BSD-3-Clause"),
+    ("Copyright (c) 2020 Foo Inc. Released under the MIT License.", "MIT"),
+    ("word " * 300 + "and so on. This work is licensed under a Creative Commons Attribution 4.0 International License. " + "word " * 300, "CC-BY-4.0"),
+    ("word " * 300 + "Released under\n * the MIT\n * License. more", "MIT"),
+    ("a driver needs a licence and a fishing license is sold at the counter, as permission is hereby asked for", None),
+    ("the licence of poets; redistribution and use in source and binary forms are discussed in the next chapter of the book", None),
+]
+
+
+def test_headers_and_whole_licence_files(spark):
+    d = spark.createDataFrame([(i, f"d{i}/x", t) for i, (t, _) in enumerate(WHOLE)], "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d, "doc_id", F.col("path")).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(WHOLE)}
+
+
+def test_each_licence_text_is_its_own(spark):
+    files = sorted(licenses.TEXTS.glob("*.txt"))
+    # another layout, with a comment mark on each line, and a holder before it
+    texts = [(i, f"d{i}/x", "Copyright 2024 Someone Else\n" + "\n".join(f" * {x.strip()}" for x in p.read_text().split("\n"))) for i, p in enumerate(files)]
+    d = spark.createDataFrame(texts, "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d, "doc_id", F.col("path")).collect()}
+    assert len(files) >= 12 and got == {i: p.stem for i, p in enumerate(files)}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
