@@ -156,3 +156,12 @@ def test_facade(spark):
     assert x.compute_context_bundle(["c1", "c2"]).first()["context"] == "blue fish swim\n\nred bird"
     assert x.get_entities_for_sections(["c1"]).count() == 1 and x.describe_nodes(["e1"]).count() == 1
     assert x.expand_neighbors(["c1"], ["MENTIONS"]).first()["node"] == "e1" and x.summarize_neighborhood(["c1"]).count() == 1
+
+
+def test_max_sim_of_every_adjacent_pair(spark):
+    from inkfathom.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["vec_id"] // 3 for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    got = {(r["query_id"], r["id"]) for r in QUERIES["max_sim_pairs"](spark, sf).collect()}
+    assert got == {(d, d + 1) for d in docs if d + 1 in docs} and any(d % 2 for d, _ in got)
