@@ -123,7 +123,7 @@ def collapsed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.collapse_small(chunks(spark, sf), 200)
 
 
-@query("K01 K03 K06 K08 K10 K11")
+@query("K01 K03 K08 K10 K11")
 def combined_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy chunks of the marked-down documents' sections (no SQL: each depends on those before it)."""
     s = ingest.markdown_sections(marked_down(spark, sf))

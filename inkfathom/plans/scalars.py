@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfathom.functions import scalars as S
-from inkfathom.operators import context
+from inkfathom.operators import context, ingest
 from inkfathom.registry import query
 from inkfathom.sources.adapters import chunks, mentions, table, with_views
 
@@ -179,7 +179,7 @@ def json_properties(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", parsed["k"].alias("k"), parsed.isNotNull().alias("valid"))
 
 
-@query("C26 C27 R03 G37", """
+@query("C26 C27 R03", """
 WITH e AS (SELECT vec_id, vec_id // 3 AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT q.doc AS query_id, d.doc AS id, q.vec_id, max(list_dot_product(q.v, d.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(d.v, d.v)) + 1e-9))) AS c, max(list_dot_product(q.v, d.v)) AS x
   FROM e q JOIN e d ON d.doc = q.doc + 1 WHERE q.doc % 2 = 0 GROUP BY ALL)
@@ -222,13 +222,22 @@ def token_counts_snippets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("C06 C16 P14")
+@query("C06 P14")
 def slugs_and_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of the documents' first lines and byte-true cuts (no SQL: NFKD)."""
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     return table(spark, sf, "documents").select("doc_id", S.slug(first).alias("anchor"), S.truncate_bytes(64)(F.col("text")).alias("cut"))
 
 
+@query("C16")
+def longest_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of the benchmark in the documents, the longest at each place (no SQL: each match depends on those before it)."""
+    w = F.split("text", r"\s+")
+    starts = F.array(*(F.array_join(F.slice(w, 1, n), " ") for n in (2, 3, 5)))
+    names = table(spark, sf, "benchmark").select(F.explode(starts).alias("name"))
+    return ingest.longest_entities(table(spark, sf, "documents"), names, "doc_id", "text", "name")
+
+
 @query("P13 S28", """
 SELECT event_id, coalesce(nullif(regexp_extract(concat('DocTag: T-', user_id), 'DocTag: ([A-Z]+-[0-9]+)', 1), ''), 'none') AS tag, left(event_type, 4) AS kind FROM events""")
 def tags_and_properties(spark: SparkSession, sf: str) -> DataFrame:

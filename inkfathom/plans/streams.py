@@ -46,7 +46,7 @@ def retry_queues(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("event_id", "attempts", "queue")
 
 
-@query("G19 V22 V20")
+@query("G19")
 def ppr_diffusion(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of each document, ranked anew along the entities they share (no SQL: iterative)."""
     c = graph_chunks(spark, sf).select(F.col("document_id").alias("query_id"), F.col("chunk_id").alias("id"), (F.col("price") / 1e6).alias("score"))

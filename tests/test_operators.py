@@ -165,3 +165,18 @@ def test_max_sim_of_every_adjacent_pair(spark):
     docs = {r["vec_id"] // 3 for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     got = {(r["query_id"], r["id"]) for r in QUERIES["max_sim_pairs"](spark, sf).collect()}
     assert got == {(d, d + 1) for d in docs if d + 1 in docs} and any(d % 2 for d, _ in got)
+
+
+def test_longest_entities(spark):
+    names = spark.createDataFrame([("red",), ("Red Apple",), ("apple pie of the north",), ("pie",), ("a b c d e f",), ("e f",)], "name string")
+    docs = spark.createDataFrame([(1, "A red\n apple pie of the north"), (2, "apple pie of  the North red"), (3, "a b c d e f"), (4, None), (4, ""), (5, "red"), (5, "red")], "doc_id bigint, text string")
+    got = sorted(rows(ingest.longest_entities(docs, names, "doc_id", "text", "name")))
+    # a run of six words is too long, so that its last two are found; row 1: the longest from the left, then what follows
+    assert got == [(1, 2, "red apple"), (1, 4, "pie"), (2, 1, "apple pie of the north"), (2, 6, "red"), (3, 5, "e f"), (5, 1, "red"), (5, 1, "red")]
+
+
+def test_claims_have_code():
+    from inkfathom.registry import COVERS
+
+    claimed = {r for rows_ in COVERS.values() for r in rows_}
+    assert not claimed & {"K06", "V20", "V22", "G37"} and "C16" not in COVERS["slugs_and_bytes"]
