@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def budget_prefix(rows: DataFrame, group: str, order: list, tokens: str, budget:
     return r.withColumn("__stop", stop).where("__stop is null or __place < __stop").drop("__stop", "__place")
 
 
-def capped(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
+def capped(rows: DataFrame, group: str | list[str], order: list, cap: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap).drop("__n")
 
@@ -45,3 +48,79 @@ def ordered_labels(labels: Column) -> Column:
         F.array().cast("array<struct<order:int,level:int,key:string,title:string>>"),
         lambda seen, x: F.when(F.exists(seen, lambda s: s["key"] == x["key"]), seen).otherwise(F.concat(seen, F.array(x))),
     )
+
+
+#: Of a stitching: documents a seed, candidates a tier, tokens of a small
+#: document, of one taken, of all taken for a query.
+PER_SEED, TIER, SMALL, EACH, ALL = 2, 5, 2000, 300, 1200
+
+
+def micro_documents(docs: DataFrame) -> DataFrame:
+    """document_id, directory, total, and the first ``EACH`` words as text and their number as tokens (docs: document_id, directory, text)."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    d = docs.select("document_id", "directory", words.alias("w"))
+    cut = F.array_join(F.slice("w", 1, EACH), " ")
+    return d.select("document_id", "directory", F.size("w").alias("total"), cut.alias("text"), F.least(F.size("w"), F.lit(EACH)).alias("tokens"))
+
+
+def stitch_microdocs(results: DataFrame, micro: DataFrame, near: DataFrame, seeds: int, base: int = 600) -> DataFrame:
+    """query_id, n, seed, document_id, tier, tokens, text: small documents taken for each query's first ``seeds`` results.
+
+    ``results``: query_id, document_id, rank; ``micro``: as ``micro_documents``
+    gives it; ``near``: document_id (a seed), id, rank, its at most ``TIER``
+    neighbours. A seed of fewer than ``base`` tokens gets up to ``PER_SEED``
+    documents of at most ``SMALL`` tokens from the query's other results, then
+    from its directory, smallest first, then from its neighbours; none twice in
+    a query, until the next would exceed ``ALL`` tokens. That depends on what
+    was taken before, hence one pass over a query's own bounded candidates.
+    """
+    sizes = micro.select("document_id", "directory", "total")
+    placed = results.join(sizes, "document_id")
+    asked = placed.where(F.col("rank") <= seeds).select("query_id", F.col("document_id").alias("seed"), F.col("rank").alias("place"), "directory", "total")
+    fused = placed.where((F.col("rank") > seeds) & (F.col("total") <= SMALL)).select(
+        "query_id", F.lit(0).cast("bigint").alias("seed"), F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("tier"), F.col("rank").cast("bigint").alias("rank"), "document_id"
+    )
+    w = Window.partitionBy("directory").orderBy("total", "document_id")
+    least = sizes.where(F.col("total") <= SMALL).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TIER + 1)
+    beside = asked.drop("total").join(least.drop("total"), "directory").where("document_id <> seed")
+    # a seed among the first leaves its place to the next
+    beside = capped(beside, ["query_id", "seed"], ["rank"], TIER)
+    close = asked.join(near.withColumnRenamed("document_id", "seed"), "seed").withColumnRenamed("id", "document_id")
+    close = close.where(F.col("rank") <= TIER).join(sizes.where(F.col("total") <= SMALL).select("document_id"), "document_id")
+    shape = lambda d, tier: d.select("query_id", "seed", F.col("place").cast("bigint").alias("place"), F.lit(tier).alias("tier"), F.col("rank").cast("bigint").alias("rank"), "document_id")
+    own = asked.select("query_id", "seed", F.col("place").cast("bigint").alias("place"), F.lit(-1).alias("tier"), F.col("total").cast("bigint").alias("rank"), F.col("seed").alias("document_id"))
+    every = own.unionByName(fused).unionByName(shape(beside, 1)).unionByName(shape(close, 2))
+    kept = micro.select("document_id", "tokens", "text")
+    types = {f.name: f.dataType.simpleString() for f in every.schema}
+    out = f"query_id {types['query_id']}, n int, seed bigint, document_id bigint, tier int, tokens int"
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_taken(rows, base), columns=["query_id", "n", "seed", "document_id", "tier", "tokens"])
+
+    chosen = every.join(kept.drop("text"), "document_id").groupBy("query_id").applyInPandas(take, out)
+    return chosen.join(kept.drop("tokens"), "document_id").select("query_id", "n", "seed", "document_id", "tier", "tokens", "text")
+
+
+def _taken(rows: pd.DataFrame, base: int) -> Iterable[tuple]:
+    rows = rows.sort_values(["tier", "place", "rank", "document_id"])
+    own = rows[rows["tier"] == -1]
+    used, spent, out = set(own["document_id"]), 0, []
+    pool = [(0, r.document_id, r.tokens) for r in rows[rows["tier"] == 0].itertuples()]
+    tiers: dict = {}
+    for r in rows[rows["tier"] > 0].itertuples():
+        tiers.setdefault((r.seed, r.tier), []).append((r.tier, r.document_id, r.tokens))
+    for s in own.itertuples():
+        if s.rank >= base:
+            continue
+        cohort: list = []
+        for tier in (pool, tiers.get((s.seed, 1), []), tiers.get((s.seed, 2), [])):
+            cohort += [c for c in tier if c[1] not in used][: PER_SEED - len(cohort)]
+        for tier, document, tokens in cohort:
+            if document in used or tokens == 0:
+                continue
+            if spent + tokens > ALL:
+                return out
+            out.append((s.query_id, len(out) + 1, s.seed, document, tier, tokens))
+            used.add(document)
+            spent += tokens
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkfathom.operators import diffusion, fusion, graph
+from inkfathom.operators import context, diffusion, fusion, graph, search
 from inkfathom.registry import query
 from inkfathom.sources.adapters import chunks, entities, graph_chunks, mentions, next_chunk, table, with_views
 
@@ -70,6 +70,26 @@ def rebuilt_edges(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("whole", F.col("chunks") - 1 == F.col("edges"))
 
 
+@query("X05")
+def microdoc_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Small documents stitched to the first three of each query's ten nearest
+    vectors: from the other seven, the source, the seed's own neighbours (no
+    SQL: who is taken depends on who was before). A vector is its document's of the same id."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("directory"), "text")
+
+    def rows() -> DataFrame:  # read anew for each side of a search
+        every = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0).cast("bigint").alias("grp"))
+        return every.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+    ask = lambda d, c: d.select(F.col(c).alias("query_id"), "vector", "grp")
+    found = search.knn(rows(), ask(rows().where("id % 100 = 0"), "id"), 10).select("query_id", F.col("id").alias("document_id"), "rank")
+    wanted = found.where("rank <= 3").select(F.col("document_id").alias("id")).distinct()
+    near = search.knn(rows(), ask(rows().join(wanted, "id", "left_semi"), "id"), context.TIER + 1, least=0.76).where("id <> query_id")
+    near = context.capped(near, "query_id", ["rank"], context.TIER).select(F.col("query_id").alias("document_id"), "id", "rank")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("rank")))
+    return context.stitch_microdocs(found, context.micro_documents(docs), near, 3).withColumn("text", F.sha2("text", 256))
+
+
 @query("X05", """
 WITH d AS (SELECT doc_id, source, CAST(len(string_split(text, ' ')) AS BIGINT) AS words FROM documents),
 s AS (SELECT doc_id AS seed, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d WHERE doc_id % 100 = 0),

@@ -180,3 +180,28 @@ def test_claims_have_code():
 
     claimed = {r for rows_ in COVERS.values() for r in rows_}
     assert not claimed & {"K06", "V20", "V22", "G37"} and "C16" not in COVERS["slugs_and_bytes"]
+
+
+def test_stitched_small_documents(spark):
+    size = {1: 50, 2: 700, 3: 10, 4: 2000, 5: 2001, 6: 121, 7: 5, 8: 0, 9: 400, 10: 301, 11: 20}
+    place = {6: "a", 7: "a", 1: "a", 8: "b", 3: "b", 10: "c"}
+    docs = spark.createDataFrame([(i, place.get(i, "z"), "w " * n) for i, n in size.items()], "document_id bigint, directory string, text string")
+    ranked = [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 5, 4), (0, 4, 5), (1, 1, 1), (1, 3, 2), (2, 11, 1), (2, 5, 2), (3, 2, 1)]
+    results = spark.createDataFrame(ranked, "query_id bigint, document_id bigint, rank bigint")
+    near = spark.createDataFrame([(3, 9, 1), (3, 10, 2), (3, 6, 3), (11, 5, 1), (11, 10, 2)], "document_id bigint, id bigint, rank bigint")
+    m = context.micro_documents(docs)
+    got = sorted((r["query_id"], r["n"], r["seed"], r["document_id"], r["tier"], r["tokens"], len(r["text"].split())) for r in context.stitch_microdocs(results, m, near, 3).collect())
+    assert got == [
+        # 5 is too large; 4 is cut to 300; then the directory, smallest first; seed 2 is too large; an empty one is not taken
+        (0, 1, 1, 4, 0, 300, 300), (0, 2, 1, 7, 1, 5, 5), (0, 3, 3, 9, 2, 300, 300),
+        (1, 1, 1, 7, 1, 5, 5), (1, 2, 1, 6, 1, 121, 121), (1, 3, 3, 9, 2, 300, 300),
+        (2, 1, 11, 9, 1, 300, 300), (2, 2, 11, 2, 1, 300, 300),
+    ]
+
+
+def test_stitching_ends_with_the_budget(spark):
+    docs = spark.createDataFrame([(i, str(i), "w " * (400 if i > 9 else 50)) for i in range(20)], "document_id bigint, directory string, text string")
+    results = spark.createDataFrame([(0, i, i + 1) for i in range(3)] + [(0, i, i + 1) for i in range(10, 18)], "query_id bigint, document_id bigint, rank bigint")
+    near = spark.createDataFrame([], "document_id bigint, id bigint, rank bigint")
+    got = sorted((r["n"], r["seed"], r["document_id"], r["tokens"]) for r in context.stitch_microdocs(results, context.micro_documents(docs), near, 3).collect())
+    assert got == [(1, 0, 10, 300), (2, 0, 11, 300), (3, 1, 12, 300), (4, 1, 13, 300)]
