@@ -199,17 +199,28 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """One row of each near-duplicate group: of its least id, or any if none has an id."""
+    """One row of each near-duplicate group: of its least id, or any if none has an id.
+
+    Where an id stands for rows of several groups, and where there is none, the
+    id alone does not say which row is meant: those rows are told by their texts.
+    """
     found = spool(near_duplicates(docs, id_col, text_col, **settings), "near")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or(F.expr("doc_id = component_id")).alias("least")
+    )
+    ids = by_id.where("least and low = high").select(F.col("doc_id").alias(id_col))
     kept = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    roots = found.where("component_id is null").select("fp", "root").distinct()
-    if roots.isEmpty():
+    shared = by_id.where("low <> high").select(F.col("doc_id").alias("same"))
+    of_shared = found.where("doc_id = component_id").join(shared, F.col("doc_id") == F.col("same"), "left_semi")
+    wanted = found.where("component_id is null").unionByName(of_shared).select(F.col("doc_id").alias("__id"), "fp", "root").distinct()
+    if wanted.isEmpty():
         return kept
-    own = nameless.select(F.struct("*").alias("__row"), F.coalesce(text_col, F.lit("")).alias("__text"))
+    wanted = spool(wanted, "wanted")
+    asked = F.col(id_col).eqNullSafe(F.col("__id"))
+    told = docs.join(wanted.select("__id").distinct(), asked, "left_semi")
+    own = told.select(F.struct("*").alias("__row"), F.col(id_col).alias("__own"), F.coalesce(text_col, F.lit("")).alias("__text"))
     texts = fingerprint_texts(own.select("__text").distinct(), settings.get("words", 4))
-    picked = own.join(texts, "__text").join(roots, "fp").dropDuplicates(["root"])
+    picked = own.join(texts, "__text").join(wanted, "fp").where(F.col("__own").eqNullSafe(F.col("__id"))).dropDuplicates(["root"])
     return kept.unionByName(picked.select("__row.*"))
 
 

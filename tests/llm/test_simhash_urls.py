@@ -72,6 +72,14 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_one_row_of_each_group_where_ids_are_shared(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "1 2 3 4 5 6 7 8"
+    # 5 is the least id of two groups; 6 that of one and a copy in another
+    rows = [(5, a, "", ""), (5, b, "", ""), (5, b, "", ""), (6, a, "", ""), (6, c, "", ""), (7, c, "", ""), (None, b, "", "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(tuple(r)[:2] for r in kept) == sorted([(5, a), (5, b), (6, c)])
+
+
 def test_bk_tree():
     rng = random.Random(1)
     values = [rng.getrandbits(10) for _ in range(300)]
