@@ -277,7 +277,19 @@ def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
 SELECT d.doc_id, d.lang, d.source, left(d.text, 100) AS text, octet_length(encode(d.text)) > 1000 AS long, l.doc_id IS NOT NULL AS labelled
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'de') AND d.source = 'src0'""")
 def filtered_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Filters and a projection that reach the scan, with a check of existence."""
+    """Filters and a projection that reach the scan, with a check of existence; the text's first 100 characters, as the SQL has it."""
+    return _projected(spark, sf, F.substring("text", 1, 100))
+
+
+@query("P01 P03 P04 P05 P16 P17 P18", """
+SELECT d.doc_id, d.lang, d.source, d.text, octet_length(encode(d.text)) > 1000 AS long, l.doc_id IS NOT NULL AS labelled
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'de') AND d.source = 'src0'""")
+def whole_text_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """As filtered_projection, with whole texts."""
+    return _projected(spark, sf, F.col("text"))
+
+
+def _projected(spark: SparkSession, sf: str, text: Column) -> DataFrame:
     from inkfathom.operators.guards import filters, project
 
     d = table(spark, sf, "documents")
@@ -285,6 +297,6 @@ def filtered_projection(spark: SparkSession, sf: str) -> DataFrame:
     labelled = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("labelled"))
     joined = project(kept, ("doc_id", "lang", "source", "text")).join(labelled, "doc_id", "left")
     return joined.select(
-        "doc_id", "lang", "source", F.substring("text", 1, 100).alias("text"), (F.octet_length("text") > 1000).alias("long"),
+        "doc_id", "lang", "source", text.alias("text"), (F.octet_length("text") > 1000).alias("long"),
         F.coalesce("labelled", F.lit(False)).alias("labelled"),
     )

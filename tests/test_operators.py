@@ -205,3 +205,12 @@ def test_stitching_ends_with_the_budget(spark):
     near = spark.createDataFrame([], "document_id bigint, id bigint, rank bigint")
     got = sorted((r["n"], r["seed"], r["document_id"], r["tokens"]) for r in context.stitch_microdocs(results, context.micro_documents(docs), near, 3).collect())
     assert got == [(1, 0, 10, 300), (2, 0, 11, 300), (3, 1, 12, 300), (4, 1, 13, 300)]
+
+
+def test_whole_texts_are_projected(spark):
+    from inkfathom.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["whole_text_projection"](spark, sf).collect()
+    assert got and all(r["text"] == texts[r["doc_id"]] for r in got) and any(len(r["text"]) > 100 for r in got)
