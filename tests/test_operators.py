@@ -159,7 +159,7 @@ def test_facade(spark):
 
 
 def test_max_sim_of_every_adjacent_pair(spark):
-    from inkfathom.registry import QUERIES
+    from inkfathom.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
     docs = {r["vec_id"] // 3 for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
@@ -176,6 +176,7 @@ def test_longest_entities(spark):
 
 
 def test_claims_have_code():
+    import inkfathom.queries  # noqa: F401 (registers them)
     from inkfathom.registry import COVERS
 
     claimed = {r for rows_ in COVERS.values() for r in rows_}
@@ -208,7 +209,7 @@ def test_stitching_ends_with_the_budget(spark):
 
 
 def test_whole_texts_are_projected(spark):
-    from inkfathom.registry import QUERIES
+    from inkfathom.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
