@@ -6,39 +6,40 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfathom.shipping import ship_package
+
 #: Rows given to Python at once; with texts of a few KB this is a few MB.
 BATCH_ROWS = 1000
 
-_shipped: set[str] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # See the adapters: a union's children may be coalesced apart from each other.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
+    the one given to ``SparkContext.setCheckpointDir``.
 
-    Where the session names none (a local test session) a folder of this
-    process is made, set as the checkpoint folder and removed at exit.
+    A local session that names none gets a folder of this process, removed at
+    exit. Elsewhere that is an error: executors would each write to their own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="inkfathom-")
-        shared_dir.own = own
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="inkfathom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -51,25 +52,6 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application.
-
-    Spark's file server hands the archive to every executor, so workers can
-    import the package wherever the driver was started from.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="inkfathom-ship-")) / "inkfathom_pkg.zip"
-    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
 def map_batches(
     df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -9,7 +9,8 @@ length reach.
 
 Defined cases: a null text and one without letters are ``und``, score 0 and
 rejected; rows of null language teach nothing; without any training row all
-are ``und``; of equal cosines the first language by name wins; repeated rows
+are ``und``; of equal cosines the first language by name wins; more than
+``MOST_LANGS`` values of the language column are an error; repeated rows
 give repeated results; only the named columns are read.
 """
 
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.llm.common import fold, map_batches
-from inkfathom.llm.ngrams import hashed, letters
+from inkfathom.llm.ngrams import hashed, letters, new_letters
 
 BITS = 13
 ORDERS = (1, 2, 3)
 #: Labelled rows of each language, in expectation, that are clustered.
 SAMPLE = 1000
 CENTROIDS = 4
+#: More languages than exist are an error, so what the driver holds is bounded.
+MOST_LANGS = 10_000
 #: Share of the lowest training cosine that a text must reach.
 REACH = 0.6
 _SCALE = 12.0
@@ -38,10 +41,10 @@ _SCALE = 12.0
 
 def counts(text: str) -> tuple[np.ndarray, int]:
     total, size = np.zeros(1 << BITS, np.int64), 0
-    for codes in letters(text):
-        size += int(np.count_nonzero(codes))
+    for codes, seen in letters(text):
+        size += new_letters(codes, seen)
         for n in ORDERS:
-            total += np.bincount(hashed(codes, n, BITS), minlength=1 << BITS)
+            total += np.bincount(hashed(codes, seen, n, BITS), minlength=1 << BITS)
     return total, size
 
 
@@ -116,7 +119,9 @@ def train(rows: DataFrame, id_col: str, sample: int = SAMPLE, centroids: int = C
     """``rows``: id_col, text and lang (not null) of all labelled training rows."""
     df, n = document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of the language column: is it one?")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(0, int), np.zeros((1 << BITS, 0)), idf, np.zeros(17))

@@ -7,9 +7,10 @@ is a table, and equal block values make a shard: every pair in reach shares a
 shard. Each shard's BK-tree keys a child by its Hamming distance to its parent;
 a search follows only the edges within the radius. Trees meet their queries by
 a shuffle of the shard key: they grow with the data, so they are not sent
-through the driver. A shard of more than ``tree_size`` fingerprints is split
-into trees of about that size, each of which all of the shard's fingerprints
-search, so no task holds a whole hot shard.
+through the driver. A shard of more than ``tree_size`` fingerprints is cut once
+more in the same way by the bits that its members need not agree on. One that
+is still larger is split into trees of about that size, each of which all of
+the shard's fingerprints search, so no task holds a whole hot shard.
 
 Defined cases: null and empty texts have the fingerprint of no bits and link
 like others; fewer words than a shingle make one shingle of them all; a null id
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.llm.common import map_batches, spool
-from inkfathom.llm.components import components
+from inkfathom.llm.components import components, join_spread
 
 #: Shingles hashed before their bits are added up.
 _CHUNK = 1 << 16
@@ -90,13 +91,18 @@ class BKTree:
         return found
 
 
-def block_masks(radius: int, blocks: int) -> list[int]:
-    """One 64-bit mask for each choice of blocks that a pair must agree on."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    single = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_masks(radius: int, blocks: int, within: int = (1 << 64) - 1) -> list[int]:
+    """One mask for each choice of blocks of the bits ``within`` that a pair must agree on."""
+    bits = [1 << i for i in range(64) if within >> i & 1]
+    cuts = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    single = [sum(bits[a:b]) for a, b in zip(cuts, cuts[1:])]
     return [sum(single[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -130,15 +136,19 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, tree_size: int =
 
     ``prints``: distinct fingerprints fp (bigint).
     """
-    tables = F.array(
-        *(
-            F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))).alias("shard"))
-            for i, m in enumerate(block_masks(radius, blocks))
-        )
+    masks = block_masks(radius, blocks)
+    finer = [[m | own for own in block_masks(radius, blocks, ~m & ((1 << 64) - 1))] for m in masks]
+    shards = lambda ms, first: F.array(
+        *(F.struct(F.lit(first + i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard")) for i, m in enumerate(ms))
     )
-    rows = prints.select("fp", F.inline(tables))
+    rows = prints.select("fp", F.inline(shards(masks, 0)))
     sizes = rows.groupBy("t", "shard").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["t", "shard"])
+    rows = spool(rows.join(sizes, ["t", "shard"]), "shards")
+    large = rows.where(F.col("n") > tree_size).select("t", "fp")
+    nested = F.get(F.array(*(shards(ms, len(masks) * (k + 1)) for k, ms in enumerate(finer))), F.col("t"))
+    cut = large.select("fp", F.inline(nested))
+    cut = cut.join(cut.groupBy("t", "shard").agg(F.count("*").alias("n")).where("n > 1"), ["t", "shard"])
+    rows = rows.where(F.col("n") <= tree_size).unionByName(cut.select(*rows.columns))
     trees = F.ceil(F.col("n") / tree_size).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("tree")), trees).cast("int")
     rows = rows.select(
@@ -187,15 +197,15 @@ def near_duplicates(
     """doc_id, fp, component_id (the least id reachable by links) and root (the
     group's own key, known without any id)."""
     prints = spool(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(links(distinct.select("fp"), radius, blocks, tree_size))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        "fp", "component_id", "root"
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    total = distinct.agg(F.count("*"), F.sum("n")).first()
+    named = join_spread(rooted.select("fp", "root", "n"), groups, ["root"], "many", total[0], "fp")
+    return join_spread(prints, named, ["fp"], "n", total[1] or 0, "doc_id").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:

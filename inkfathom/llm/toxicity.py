@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.llm.common import map_batches, spool
-from inkfathom.llm.ngrams import hashed, letters
+from inkfathom.llm.ngrams import hashed, letters, words_ended
 
 BITS = 22
 ORDERS = (5, 6)
@@ -45,9 +45,9 @@ THRESHOLD = 0.7
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Buckets of the whole text, their counts, and the number of words."""
     found, words = [], 0
-    for codes in letters(text or ""):
-        found += [hashed(codes, n, BITS, inner=True) for n in ORDERS]
-        words += int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
+    for codes, seen in letters(text or ""):
+        found += [hashed(codes, seen, n, BITS, inner=True) for n in ORDERS]
+        words += words_ended(codes, seen)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     return *np.unique(np.concatenate(found), return_counts=True), words
@@ -92,10 +92,10 @@ class Model:
 
     def score(self, text: str | None) -> float:
         g, words = self.bias, 0
-        for codes in letters(text or ""):
-            words += int(np.count_nonzero((codes[1:] == 0) & (codes[:-1] != 0)))
+        for codes, seen in letters(text or ""):
+            words += words_ended(codes, seen)
             for n in ORDERS:
-                c = self.column[hashed(codes, n, BITS, inner=True)]
+                c = self.column[hashed(codes, seen, n, BITS, inner=True)]
                 g += float(self.weight[c[c >= 0]].sum())
         g += float(self.length @ extent(words))
         return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
