@@ -66,12 +66,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     e = spool(e.distinct(), "cc")
     n, before = e.count(), None
+    if not n:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         e = spool(_small_star(_large_star(e, n), n).distinct(), "cc")
         mark = e.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
-        if (now := (mark["n"], mark["h"])) == before or not mark["n"]:
+        if (now := (mark["n"], mark["h"])) == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )

@@ -2,25 +2,30 @@
 
 On unit vectors a cosine of at least ``least`` is a Euclidean distance of at
 most e = sqrt(2 - 2 least). Within each label, pivots from a bounded sample
-part the vectors into cells by nearest pivot. By the triangle inequality a
-vector y of cell h can only be within e of a member of cell j if it lies within
-e of the hyperplane halfway between their pivots,
+part the vectors into cells by nearest pivot; there are as many as the label
+has multiples of ``cell``. By the triangle inequality a vector y of cell h can
+only be within e of a member of cell j if it lies within e of the hyperplane
+halfway between their pivots,
 
     (d(y, p_j)^2 - d(y, p_h)^2) / (2 d(p_j, p_h)) <= e
 
-so y is sent to those cells as well. Each cell then has all links of its own
-members and is joined by itself, in blocks of ``BLOCK`` by ``BLOCK`` rows that
-are spread over tasks, as matrix products in double precision. Blocks give link
-counts and a spanning forest, never pairs. Equal vectors of a label are joined
-once, with their number.
+so y visits those cells of lower number as well, which is enough to bring each
+pair together once. A cell is cut into shells of width e by the distance from
+its pivot: only rows of one shell or of neighbouring ones can be linked. Each
+cell is joined by itself, in blocks of at most about ``block`` by ``block`` rows
+that are spread over tasks, as matrix products in double precision. Blocks give
+link counts and a spanning forest, never pairs. Equal vectors of a label (told
+by two 64-bit hashes of different seeds) are joined once, with their number.
 
-Vectors spread evenly over many dimensions lie near most hyperplanes: the join
-is exact there too, but replication nears the number of cells.
+Vectors spread evenly over many dimensions lie near most hyperplanes and in one
+shell: the join is exact there too, but a label of n vectors then makes about
+n^2 / (2 block) rows.
 
 Defined cases: null labels, null, empty or zero vectors, and those with null or
-non-finite components link with nothing; so do vectors of different lengths; a
-null id is counted as a link but names no component; repeated rows link with
-each other; only the named columns are read.
+non-finite components link with nothing; so do vectors of different lengths;
+labels may have any type that has a text form; a null id is counted as a link
+but names no component; repeated rows link with each other; only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -30,22 +35,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from inkfathom.llm.common import map_batches, spool
-from inkfathom.llm.components import components
+from inkfathom.llm.components import components, join_spread
 
 LEAST = 0.93
-BLOCK = 1024
-#: Vectors to a cell aimed at, pivots of a label, and of all labels together.
-CELL, PIVOTS, ALL_PIVOTS = 4096, 64, 4096
-#: Vectors of a label, in expectation, from which pivots are picked.
-SAMPLE = 512
+BLOCK = 4096
+#: Vectors to a cell aimed at; pivots of a label, and of all labels together, which bound what is broadcast.
+CELL, PIVOTS, ALL_PIVOTS = 4096, 4096, 16384
+#: Vectors from which a label's pivots are picked, for each pivot, in expectation; SAMPLE at least.
+PER_PIVOT, SAMPLE = 4, 512
+#: Rows of a block multiplied at once.
+TILE = 1024
 
 
-def unit_rows(column: pa.Array) -> np.ndarray:
-    x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in column]).astype(np.float64)
+def matrix(column: pa.Array, rows: slice) -> np.ndarray:
+    """Vectors of equal length as unit rows in double precision."""
+    part = column.slice(rows.start, rows.stop - rows.start)
+    x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -61,97 +71,161 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     return x[picked]
 
 
-def pick_pivots(vectors: DataFrame, cell: int) -> dict[tuple[int, int], np.ndarray]:
+def pick_pivots(vectors: DataFrame, cell: int) -> dict[tuple[str, int], np.ndarray]:
     """Pivots of each (label, dim) of more than ``cell`` vectors; others have one cell."""
+    spark = vectors.sparkSession
     sizes = vectors.groupBy("label", "dim").count().where(F.col("count") > cell)
     large = sizes.orderBy(F.desc("count"), "label", "dim").limit(ALL_PIVOTS // 2).collect()
-    if not large:
+    wanted, left = [], ALL_PIVOTS
+    for r in large:
+        n = min(PIVOTS, left, math.ceil(r["count"] / cell))
+        if n > 1:
+            wanted.append((r["label"], r["dim"], n, min(1.0, max(SAMPLE, PER_PIVOT * n) / r["count"])))
+            left -= n
+    if not wanted:
         return {}
-    share = F.create_map(
-        *(x for r in large for x in (F.lit(f"{r['label']}/{r['dim']}"), F.lit(min(1.0, SAMPLE / r["count"]))))
-    )
+    asked = spark.createDataFrame(wanted, "label string, dim int, pivots int, share double")
     draw = F.pmod(F.xxhash64("rid", F.lit("pivot")), 1 << 30) / float(1 << 30)
-    drawn = vectors.where(draw < share[F.concat_ws("/", "label", "dim")]).limit(2 * SAMPLE * len(large))
-    got = drawn.select("label", "dim", "vector").orderBy("label", "dim", F.xxhash64("vector")).toArrow()
+    drawn = vectors.join(F.broadcast(asked), ["label", "dim"]).where(draw < F.col("share"))
+    drawn = drawn.select("label", "dim", "vector").limit(2 * sum(max(SAMPLE, PER_PIVOT * w[2]) for w in wanted))
+    got = drawn.orderBy("label", "dim", F.xxhash64("vector")).toArrow().combine_chunks()
     keys = list(zip(got["label"].to_pylist(), got["dim"].to_pylist()))
-    found, left = {}, ALL_PIVOTS
-    for r in large:
-        own = [i for i, k in enumerate(keys) if k == (r["label"], r["dim"])]
-        n = min(PIVOTS, left, math.ceil(r["count"] / cell))
-        if own and n > 1:
-            x = unit_rows(got["vector"].combine_chunks().take(pa.array(own)))
-            found[r["label"], r["dim"]] = p = farthest_first(x, n)
-            left -= len(p)
-    return found
+    first = {k: i for i, k in reversed(list(enumerate(keys)))}
+    last = {k: i + 1 for i, k in enumerate(keys)}
+    column = got["vector"].combine_chunks() if len(keys) else None
+    return {
+        (label, dim): farthest_first(matrix(column, slice(first[label, dim], last[label, dim])), n)
+        for label, dim, n, _ in wanted
+        if (label, dim) in first
+    }
 
 
-def _cells(pivots: dict[tuple[int, int], np.ndarray], reach: float):
-    """Rows (rid, weight, vector) with each cell that they belong or are sent to."""
+def _runs(*columns: np.ndarray) -> Iterator[slice]:
+    """Runs of rows that agree in all columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), n]
+    yield from (slice(a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
+def _texts(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), object)
+
+
+def _cells(pivots: dict[tuple[str, int], np.ndarray], reach: float):
+    """Rows with each cell that they belong to or visit, and the shell there."""
     between = {k: np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0)) for k, p in pivots.items()}
+    width = reach * (1 + 1e-6) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            row, cell, home = [], [], []
-            keys = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist()))
-            for key in set(keys):
-                own = np.array([i for i, k in enumerate(keys) if k == key])
+            labels, dims = _texts(b.column("label")), b.column("dim").to_numpy()
+            order = np.lexsort((dims, labels.astype(str)))
+            b = b.take(pa.array(order))
+            labels, dims = labels[order], dims[order]
+            row, cell, home, shell = [], [], [], []
+            for part in _runs(labels, dims):
+                key, own = (labels[part.start], int(dims[part.start])), np.arange(part.start, part.stop)
                 p = pivots.get(key)
                 if p is None:
                     row.append(own)
                     cell.append(np.zeros(len(own), int))
+                    shell.append(np.zeros(len(own), int))
                     home.append(np.ones(len(own), bool))
                     continue
-                x = unit_rows(b.column("vector").take(pa.array(own)))
-                square = np.maximum(2 - 2 * (x @ p.T), 0)
+                square = np.maximum(2 - 2 * (matrix(b.column("vector"), part) @ p.T), 0)
                 h = square.argmin(1)
-                gap = square - square[np.arange(len(x)), h][:, None]
+                gap = square - square[np.arange(len(own)), h][:, None]
                 near = gap <= 2 * between[key][h] * reach * (1 + 1e-9) + 1e-9
+                near &= np.arange(len(p))[None, :] <= h[:, None]
                 at, to = np.nonzero(near)
                 row.append(own[at])
                 cell.append(to)
+                shell.append(np.floor(np.sqrt(square[at, to]) / width).astype(int))
                 home.append(to == h[at])
             take = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(c).take(take) for c in ("label", "dim", "rid", "weight", "vector")),
                     pa.array(np.concatenate(cell).astype(np.int32)),
+                    pa.array(np.concatenate(shell).astype(np.int32)),
                     pa.array(np.concatenate(home)),
                 ],
-                names=["label", "dim", "rid", "weight", "vector", "cell", "home"],
+                names=["label", "dim", "rid", "weight", "vector", "cell", "shell", "home"],
             )
 
     return run
 
 
+def units(placed: DataFrame, block: int) -> DataFrame:
+    """Rows with each pair of blocks (a, b) of their cell that they take part in.
+
+    Home rows of a shell are dealt to blocks, visitors likewise. A home block
+    meets itself and the home blocks after it, of its own shell and of the next,
+    and the visitors' blocks of its own shell and of those beside it.
+    """
+    keys = ["label", "dim", "cell"]
+    sizes = placed.groupBy(*keys, "shell", "home").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    lists = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shell", "home", "n"))).alias("parts"))
+    dealt = placed.join(lists, keys)
+    own = F.filter("parts", lambda p: (p["shell"] == F.col("shell")) & (p["home"] == F.col("home")))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("rid"), F.get(own, F.lit(0))["n"]).cast("int"))
+    all_blocks = F.flatten(
+        F.transform(
+            "parts",
+            lambda p: F.transform(
+                F.sequence(F.lit(0), p["n"] - 1),
+                lambda k: F.struct(p["home"].alias("home"), p["shell"].alias("shell"), k.alias("k")),
+            ),
+        )
+    )
+    mine = F.struct("home", "shell", "k")
+    shell, k, home = F.col("shell"), F.col("k"), F.col("home")
+
+    def first(o: Column) -> Column:
+        """This row's block is the pair's first."""
+        after = ((o["shell"] == shell) & (o["k"] >= k)) | (o["shell"] == shell + 1)
+        return home & ((o["home"] & after) | (~o["home"] & (F.abs(o["shell"] - shell) <= 1)))
+
+    def second(o: Column) -> Column:
+        before = ((o["shell"] == shell) & (o["k"] < k)) | (o["shell"] == shell - 1)
+        return o["home"] & ((home & before) | (~home & (F.abs(o["shell"] - shell) <= 1)))
+
+    pairs = F.concat(
+        F.transform(F.filter(all_blocks, first), lambda o: F.struct(mine.alias("a"), o.alias("b"), F.when(o == mine, 3).otherwise(1).alias("role"))),
+        F.transform(F.filter(all_blocks, second), lambda o: F.struct(o.alias("a"), mine.alias("b"), F.lit(2).alias("role"))),
+    )
+    return dealt.select(*keys, "rid", "weight", "vector", F.inline(pairs))
+
+
 _OUT = ("rid", "other", "links")
 
 
-def _join_block(rows: list[tuple], least: float) -> pa.RecordBatch:
-    """rows: rid, weight, role, vector. Links of the home rows among the others,
-    and edges (rid, other) that connect what the block links."""
-    rid = np.array([r[0] for r in rows])
-    weight = np.array([r[1] for r in rows])
-    role = np.array([r[2] for r in rows])
-    x = np.stack([r[3] for r in rows])
-    home, others = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    a, b = np.nonzero(x[home] @ x[others].T >= least)
-    other = rid[home][a] != rid[others][b]
-    a, b = home[a[other]], others[b[other]]
-    counted = np.zeros(len(rows), np.int64)
-    np.add.at(counted, a, weight[b])
-    label = np.arange(len(rows))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, new[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    tied = np.flatnonzero(rid != rid[label])
-    full = np.flatnonzero(counted)
+def _join_block(rid: np.ndarray, weight: np.ndarray, role: np.ndarray, x: np.ndarray, least: float) -> pa.RecordBatch:
+    """Links between the rows of role 1 and 2, or among those of role 3, and
+    edges (rid, other) that connect what the block links."""
+    one, two = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    y = x[two].T
+    counted, label = np.zeros(len(rid), np.int64), np.arange(len(rid))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(one), TILE):
+        a, b = np.nonzero(x[one[at : at + TILE]] @ y >= least)
+        a, b = one[at : at + TILE][a], two[b]
+        keep = (a < b) if role[0] == 3 else (rid[a] != rid[b])
+        a, b = a[keep], b[keep]
+        np.add.at(counted, a, weight[b])
+        np.add.at(counted, b, weight[a])
+        # Only a spanning forest of the links so far is kept.
+        found.append((a, b))
+        if sum(len(f[0]) for f in found) > 4 * len(rid):
+            label = _least(label, found)
+            found = [(np.arange(len(label)), label)]
+    label = _least(label, found)
+    tied, full = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(counted)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate((rid[full], rid[tied]))),
@@ -162,23 +236,43 @@ def _join_block(rows: list[tuple], least: float) -> pa.RecordBatch:
     )
 
 
+def _least(label: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least row that each row is connected to."""
+    a, b = (np.concatenate([f[i] for f in links]) if links else np.zeros(0, int) for i in (0, 1))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, new[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _blocks(least: float):
+    names = ("dim", "cell", "a_home", "a_shell", "a_k", "b_home", "b_shell", "b_k")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, rows = None, []
+        here, held = None, []
+
+        def done() -> pa.RecordBatch:
+            return _join_block(*(np.concatenate([h[i] for h in held]) for i in range(4)), least)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = zip(*(b.column(c).to_pylist() for c in ("label", "dim", "cell", "i", "j")))
-            rest = zip(*(b.column(c).to_pylist() for c in ("rid", "weight", "role")))
-            vectors = [v.values.to_numpy(zero_copy_only=False).astype(np.float64) for v in b.column("vector")]
-            for key, (rid, weight, role), v in zip(keys, rest, vectors):
+            labels = _texts(b.column("label"))
+            keys = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            rid, weight, role = (b.column(c).to_numpy() for c in ("rid", "weight", "role"))
+            for part in _runs(labels, *keys):
+                key = (labels[part.start], *(int(k[part.start]) for k in keys))
                 if key != here:
-                    if rows:
-                        yield _join_block(rows, least)
-                    here, rows = key, []
-                rows.append((rid, weight, role, v / np.sqrt(v @ v)))
-        if rows:
-            yield _join_block(rows, least)
+                    if held:
+                        yield done()
+                    here, held = key, []
+                held.append((rid[part], weight[part], role[part], matrix(b.column("vector"), part)))
+        if held:
+            yield done()
 
     return run
 
@@ -193,20 +287,22 @@ def join(
     block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    kept_as = "array<float>" if single else "array<double>"  # what is shuffled is no wider than what was given
     given = vectors.select(
         F.col(id_col).cast("bigint").alias("vec_id"),
-        F.col(label_col).cast("bigint").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(label_col).cast("string").alias("label"),
+        F.col(vector_col).cast(kept_as).alias("vector"),
     )
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     some = F.exists("vector", lambda v: v != 0)
     valid = F.coalesce(F.col("label").isNotNull() & fine & some, F.lit(False))
-    good = given.where(valid)
-    distinct = good.groupBy("label", "vector").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    same = ["label", "h1", "h2"]
+    good = given.where(valid).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("other"), "vector"))
+    distinct = good.groupBy(*same).agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     distinct = spool(
-        distinct.select(
-            F.monotonically_increasing_id().alias("rid"), "label", F.size("vector").alias("dim"), "vector", "weight", "least"
-        ),
+        distinct.select(F.monotonically_increasing_id().alias("rid"), *same, F.size("vector").alias("dim"), "vector", "weight", "least"),
         "vectors",
     )
     reach = math.sqrt(2 - 2 * least)
@@ -214,35 +310,27 @@ def join(
         map_batches(
             distinct.select("label", "dim", "rid", "weight", "vector"),
             _cells(pick_pivots(distinct, cell), reach),
-            "label bigint, dim int, rid bigint, weight bigint, vector array<double>, cell int, home boolean",
+            f"label string, dim int, rid bigint, weight bigint, vector {kept_as}, cell int, shell int, home boolean",
         ),
         "cells",
     )
-    sizes = placed.groupBy("label", "dim", "cell").agg(
-        F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count("*") / block).cast("int").alias("alls")
-    )
-    dealt = placed.join(sizes, ["label", "dim", "cell"])
-    i = F.pmod(F.xxhash64("rid", F.lit("i")), "homes").cast("int")
-    j = F.pmod(F.xxhash64("rid", F.lit("j")), "alls").cast("int")
-    # As one of the cell's own a row meets every block of all rows; as one of all rows every block of its own.
-    own = F.transform(F.sequence(F.lit(0), F.col("alls") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(1).alias("bit")))
-    all_ = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(2).alias("bit")))
-    both = F.when(F.col("home"), F.concat(own, all_)).otherwise(all_)
-    units = dealt.where("homes > 0").select(
-        "label", "dim", "cell", "rid", "weight", "vector", F.inline(both)
-    )
-    units = units.withColumnRenamed("bit", "role").repartition("label", "dim", "cell", "i", "j")
-    units = units.sortWithinPartitions("label", "dim", "cell", "i", "j")
-    found = spool(map_batches(units, _blocks(least), "rid bigint, other bigint, links bigint"), "links")
+    parts = [F.col(f"{s}.{c}").cast("int").alias(f"{s}_{c}") for s in ("a", "b") for c in ("home", "shell", "k")]
+    keys = ["label", "dim", "cell", *(f"{s}_{c}" for s in ("a", "b") for c in ("home", "shell", "k"))]
+    rows = units(placed, block).select("label", "dim", "cell", *parts, "rid", "weight", "role", "vector")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    found = spool(map_batches(rows, _blocks(least), "rid bigint, other bigint, links bigint"), "links")
     links = found.where("links > 0").groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(found.where("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")))
     rooted = distinct.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "rid", "label", "vector", "weight", "least", F.coalesce("root", "rid").alias("root")
+        "rid", *same, "weight", "least", F.coalesce("root", "rid").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(named, "root").join(links, "rid", "left").select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    total = distinct.agg(F.count("*"), F.sum("weight")).first()
+    named = join_spread(rooted, groups, ["root"], "many", total[0], "rid")
+    known = named.join(links, "rid", "left").select(
+        *same, "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )
-    linked = good.join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    linked = join_spread(good.select("vec_id", *same), known, same, "weight", total[1] or 0, "vec_id")
     alone = given.where(~valid).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    found = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))

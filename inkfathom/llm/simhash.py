@@ -20,6 +20,7 @@ rows give repeated rows; of the input only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -137,15 +138,19 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, tree_size: int =
     ``prints``: distinct fingerprints fp (bigint).
     """
     masks = block_masks(radius, blocks)
-    finer = [[m | own for own in block_masks(radius, blocks, ~m & ((1 << 64) - 1))] for m in masks]
-    shards = lambda ms, first: F.array(
-        *(F.struct(F.lit(first + i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard")) for i, m in enumerate(ms))
+    whole = (1 << 64) - 1
+    finer = [[_signed(m | own) for own in block_masks(radius, blocks, whole & ~m)] for m in masks]
+    tables = F.array(
+        *(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("shard")) for i, m in enumerate(masks))
     )
-    rows = prints.select("fp", F.inline(shards(masks, 0)))
+    rows = prints.select("fp", F.inline(tables))
     sizes = rows.groupBy("t", "shard").agg(F.count("*").alias("n")).where("n > 1")
     rows = spool(rows.join(sizes, ["t", "shard"]), "shards")
     large = rows.where(F.col("n") > tree_size).select("t", "fp")
-    nested = F.get(F.array(*(shards(ms, len(masks) * (k + 1)) for k, ms in enumerate(finer))), F.col("t"))
+    own = F.get(F.from_json(F.lit(json.dumps(finer)), "array<array<bigint>>"), F.col("t"))
+    nested = F.transform(
+        own, lambda m, i: F.struct((i + (F.col("t") + 1) * len(masks)).alias("t"), F.col("fp").bitwiseAND(m).alias("shard"))
+    )
     cut = large.select("fp", F.inline(nested))
     cut = cut.join(cut.groupBy("t", "shard").agg(F.count("*").alias("n")).where("n > 1"), ["t", "shard"])
     rows = rows.where(F.col("n") <= tree_size).unionByName(cut.select(*rows.columns))

@@ -42,7 +42,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"cell": 10, "block": 5}, {"cell": 4, "block": 64}])
+@pytest.mark.parametrize("settings", [{}, {"cell": 10, "block": 5}, {"cell": 4, "block": 64}, {"cell": 60, "block": 7}])
 def test_join_against_brute_force(spark, settings):
     rows = vectors()
     got = rangejoin.join(spark.createDataFrame(rows, VECTORS), **settings).collect()
@@ -50,6 +50,25 @@ def test_join_against_brute_force(spark, settings):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_join_in_many_dimensions_with_text_labels(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 64))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(scale=0.25, size=64)], "ab"[i % 5 == 0], "x") for i in range(400)]
+    d = spark.createDataFrame(rows, VECTORS.replace("label int", "label string"))
+    for settings in ({}, {"cell": 40, "block": 25}):
+        got = rangejoin.join(d, **settings).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+
+
+def test_pivots_grow_with_the_label(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], "a", 4) for i in range(900)]
+    d = spark.createDataFrame(rows, "rid bigint, vector array<double>, label string, dim int")
+    assert len(rangejoin.pick_pivots(d, 100)["a", 4]) == 9
+    assert len(rangejoin.pick_pivots(d, 10)["a", 4]) == 90
+    assert rangejoin.pick_pivots(d, 900) == {}
+
+
 def test_join_of_nothing(spark):
     assert rangejoin.join(spark.createDataFrame([], VECTORS)).count() == 0
     one = rangejoin.join(spark.createDataFrame([(None, [1.0], 1, ""), (None, [1.0], 1, "")], VECTORS)).collect()
