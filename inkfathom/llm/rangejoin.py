@@ -166,12 +166,16 @@ def units(placed: DataFrame, block: int) -> DataFrame:
 
     Home rows of a shell are dealt to blocks, visitors likewise. A home block
     meets itself and the home blocks after it, of its own shell and of the next,
-    and the visitors' blocks of its own shell and of those beside it.
+    and the visitors' blocks of its own shell and of those beside it. A cell of no
+    more than two blocks' rows is one unit.
     """
     keys = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*keys, "shell", "home").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    lists = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shell", "home", "n"))).alias("parts"))
-    dealt = placed.join(lists, keys)
+    sizes = placed.groupBy(*keys, "shell", "home").agg(F.count("*").alias("rows")).withColumn("n", F.ceil(F.col("rows") / block).cast("int"))
+    lists = sizes.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("shell", "home", "n"))).alias("parts"), F.collect_list("rows").alias("sizes")
+    )
+    lists = lists.withColumn("rows", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda x, y: x + y))
+    dealt = placed.join(lists.select(*keys, "parts", "rows"), keys)
     own = F.filter("parts", lambda p: (p["shell"] == F.col("shell")) & (p["home"] == F.col("home")))
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("rid"), F.get(own, F.lit(0))["n"]).cast("int"))
     all_blocks = F.flatten(
@@ -199,15 +203,17 @@ def units(placed: DataFrame, block: int) -> DataFrame:
         F.transform(F.filter(all_blocks, first), lambda o: F.struct(mine.alias("a"), o.alias("b"), F.when(o == mine, 3).otherwise(1).alias("role"))),
         F.transform(F.filter(all_blocks, second), lambda o: F.struct(o.alias("a"), mine.alias("b"), F.lit(2).alias("role"))),
     )
-    return dealt.select(*keys, "rid", "weight", "vector", F.inline(pairs))
+    none = F.struct(F.lit(True).alias("home"), F.lit(0).alias("shell"), F.lit(0).alias("k"))
+    alone = F.array(F.struct(none.alias("a"), none.alias("b"), F.when(home, 3).otherwise(2).alias("role")))
+    return dealt.select(*keys, "rid", "weight", "vector", F.inline(F.when(F.col("rows") <= 2 * block, alone).otherwise(pairs)))
 
 
 _OUT = ("rid", "other", "links")
 
 
 def _join_block(rid: np.ndarray, weight: np.ndarray, role: np.ndarray, x: np.ndarray, least: float) -> pa.RecordBatch:
-    """Links between the rows of role 1 and 2, or among those of role 3, and
-    edges (rid, other) that connect what the block links."""
+    """Links between rows of role 1 and 2 (3 is both) and edges (rid, other) that
+    connect what the block links."""
     one, two = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     y = x[two].T
     counted, label = np.zeros(len(rid), np.int64), np.arange(len(rid))
@@ -215,7 +221,7 @@ def _join_block(rid: np.ndarray, weight: np.ndarray, role: np.ndarray, x: np.nda
     for at in range(0, len(one), TILE):
         a, b = np.nonzero(x[one[at : at + TILE]] @ y >= least)
         a, b = one[at : at + TILE][a], two[b]
-        keep = (a < b) if role[0] == 3 else (rid[a] != rid[b])
+        keep = (role[a] != 3) | (role[b] != 3) | (a < b)
         a, b = a[keep], b[keep]
         np.add.at(counted, a, weight[b])
         np.add.at(counted, b, weight[a])

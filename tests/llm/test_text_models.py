@@ -125,33 +125,137 @@ def test_language_model(spark, docs, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_probabilities_sum_to_one():
-    counts = np.array([5, 9, 4, 2, 1])
-    lex = lm.Lexicon([b"", b"a", b"b", b"c", b"d"], counts, 21, 5, np.full(lm.CLASSES, 0.5))
+def lexicon_of(texts, hot=10**6):
+    """As the operator's lexicon, counted in plain Python."""
+    counts = Counter(w for t in texts for w in lm.tokens(t))
+    words = [b"", *sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:hot]]
+    mass = np.full(lm.CLASSES, lm.UNSEEN)
+    for w, c in counts.items():
+        if w not in words[: lm.WORDS]:
+            mass[lm.word_class(w)] += c + 0.5
+    return lm.Lexicon(words, np.array([counts[w] for w in words]), sum(counts.values()), len(counts), mass), counts
+
+
+def trained(lex, texts):
+    t = lex.read(texts)
     model = lm.LogBilinear(lex.unigram())
-    one, two, target = lm._triples(lex, ["a b c", "d a a", None])
-    model.train(one, two, target, 0.1, np.random.default_rng(0), {})
+    model.train(t.one, t.two, t.out, 0.1, np.random.default_rng(0), {})
+    within, place = lm.within_start(lex), lex.places(t)
+    for k in range(lm.CLASSES):
+        a, z = lex.first[k], lex.first[k + 1]
+        counts = np.zeros((lex.outputs + 1, z - a))
+        own = (place >= a) & (place < z)
+        np.add.at(counts, (t.one[own], place[own] - a), 1)
+        if own.any():
+            U, Q, b, Z = lm.fit_class(counts, lex.place_mass[a:z] / lex.place_mass[a:z].sum())
+            within.U[k], within.Q[a:z], within.b[a:z], within.Z[k] = U, Q, b, Z
+    return model, within
+
+
+def brute_score(lex, counts, model, within, text):
+    """The text's score by the definition, one token after the other."""
+    p, total = model.p, 0.0
+    before = [lex.outputs, lex.outputs]
+    for w in lm.tokens(text):
+        top = lex.words.index(w) if w in lex.words[: lm.WORDS] else None
+        k = lm.word_class(w)
+        out = top if top is not None else lex.inside + k
+        s = (p["R"][before[-1]] @ p["C1"] + p["R"][before[-2]] @ p["C2"]) @ p["Q"].T + p["b"]
+        total += s[out] - np.log(np.exp(s).sum())
+        if top is None:
+            a, z = lex.first[k], lex.first[k + 1]
+            s = within.Q[a:z] @ within.U[k, before[-1]] + within.b[a:z]
+            hot = w in lex.words and counts[w] >= lm.LEAST
+            at = lex.place[lex.words.index(w)] - a if hot else z - a - 1
+            total += s[at] - np.log(np.exp(s).sum())
+            if not hot:
+                total += np.log((counts[w] + 0.5 if counts[w] else lm.UNSEEN) / lex.place_mass[z - 1])
+        before.append(out)
+    return total / np.log(10)
+
+
+FEW = ["a b c", "d a a", None]
+#: More words than the first level has, some of them often enough for a vector.
+MANY = [" ".join(f"w{(7 * i * j + j * j) % (40 + 13 * i)}" for j in range(300)) for i in range(1, 30)]
+
+
+@pytest.mark.parametrize("texts", [FEW, MANY])
+def test_probabilities_of_all_words_sum_to_one(texts, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 5)
+    lex, counts = lexicon_of(texts)
+    model, within = trained(lex, texts)
     table = model.table()
-    assert table.shape == ((lm.OUT + 1) ** 2, lm.OUT)
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+    assert table.shape == ((lex.outputs + 1) ** 2, lex.outputs) and lex.inside == min(lm.WORDS, len(counts))
+    for lead in ("", "a b ", "w3 w9 ", "never w1 "):
+        n = len(lm.tokens(lead)) - 1
+        total = 0.0
+        for w in [*counts, *range(lm.CLASSES)]:  # every word seen, and the unseen ones of each class
+            if isinstance(w, int):
+                place = lex.first[w + 1] - 1
+                t = lex.read([lead + "x"])
+                s = table[t.one[n] * (lex.outputs + 1) + t.two[n], lex.inside + w]
+                total += 10 ** (s + float(within.score(np.array([w]), np.array([place]), t.one[n : n + 1])[0])) * lm.UNSEEN / lex.place_mass[place]
+            else:
+                t = lex.read([lead + w.decode()])
+                total += 10 ** lm.token_scores(lex, table, within, t)[n]
+        assert abs(total - 1) < 1e-3
+
+
+def test_scores_against_brute_force(monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 5)
+    lex, counts = lexicon_of(MANY, hot=300)
+    model, within = trained(lex, MANY)
+    table = model.table()
+    assert len(lex.place_mass) > lm.CLASSES + 50
+    for text in [MANY[3], "w1 w2 never seen w3", None, "w5 " * 40]:
+        t = lex.read([text])
+        got = lm.token_scores(lex, table, within, t).sum()
+        got += sum(np.log10(counts[w] + 0.5 if counts[w] else lm.UNSEEN) for w, c in zip(t.words, t.codes) if c < 0)
+        assert abs(got - brute_score(lex, counts, model, within, text)) < 1e-3
+
+
+def test_operator_score_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 320)
+    monkeypatch.setattr(lm, "LEAST", 5)
+    made = []
+    real = lm.go_on
+    monkeypatch.setattr(lm, "go_on", lambda *a: made.append((a[0], *real(*a))) or made[-1][1:])
+    long = "q" * 300
+    texts = [*MANY, f"{long} w1 {long}", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(d, F.col("doc_id") % 3 > 0).collect()}
+    (lex, model, within), counts = made[0], Counter(w for i, t in enumerate(texts) if i % 3 for w in lm.tokens(t))
+    for i, t in enumerate(texts):
+        assert abs(got[i] - brute_score(lex, counts, model, within, t)) < 1e-2
 
 
 def test_language_model_learns_order():
-    words = [b"", *(f"w{i}".encode() for i in range(8))]
     rng = random.Random(0)
     texts = []
     for _ in range(400):  # each word is followed by the next one
         at = rng.randrange(8)
         texts.append(" ".join(f"w{(at + k) % 8}" for k in range(12)))
-    counts = Counter(w for t in texts for w in lm.tokens(t))
-    lex = lm.Lexicon(words, np.array([counts[w] for w in words]), sum(counts.values()), 9, np.full(lm.CLASSES, 0.5))
+    lex, _ = lexicon_of(texts)
+    t = lex.read(texts)
     model = lm.LogBilinear(lex.unigram())
-    one, two, target = lm._triples(lex, texts)
-    before = model.table()[one * (lm.OUT + 1) + two, target].mean()
+    before = model.table()[t.one * (lex.outputs + 1) + t.two, t.out].mean()
     state, r = {}, np.random.default_rng(0)
     for _ in range(60):
-        model.train(one, two, target, 0.1, r, state)
-    assert model.table()[one * (lm.OUT + 1) + two, target].mean() > before + 0.4
+        model.train(t.one, t.two, t.out, 0.1, r, state)
+    assert model.table()[t.one * (lex.outputs + 1) + t.two, t.out].mean() > before + 0.4
+
+
+def test_a_class_learns_what_follows():
+    # after output 0 comes place 0, after output 1 place 1
+    counts = np.array([[90, 5, 5], [5, 90, 5], [30, 30, 40]])
+    U, Q, b, Z = lm.fit_class(counts, counts.sum(0) / counts.sum(), steps=300)
+    p = np.exp(U @ Q.T + b - Z[:, None])
+    assert np.allclose(p.sum(1), 1, atol=1e-5) and p[0, 0] > 0.7 and p[1, 1] > 0.7
+
+
+def test_long_words_stand_as_digests():
+    a, b = lm.tokens("x" * 65)[0], lm.tokens("y" + "x" * 64)[0]
+    assert a != b and len(a) == len(b) == lm.LONG + 1 and a[-3:] == b"xxx" and lm.tokens("x" * 64)[0] == b"x" * 64
 
 
 def test_language_model_without_training_rows(spark):
