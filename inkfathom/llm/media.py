@@ -36,8 +36,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from inkfathom.llm.common import map_batches, shared_dir
 
 WIDTH = 64
-#: Archives are closed at this size, and read in ranges of RANGE bytes.
-ARCHIVE, MEMBERS, RANGE = 32 << 20, 20_000, 8 << 20
+#: Archives are closed at this size, and read in ranges of RANGE bytes, or of
+#: such that there are no more than RANGES of them, which bounds what is planned.
+ARCHIVE, MEMBERS, RANGE, RANGES = 256 << 20, 100_000, 8 << 20, 50_000
 BATCH = 4 << 20
 TRIES = 3
 #: Fixed values of the PNG and ZIP formats.
@@ -148,7 +149,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names=["path", "size", "members"],
         )
 
-    # One row for each archive of some 32 MB: a list of files, as any scan plans one.
+    # One row for each archive of some 256 MB (or input split): a list of files, as any scan plans one.
     made = map_batches(rows, run, "path string, size bigint, members bigint").collect()
     if not made:
         return None
@@ -172,7 +173,8 @@ class ArchiveReader(DataSourceReader):
         fs, path = _opened(self.manifest)
         with fs.open_input_stream(path) as f:
             archives = json.loads(f.read())
-        return [ByteRange(p, at, min(at + self.step, n)) for p, n in archives for at in range(0, n, self.step)]
+        step = max(self.step, -(-sum(n for _, n in archives) // RANGES))
+        return [ByteRange(p, at, min(at + step, n)) for p, n in archives for at in range(0, n, step)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         fs, _ = _opened(self.manifest)

@@ -118,10 +118,17 @@ def _url_sql() -> str:
     q = "'"
     fits = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.rule}'"
-        for r in sorted(urlfilter.HOST_RULES, key=lambda r: -len(r.rule))
+        for r in sorted(urlfilter.HOST_RULES, key=lambda r: (-len(r.rule), r.rule))
     )
     said = " ".join(f"WHEN rule = '{r.rule}' THEN '{r.verdict}'" for r in urlfilter.HOST_RULES)
-    hit = " OR ".join(f"regexp_matches(low, '{r.pattern.replace(q, q * 2)}')" for r in urlfilter.PATTERN_RULES)
+    alone, offers, goods = ("|".join(ws) for ws in (urlfilter.ALONE, urlfilter.OFFERS, urlfilter.GOODS))
+    many = {t for t in urlfilter.ALONE} | {(a, b) for a in urlfilter.OFFERS for b in urlfilter.GOODS}
+    patterns = [
+        rf"(?:^|[^a-z0-9])(?:{alone})(?:[^a-z0-9]|$)",
+        rf"(?:^|[^a-z0-9])(?:{offers})[^a-z0-9]+(?:{goods})(?:[^a-z0-9]|$)",
+        *(r.pattern for r in urlfilter.PATTERN_RULES if not ({r.tokens, *r.tokens[:1]} if len(r.tokens) == 1 else {r.tokens}) & many),
+    ]
+    hit = " OR ".join(f"regexp_matches(low, '{p.replace(q, q * 2)}')" for p in patterns)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH cut AS (

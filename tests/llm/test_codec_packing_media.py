@@ -146,6 +146,54 @@ def test_media(spark):
     assert media.media_columns(d.where("false")).count() == 0
 
 
+def decoded(png):
+    """The samples of a picture, by the format alone (none of the module's code)."""
+    assert png.startswith(bytes([137, 80, 78, 71, 13, 10, 26, 10]))
+    parts, at = {}, 8
+    while at < len(png):
+        n = int.from_bytes(png[at : at + 4], "big")
+        kind, body = png[at + 4 : at + 8].decode(), png[at + 8 : at + 8 + n]
+        assert int.from_bytes(png[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind.encode() + body)
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    width, height = (int.from_bytes(parts["IHDR"][i : i + 4], "big") for i in (0, 4))
+    assert tuple(parts["IHDR"][8:]) == (8, 0, 0, 0, 0) and parts["IEND"] == b""
+    raw, out, above = zlib.decompress(parts["IDAT"]), bytearray(), bytes(width)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        assert kind in (0, 1, 2)
+        for x in range(width):
+            line[x] = (line[x] + (0, line[x - 1] if x else 0, above[x])[kind]) & 255
+        out += line
+        above = bytes(line)
+    return bytes(out)
+
+
+def test_stored_media_against_an_independent_decoder(spark):
+    texts = [None, "", "one", "é" * 99, "many words " * 500]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stored = {r["media"]: r["member"] for r in media.read_archives(spark, media.write_archives(d)).collect()}
+    found = {}
+    for png, member in stored.items():
+        i, n = (int(x) for x in member.removesuffix(".png").split("/")[1:])
+        found[i] = decoded(bytes(png))
+        assert found[i][:n] == (texts[i] or "").encode() and not any(found[i][n:])
+    for r in media.media_columns(d).collect():
+        payload = found.get(r["doc_id"], bytes(64))
+        mean = sum(payload) / len(payload)
+        spread = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        bins = [sum(x // 32 == k for x in payload) for k in range(8)]
+        assert r["feature"] == f"rows={len(payload) // 64};mean={mean:.4f};std={spread:.4f};bins=" + ",".join(map(str, bins))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
+def test_plans_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(media, "RANGES", 4)
+    d = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    manifest = media.write_archives(d)
+    assert len(media.ArchiveReader(manifest, 100, 3).partitions()) <= 5
+
+
 def test_ranges_give_every_member_once(spark, monkeypatch):
     monkeypatch.setattr(media, "ARCHIVE", 3000)
     d = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(60)], "doc_id bigint, text string").coalesce(2)

@@ -1,6 +1,13 @@
+import zlib
+
+import brute as by_definition
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_codec_packing_media import check_packing
+from test_simhash_urls import brute_groups, brute_print
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkfathom.llm import licenses, rangejoin
@@ -166,26 +173,51 @@ def test_each_licence_text_is_its_own(spark):
     assert len(files) >= 12 and got == {i: p.stem for i, p in enumerate(files)}
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "toxicity", "near_dedup", "packing"]
-    before, kept = {r["doc_id"] for r in docs.select("doc_id").collect()}, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = spool(stage(spark, kept, sf), name)
-        assert tuple(kept.columns) == corpus_pipeline.COLUMNS
-        after = {r["doc_id"] for r in kept.select("doc_id").collect()}
-        assert after <= before and len(after) >= 0.75 * len(before)
-        if name == "language_id":
-            assert len(after) >= 0.98 * len(before)
-        if name == "toxicity":
-            gone = before - after
-            assert sum(labels.get(i) == 0 for i in gone) <= 2
-        before = after
-    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
-    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == before
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = [tuple(r) for r in docs.collect()]
+
+    def after(name):
+        nonlocal docs
+        docs = spool(stage[name](spark, docs, sf), name)
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        return sorted(tuple(r) for r in docs.collect())
+
+    said = by_definition.languages([r[:3] for r in rows], lambda i: zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = sorted(r for r, (_, _, rejected) in zip(rows, said) if not rejected)
+    assert after("language_id") == rows
+
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()]
+    scores = by_definition.toxic([r[:2] for r in rows], labels, lambda i: zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [r for r, s in zip(rows, scores) if s < 0.7]
+    assert after("toxicity") == rows
+
+    groups = brute_groups([brute_print(r[1]) for r in rows])
+    least = {g: min(r[0] for r, x in zip(rows, groups) if x == g) for g in set(groups)}
+    rows = [r for r, g in zip(rows, groups) if r[0] == least[g]]
+    assert after("near_dedup") == rows
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.no_truncation(), reference.no_padding()
+    ids = [(r[0], [*reference.encode(r[1], add_special_tokens=False).ids, 0]) for r in rows]
+    check_packing(stage["packing"](spark, docs, sf).toPandas(), ids, 1024)
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    """An id that two rows of other texts share, and an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    a, b = "first words of a text that is here", "other words which have nothing in common"
+    docs = spark.createDataFrame([(5, a, "en", "s", 1), (5, b, "en", "s", 1), (6, b, "en", "s", 1)], schema)
+    kept = corpus_pipeline.unique(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, a), (5, b)])
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = spool(stage(spark, empty, "/root/testdata/sf0.001"), "empty")
+    assert empty.count() == 0
 
 
 def test_pipeline_on_nulls(spark):

@@ -142,3 +142,41 @@ def test_rules_are_filed_under_their_rarest_token():
     assert set(urlfilter.RuleIndex(rules, {"a": 1, "b": 5}).filed) == {"a"}
     for r in urlfilter.PATTERN_RULES:
         assert r.tokens
+    # a host rule's tokens: those of the host and those that its path ends
+    assert urlfilter.HostRule("a-b.org/en/1", "block").tokens == ("a", "b", "org", "en")
+    assert set(urlfilter.RuleIndex(urlfilter.HOST_RULES, {"org": 9, "com": 9, "example": 9}).filed) == {"org", "de", "en", "es", "fr"}
+    assert urlfilter.RuleIndex([urlfilter.HostRule("ελ/", "block")], {}).filed == {"": [0]}
+
+
+def brute_verdict(url, hosts, patterns, default):
+    """Every rule on every url."""
+    host, path = urlfilter.split_url(url)
+    fit = [r for r in hosts if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    if fit:
+        best = min(fit, key=lambda r: (-len(r.rule), r.rule))
+        return best.rule, best.verdict
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
+    return None, next((r.verdict for r in patterns if re.search(r.pattern, low)), default)
+
+
+def test_thousands_of_rules_from_a_table_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)] + ["a-b", "ελ", "Xy", "org", "com"]
+    made = [(f"{rng.choice(words)}.{rng.choice(words)}/{rng.choice(['', 'En/', 'en/1', 'x/y/'])}".lower().replace("en/", "En/", 1), rng.choice(["allow", "block"]), None, None) for _ in range(2500)]
+    made = list({m[0]: m for m in made}.values())
+    made += [(None, "block", rf"(?:^|[^a-z0-9])w{i}[^a-z0-9]+w{i + 1}(?:[^a-z0-9]|$)", [f"w{i}", f"w{i + 1}"]) for i in range(39)]
+    made += [(None, "block", "zz9", None)]
+    hosts, patterns = urlfilter.rules_from(spark.createDataFrame(made, "rule string, verdict string, pattern string, tokens array<string>"))
+    assert len(hosts) + len(patterns) == len(made) > 1500
+    pick = lambda: rng.choice(words)
+    urls = [f"https://{pick()}.{pick()}.{pick()}/{rng.choice(['', 'En/', 'en/12', 'x/y/z'])}{pick()}?{pick()}={pick()}" for _ in range(600)] + ["http://q.zz9x/", None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(pages, host_rules=hosts, pattern_rules=patterns).collect()}
+    assert got == {i: brute_verdict(u, hosts, patterns, "allow") for i, u in enumerate(urls)}
+    assert len({v for v in got.values()}) > 20
+
+
+def test_a_table_of_rules_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "RULE_BYTES", 10)
+    with pytest.raises(ValueError):
+        urlfilter.rules_from(spark.createDataFrame([("org/", "allow", None, None)], "rule string, verdict string, pattern string, tokens array<string>"))

@@ -3,11 +3,12 @@ import random
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkfathom.llm import langid, lm, toxicity
+from inkfathom.llm import langid, lm, ngrams, toxicity
 from inkfathom.llm.common import fold
 
 WORDS = {"aa": "the of and to in that".split(), "bb": "der die und das ist von".split(), "cc": "ελα και στο να".split()}
@@ -43,6 +44,38 @@ def test_language_id(docs):
         assert 0 <= odd[1000 + i]["score"] <= 1
 
 
+def test_language_id_against_brute_force(docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.where("length(text) < 1000 or text is null").collect()]
+    learn = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2
+    want = brute.languages(rows, learn)
+    some = docs.where("length(text) < 1000 or text is null")
+    got = {(r["doc_id"], r["text"]): r for r in langid.identify(some, ~langid.held_out()).collect()}
+    for (i, t, _), (lang, score, rejected) in zip(rows, want):
+        r = got[i, t]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4 and r["rejected"] == rejected
+
+
+def test_of_equal_cosines_the_first_language_wins():
+    model = langid.Model(["aa", "bb"], np.array([0, 1]), np.ones((1 << langid.BITS, 2)), np.ones(1 << langid.BITS), np.zeros(17))
+    assert model.predict("x")[:2] == ("aa", 0.5)
+
+
+def test_pieces_do_not_change_the_features(monkeypatch):
+    text = "one Two ΑΣ 3 four " * 40 + "x" * 300
+    whole = (langid.counts(text), toxicity.features(text))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(ngrams, "PIECE", piece)
+        for a, b in zip(whole, (langid.counts(text), toxicity.features(text))):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    d = spark.createDataFrame([(i, "abc", f"l{i}", None, None) for i in range(5)], SCHEMA)
+    with pytest.raises(ValueError):
+        langid.identify(d, F.lit(True))
+
+
 def test_foreign_text_is_rejected(spark, docs):
     model = langid.train(docs.where("lang is not null"), "doc_id")
     assert model.predict("съешь ещё этих мягких французских булок да выпей чаю")[3]
@@ -96,6 +129,21 @@ def test_toxicity(spark):
     assert toxicity.classify(d.where("false"), t, F.lit(True)).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    docs, labels = toxic_rows()
+    rows = [*((i, t) for i, t, _ in docs), (9000, None), (9001, ""), docs[0][:2], docs[0][:2]]  # a row three times
+    said = [*((i, t) for i, t, _ in labels), (docs[8][0], 0), (None, 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    t = spark.createDataFrame(said, "doc_id bigint, toxic int")
+    got = {}
+    for r in toxicity.classify(d, t, fold("doc_id", 3) != 1).collect():
+        got.setdefault((r["doc_id"], r["text"]), set()).add(r["score"])
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    for row, score in zip(rows, brute.toxic(rows, said, learn)):
+        assert len(got[row]) == 1 and abs(next(iter(got[row])) - score) < 2e-2
+        assert (next(iter(got[row])) >= 0.7) == (score >= 0.7)
+
+
 def test_nnpu_keeps_its_risk_from_falling_below_zero():
     p = np.array([[1, 0]] * 20, np.float32)
     u = np.array([[1, 0]] * 10 + [[0, 1]] * 90, np.float32)
