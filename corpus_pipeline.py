@@ -44,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("toxicity", clean), ("near_dedup", unique), ("packing", packed)]
 
-#: Learned models cannot be expressed in SQL; the tests hold the stages against brute force.
+#: Learned models cannot be expressed in SQL; the tests hold each stage against its definition in plain Python.
 ORACLE_SQL = None
 
 
