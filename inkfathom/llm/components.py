@@ -32,7 +32,8 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     # A hub's row has its values already; a salt that no right row has keeps it from meeting the others.
     salt = F.when(F.col("__of_hub").isNotNull(), F.pmod(F.xxhash64(spread), 1 << 20) + 1).otherwise(0)
     others = right.select(*keys, F.struct(*rest).alias("__of_key"), F.lit(0).cast("bigint").alias("__salt"))
-    joined = marked.withColumn("__salt", salt.cast("bigint")).join(others, [*keys, "__salt"], "left")
+    # Merged even where it is small: a broadcast of rows with structs takes much of the driver's memory.
+    joined = marked.withColumn("__salt", salt.cast("bigint")).join(others.hint("merge"), [*keys, "__salt"], "left")
     of = F.coalesce("__of_hub", "__of_key")
     return joined.select(*(F.col(c) for c in left.columns), *(of[c].alias(c) for c in rest))
 
