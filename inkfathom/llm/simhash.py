@@ -145,7 +145,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, tree_size: int =
     )
     rows = prints.select("fp", F.inline(tables))
     sizes = rows.groupBy("t", "shard").agg(F.count("*").alias("n")).where("n > 1")
-    rows = spool(rows.join(sizes, ["t", "shard"]), "shards")
+    rows = spool(rows.join(sizes.hint("merge"), ["t", "shard"]), "shards")
     large = rows.where(F.col("n") > tree_size).select("t", "fp")
     own = F.get(F.from_json(F.lit(json.dumps(finer)), "array<array<bigint>>"), F.col("t"))
     nested = F.transform(
