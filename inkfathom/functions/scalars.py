@@ -227,15 +227,22 @@ def code_ratio(text: Column) -> Column:
 
 def confidence(top: Column, evidence: Column, coverage: Column, coherence: Column) -> Column:
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    return 0.4 * unit(top) + 0.2 * unit(evidence) + 0.2 * unit(coverage) + 0.2 * unit(coherence)
+    return 0.3 * unit(top) + 0.2 * unit(evidence) + 0.2 * unit(coverage) + 0.3 * unit(coherence)
 
 
 def in_rollout(flag: str, user: Column, percent: int) -> Column:
     return F.pmod(F.xxhash64(user, F.lit(flag)), 100) < percent
 
 
-def cache_key(values: Column, version: str) -> Column:
-    return F.substring(F.sha2(F.concat(F.to_json(values), F.lit("|" + version)), 256), 1, 16)
+def cache_key(values: Column, version: str | Column) -> Column:
+    """Of the values as JSON in their order and a version, in which an epoch may stand."""
+    v = version if isinstance(version, Column) else F.lit(version)
+    return F.substring(F.sha2(F.concat(F.to_json(values), F.lit("|"), v), 256), 1, 16)
+
+
+def boost_terms(found: Column) -> Column:
+    """Names as terms to boost by: trimmed lower case, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.lower(F.trim(x))), lambda x: x != "")))
 
 
 def max_sim(query: Column, doc: Column, normalised: bool = True) -> Column:

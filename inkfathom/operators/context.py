@@ -18,6 +18,18 @@ def budget_prefix(rows: DataFrame, group: str, order: list, tokens: str, budget:
     return r.withColumn("__stop", stop).where("__stop is null or __place < __stop").drop("__stop", "__place")
 
 
+def phase_budget(rows: DataFrame, group: str, order: str, phase: str, tokens: str, size: str, most: int, most_bytes: int, shares: dict) -> DataFrame:
+    """Rows of each group before the first that exceeds the whole budget of tokens
+    or bytes or its phase's share of one; phase_tokens and phase_bytes are running sums."""
+    so_far = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cap = lambda total: F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(int(total * v)))))[F.col(phase)]
+    r = rows.withColumn("phase_tokens", F.sum(tokens).over(so_far(group, phase))).withColumn("phase_bytes", F.sum(size).over(so_far(group, phase)))
+    over = (F.sum(tokens).over(so_far(group)) > most) | (F.sum(size).over(so_far(group)) > most_bytes)
+    r = r.withColumn("__over", over | (F.col("phase_tokens") > cap(most)) | (F.col("phase_bytes") > cap(most_bytes)))
+    stop = F.min(F.when(F.col("__over"), F.col(order))).over(Window.partitionBy(group))
+    return r.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).drop("__stop", "__over")
+
+
 def capped(rows: DataFrame, group: str | list[str], order: list, cap: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap).drop("__n")

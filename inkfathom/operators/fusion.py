@@ -87,7 +87,7 @@ def dedup_best(rows: DataFrame, vector_weight: float, graph_weight: float) -> Da
     """One row for each query_id, id. The one with a rerank score, then of largest
     fused, wins; vector and graph take their maxima; where an id came more than
     once, fused is weighted anew from them."""
-    key = F.struct(F.col("rerank").isNotNull().cast("int"), F.coalesce("fused", F.lit(0.0)), F.col("source"))
+    key = F.struct(F.col("rerank").isNotNull().cast("int"), F.coalesce("fused", "vector", F.lit(0.0)), F.col("source"))
     g = rows.groupBy("query_id", "id").agg(
         F.max_by("source", key).alias("source"),
         F.max_by("fused", key).alias("own"),
@@ -100,6 +100,19 @@ def dedup_best(rows: DataFrame, vector_weight: float, graph_weight: float) -> Da
     return g.withColumn("fused", F.when(F.col("n") > 1, again).otherwise(F.col("own"))).drop("own")
 
 
+def dedup_merged(rows: DataFrame, vector_weight: float = 0.7, graph_weight: float = 0.3) -> DataFrame:
+    """As ``dedup_best``, for rows whose every score may be missing: without a
+    fused score the vector's tells who wins; bm25 is merged too, and what no copy
+    of a row that came more than once has is 0."""
+    key = F.struct(F.col("rerank").isNotNull().cast("int"), F.coalesce("fused", "vector", F.lit(0.0)), F.col("source"))
+    best = {c: F.max(c).alias(c) for c in ("vector", "graph", "bm25", "rerank")}
+    g = rows.groupBy("query_id", "id").agg(F.max_by("source", key).alias("source"), F.max_by("fused", key).alias("own"), *best.values(), F.count("*").alias("n"))
+    for c in ("vector", "graph", "bm25"):
+        g = g.withColumn(c, F.when(F.col("n") > 1, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)))
+    again = vector_weight * F.col("vector") + graph_weight * F.col("graph")
+    return g.withColumn("fused", F.when(F.col("n") > 1, again).otherwise(F.col("own"))).drop("own")
+
+
 def dedup_first(rows: DataFrame, group: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
@@ -122,12 +135,40 @@ STRUCTURAL = {
 
 #: Rank fusion weights by query type and field.
 FIELD_WEIGHTS = {
+    "conceptual": {"content": 2.5, "title": 1.0, "text-sparse": 0.3, "doc_title-sparse": 0.8, "title-sparse": 0.8, "entity-sparse": 0.6},
+    "cli": {"content": 1.5, "title": 1.5, "text-sparse": 0.8, "doc_title-sparse": 0.8, "title-sparse": 1.0, "entity-sparse": 1.8},
     "config": {"content": 1.8, "title": 1.2, "text-sparse": 0.7, "doc_title-sparse": 0.8, "title-sparse": 1.0, "entity-sparse": 1.5},
     "procedural": {"content": 2.0, "title": 1.2, "text-sparse": 0.5, "doc_title-sparse": 0.8, "title-sparse": 1.0, "entity-sparse": 0.8},
     "troubleshooting": {"content": 2.0, "title": 1.0, "text-sparse": 0.6, "doc_title-sparse": 0.8, "title-sparse": 0.8, "entity-sparse": 1.5},
     "reference": {"content": 1.8, "title": 1.5, "text-sparse": 0.6, "doc_title-sparse": 1.0, "title-sparse": 1.2, "entity-sparse": 1.0},
 }
 
+#: Edges walked from a query's results by its type, and at most how many neighbours.
+RELATIONS = {
+    "conceptual": ("MENTIONS", "DEFINES", "IN_SECTION", "REFERENCES"),
+    "cli": ("MENTIONS", "CONTAINS_STEP", "HAS_PARAMETER"),
+    "config": ("MENTIONS", "HAS_PARAMETER", "DEFINES", "REFERENCES"),
+    "procedural": ("MENTIONS", "CONTAINS_STEP", "NEXT_CHUNK", "IN_SECTION", "REFERENCES"),
+    "troubleshooting": ("MENTIONS", "RESOLVES", "NEXT_CHUNK", "REFERENCES"),
+    "reference": ("MENTIONS", "NEXT_CHUNK", "REFERENCES"),
+}
+RELATION_CAPS = {"procedural": 10, "troubleshooting": 15, "reference": 5}
+
+
+def relations_of(kind: Column, default: list[str], cap: int) -> tuple[Column, Column]:
+    """The edge types of a query type (or the default ones) and the number of neighbours."""
+    table = F.create_map(*(x for k, v in RELATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    caps = F.create_map(*(x for k, v in RELATION_CAPS.items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(table[kind], F.array(*map(F.lit, default))), F.least(F.coalesce(caps[kind], F.lit(cap)), F.lit(cap))
+
+
+def field_weights(kind: Column, base: dict[str, float] | None = None) -> Column:
+    """A map of the fields' weights: those of the query type (unknown: conceptual) over the base ones."""
+    known = F.lower(F.trim(kind))
+    one = lambda w: F.create_map(*(x for f, v in w.items() for x in (F.lit(f), F.lit(float(v)))))
+    table = F.create_map(*(x for k, v in FIELD_WEIGHTS.items() for x in (F.lit(k), one((base or {}) | v))))
+    return F.coalesce(table[known], one((base or {}) | FIELD_WEIGHTS["conceptual"]))
+
 
 def structural_boost(score: Column, kind: Column, has_code: Column, has_table: Column, depth: Column) -> Column:
     """Multiplied by query type for code and tables, less for deep paths; unknown types count as conceptual."""

@@ -88,3 +88,33 @@ def nearest_before(rows: DataFrame, parents: DataFrame, group: str, order: str,
     return (
         both.withColumn("parent", F.last("__parent", ignorenulls=True).over(w)).where("__kind = 1").drop("__kind", "__parent")
     )
+
+
+#: Relations that may be made between entities.
+ENTITY_RELATIONS = ("CONTAINS_STEP", "REFERENCES", "CONFIGURES", "RESOLVES")
+
+
+def relation_outcomes(edges: DataFrame, nodes: DataFrame, allowed: Sequence[str] = ENTITY_RELATIONS) -> DataFrame:
+    """type, created, missing, refused: distinct edges (type, src, dst) by what becomes of them; ``nodes``: dst that exist."""
+    known = nodes.select("dst", F.lit(True).alias("__known"))
+    e = edges.distinct().join(known, "dst", "left")
+    may, there = F.col("type").isin(*allowed), F.col("__known").isNotNull()
+    return e.groupBy("type").agg(F.count_if(may & there).alias("created"), F.count_if(may & ~there).alias("missing"), F.count_if(~may).alias("refused"))
+
+
+def connecting_nodes(edges: DataFrame, seeds: DataFrame, hops: int, most: int) -> DataFrame:
+    """node, distance: nodes on a shortest path between two of the (few) seeds, seeds left out, by least length of the path."""
+    found = shortest_paths(edges, seeds, seeds, hops, "both").where("seed < node")
+    on = found.select(F.explode(F.split("path", ">")).alias("node"), "distance").join(seeds.select("node"), "node", "left_anti")
+    return on.groupBy("node").agg(F.min("distance").alias("distance")).orderBy("distance", "node").limit(most)
+
+
+def prune_edges(edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """src, dst, score, kept: edges by late interaction of their ends' vectors
+    (doc, m: a bounded list each); one that lacks vectors is kept without a score."""
+    from inkfathom.functions.scalars import max_sim
+
+    v = lambda end, name: vectors.select(F.col("doc").alias(end), F.col("m").alias(name))
+    j = edges.join(v("src", "a"), "src", "left").join(v("dst", "b"), "dst", "left")
+    score = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.round(max_sim(F.col("a"), F.col("b")), 6))
+    return j.select("src", "dst", score.alias("score")).withColumn("kept", F.coalesce(F.col("score") >= threshold, F.lit(True)))

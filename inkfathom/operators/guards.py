@@ -72,3 +72,40 @@ def checked_plan(df: DataFrame, most_rows: float = 1e10) -> DataFrame:
 def normal_sql(sql: str) -> str:
     """A statement with its literals as parameters: its fingerprint's text."""
     return re.sub(r"\s+", " ", re.sub(r"\b\d+(\.\d+)?\b", "?", re.sub(r"'(?:[^']|'')*'", "?", sql))).strip().lower()
+
+
+#: Most steps, most results and the edges of a template.
+GUARDRAILS = {
+    "dependency_chain": (5, 100, ("MENTIONS", "CONTAINS_STEP", "HAS_PARAMETER")),
+    "impact_assessment": (3, 100, ("MENTIONS", "CONTAINS_STEP")),
+    "comparison": (2, 100, ("MENTIONS", "CONTAINS_STEP")),
+}
+
+
+def guarded(requests: DataFrame) -> DataFrame:
+    """Requests (template, depth, results, rel, ...) with depth and results cut to
+    the template's limits, and verdict ok, clamped or refused (an edge or template that is not allowed)."""
+    table = F.create_map(*(
+        x for name, (d, n, rels) in GUARDRAILS.items()
+        for x in (F.lit(name), F.struct(F.lit(d).cast("bigint").alias("depth"), F.lit(n).cast("bigint").alias("results"), F.array(*map(F.lit, rels)).alias("rels")))
+    ))
+    r = requests.withColumn("__g", table[F.col("template")])
+    over = (F.col("depth") > F.col("__g.depth")) | (F.col("results") > F.col("__g.results"))
+    allowed = F.coalesce(F.array_contains("__g.rels", F.col("rel")), F.lit(False))
+    verdict = F.when(~allowed, "refused").when(over, "clamped").otherwise("ok")
+    return (
+        r.withColumn("verdict", verdict).withColumn("depth", F.least("depth", "__g.depth"))
+        .withColumn("results", F.least("results", "__g.results")).drop("__g")
+    )
+
+
+def expected(asked: DataFrame, found: DataFrame, batch: str, id_col: str) -> DataFrame:
+    """batch, expected, found, status (complete, partial, empty) and the missing ids of each batch."""
+    there = found.select(id_col, F.lit(True).alias("__there")).distinct()
+    j = asked.select(batch, id_col).join(there, id_col, "left")
+    g = j.groupBy(batch).agg(
+        F.count("*").alias("expected"), F.count("__there").alias("found"), F.sort_array(F.collect_list(F.when(F.col("__there").isNull(), F.col(id_col)))).alias("__lost")
+    )
+    status = F.when(F.col("found") == 0, "empty").when(F.col("found") < F.col("expected"), "partial").otherwise("complete")
+    lost = F.array_join(F.transform("__lost", lambda x: x.cast("string")), ",")
+    return g.select(batch, "expected", "found", status.alias("status"), lost.alias("missing"))

@@ -128,9 +128,9 @@ REFERENCES = (
 )
 
 
-def references(chunks: DataFrame, doc_col: str, id_col: str, text_col: str) -> DataFrame:
+def references(chunks: DataFrame, doc_col: str, id_col: str, text_col: str, kinds: tuple[str, ...] = ("hyperlink", "see_also", "related", "refer_to")) -> DataFrame:
     """document, source, hint, kind, confidence: each hint of a document once, by its surest kind, then first chunk."""
-    found = F.concat(*(_tagged(found_spans(F.col(text_col), p), "hint", k, c) for k, p, c in REFERENCES))
+    found = F.concat(*(_tagged(found_spans(F.col(text_col), p), "hint", k, c) for k, p, c in REFERENCES if k in kinds))
     rows = chunks.select(F.col(doc_col).alias("document"), F.col(id_col).alias("source"), F.inline(found))
     rows = rows.withColumn("hint", F.trim("hint")).where("hint <> ''")
     w = Window.partitionBy("document", F.lower("hint")).orderBy(F.desc("confidence"), "source", "hint")

@@ -28,55 +28,81 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(
     rows: DataFrame,
     queries: DataFrame,
-    k: int,
+    k: int | None,
     dims: slice = slice(None),
     least: float | None = None,
     unlike: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
-    """query_id, id, score, rank: the k rows of largest cosine, ties by id.
+    """query_id, id, score, rank: ``knn_fields`` of one field."""
+    return knn_fields(rows, queries, k, {"": dims}, least, unlike, block).drop("field")
+
+
+def knn_fields(
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int | None,
+    fields: dict[str, slice],
+    least: float | None = None,
+    unlike: bool = False,
+    block: int = BLOCK,
+) -> DataFrame:
+    """query_id, field, id, score, rank: for each field (a part of the vector) the
+    k rows of largest cosine, ties by id; without k all rows, and no rank.
 
     ``rows``: id, vector, grp; ``queries``: query_id, vector, grp. ``unlike``:
-    only rows of another grp. Rows are dealt into blocks; every block meets all
-    queries as one matrix product and gives its own k best, of which the best
-    are picked, so nothing larger than blocks times queries times k is shuffled.
+    only rows of another grp. Rows and queries are dealt into blocks; each pair
+    of blocks meets as one matrix product a field and gives its own k best, of
+    which the best are picked, so what is shuffled beside the vectors is k a
+    query, field and block of rows. Null vectors and those with null or
+    non-finite components are left out; vectors meet only those of their length.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / block)).cast("int")
-    dealt = rows.select(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "vector", "grp")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "query_id", "vector", "grp")
-
-    def unit(column: pd.Series) -> np.ndarray:
-        x = np.stack([np.asarray(v, np.float64) for v in column])[:, dims]
+    number = F.lit(1).cast("bigint")
+    fine = F.col("vector").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sized = rows.select(number.alias("r"), F.lit(0).cast("bigint").alias("q")).unionAll(queries.select(F.lit(0).cast("bigint"), number))
+    n = sized.agg(F.sum("r").alias("r"), F.sum("q").alias("q")).first()
+    blocks, asked_blocks = (max(1, -(-(x or 0) // block)) for x in (n["r"], n["q"]))
+    deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = rows.where(fine).select(deal("id", blocks).alias("b"), every(asked_blocks).alias("a"), "id", "vector", "grp")
+    asked = queries.where(fine).select(deal("query_id", asked_blocks).alias("a"), every(blocks).alias("b"), "query_id", "vector", "grp")
+
+    def unit(x: np.ndarray) -> np.ndarray:
         n = np.sqrt(np.einsum("ij,ij->i", x, x))
         return x / np.where(n > 0, n, np.inf)[:, None]
 
     def search(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "id": [], "score": []}
-        if len(r) and len(q):
-            r = r.sort_values("id", ignore_index=True)
-            x, grp, ids = unit(r["vector"]), r["grp"].to_numpy(), r["id"].to_numpy()
-            for at in range(0, len(q), 256):
-                part = q.iloc[at : at + 256]
-                s = np.round(unit(part["vector"]) @ x.T, 9)
-                for row, query, own in zip(s, part["query_id"], part["grp"]):
-                    ok = np.ones(len(row), bool)
-                    if least is not None:
-                        ok &= row >= least
-                    if unlike:
-                        ok &= grp != own
-                    own_rows = np.flatnonzero(ok)
-                    best = own_rows[np.argsort(-row[own_rows], kind="stable")[:k]]
-                    out["query_id"] += [query] * len(best)
-                    out["id"] += ids[best].tolist()
-                    out["score"] += row[best].tolist()
+        out: dict[str, list] = {"query_id": [], "field": [], "id": [], "score": []}
+        lengths_r, lengths_q = r["vector"].map(len), q["vector"].map(len)
+        for size in sorted(set(lengths_r) & set(lengths_q)):
+            own, ask = r[lengths_r == size].sort_values("id", ignore_index=True), q[lengths_q == size]
+            whole = np.stack([np.asarray(v, np.float64) for v in own["vector"]])
+            grp, ids = own["grp"].to_numpy(), own["id"].to_numpy()
+            for name, dims in fields.items():
+                x = unit(whole[:, dims])
+                for at in range(0, len(ask), 256):
+                    part = ask.iloc[at : at + 256]
+                    s = np.round(unit(np.stack([np.asarray(v, np.float64) for v in part["vector"]])[:, dims]) @ x.T, 9)
+                    for row, query, its in zip(s, part["query_id"], part["grp"]):
+                        ok = np.ones(len(row), bool)
+                        if least is not None:
+                            ok &= row >= least
+                        if unlike:
+                            ok &= grp != its
+                        kept = np.flatnonzero(ok)
+                        best = kept[np.argsort(-row[kept], kind="stable")[:k]]
+                        out["query_id"] += [query] * len(best)
+                        out["field"] += [name] * len(best)
+                        out["id"] += ids[best].tolist()
+                        out["score"] += row[best].tolist()
         return pd.DataFrame(out)
 
     found = (
-        dealt.groupBy("block")
-        .cogroup(asked.groupBy("block"))
-        .applyInPandas(search, "query_id bigint, id bigint, score double")
+        dealt.groupBy("a", "b")
+        .cogroup(asked.groupBy("a", "b"))
+        .applyInPandas(search, "query_id bigint, field string, id bigint, score double")
     )
-    return top_k(found, "query_id", [F.desc("score"), "id"], k)
+    return found if k is None else top_k(found, ["query_id", "field"], [F.desc("score"), "id"], k)
 
 
 def top_k(rows: DataFrame, group: str | list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -124,6 +150,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     )
 
 
+def query_vectors(vector: Column, weights: dict[str, float], max_field: str, field: str = "content") -> Column:
+    """What each strategy sends: array of struct(strategy, field, vector). Weighted
+    scales the vector for each field of a weight above 0."""
+    one = lambda s, f, v: F.struct(F.lit(s).alias("strategy"), F.lit(f).alias("field"), v.alias("vector"))
+    scaled = [one("weighted", f, F.transform(vector, lambda x, w=w: x * w)) for f, w in weights.items() if w > 0]
+    return F.array(one("content_only", field, vector), one("max_field", max_field, vector), *(scaled or [one("weighted", field, vector)]))
+
+
 def dense_fields(embeddings: DataFrame) -> dict[str, slice]:
     """The named vectors that the adapters cut from one embedding."""
     return {"content": slice(None), "title": slice(0, 32), "doc_title": slice(32, 64)}

@@ -360,5 +360,5 @@ def cross_document_similarity(spark: SparkSession, sf: str) -> DataFrame:
     from inkfathom.plans.search import asked, rows
 
     r = rows(spark, sf)
-    found = search.knn(r, asked(spark, sf), r.count(), least=0.25, unlike=True)
+    found = search.knn(r, asked(spark, sf), None, least=0.25, unlike=True)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))

@@ -149,11 +149,11 @@ def filename_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("C22 C34", """
-SELECT o_orderkey AS id, round(0.4 * least(1, o_totalprice / 500000) + 0.2 * least(1, (o_orderkey % 7) / 5.0) + 0.2 * least(1, (o_orderkey % 3) / 2.0) + 0.2 * (o_custkey % 2), 6)::DOUBLE AS confidence FROM orders""")
+SELECT o_orderkey AS id, round(0.3 * least(1, o_totalprice / 500000) + 0.2 * least(1, (o_orderkey % 7) / 5.0) + 0.2 * least(1, (o_orderkey % 3) / 2.0) + 0.3 * (o_custkey % 2), 9)::DOUBLE AS confidence FROM orders""")
 def answer_confidence(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     c = S.confidence(F.col("o_totalprice") / 500000, k % 7 / 5.0, k % 3 / 2.0, F.col("o_custkey") % 2)
-    return table(spark, sf, "orders").select(k.alias("id"), F.round(c, 6).alias("confidence"))
+    return table(spark, sf, "orders").select(k.alias("id"), F.round(c, 9).alias("confidence"))
 
 
 @query("C23 C24 X04", """

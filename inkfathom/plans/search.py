@@ -29,9 +29,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def rankings(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
     r, q = rows(spark, sf), asked(spark, sf)
-    fields = search.dense_fields(r)
-    parts = [search.knn(r, q, k, dims).withColumn("field", F.lit(f)) for f, dims in fields.items()]
-    return reduce(DataFrame.unionByName, parts).select("query_id", "field", "id", "score")
+    return search.knn_fields(r, q, k, search.dense_fields(r)).select("query_id", "field", "id", "score")
 
 
 def with_document(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
@@ -65,8 +63,7 @@ def knn_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("V02", fields_sql("SELECT query_id, id, score FROM scored WHERE field = 'content' AND score >= 0.3"))
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    n = rows(spark, sf).count()
-    return search.knn(rows(spark, sf), asked(spark, sf), n, least=0.3).select("query_id", "id", "score")
+    return search.knn(rows(spark, sf), asked(spark, sf), None, least=0.3).select("query_id", "id", "score")
 
 
 @query("V17 V18 P07", fields_sql("""
@@ -296,6 +293,7 @@ def entity_boost(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_WORDS_SQL = "list_filter(string_split(lower(translate(text, chr(10), ' ')), ' '), lambda x: x <> '')"
 _BM25_SQL = """
 WITH w AS (SELECT doc_id AS id, list_filter(string_split(lower(translate(text, chr(10), ' ')), ' '), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM w),
@@ -362,7 +360,7 @@ def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("V19 N02", """
 WITH e AS (SELECT DISTINCT p_brand AS brand, lower(p_brand) AS b FROM part)
-SELECT c.turn, e.brand, CAST(count(*) FILTER (contains(lower(c.text), split_part(e.b, '#', 1))) AS BIGINT) AS hits,
+SELECT c.conv_id, c.turn, e.brand, CAST(count(*) FILTER (contains(lower(c.text), split_part(e.b, '#', 1))) AS BIGINT) AS hits,
   max(CASE WHEN lower(c.text) = e.b THEN 1.0 WHEN contains(lower(c.text), e.b) THEN 0.9 WHEN contains(lower(c.text), left(e.b, 2)) THEN 0.8 ELSE CAST(0 AS DOUBLE) END) AS score
 FROM conversations c CROSS JOIN e GROUP BY ALL""")
 def focused_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,6 +372,6 @@ def focused_entities(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.contains(low, F.substring("b", 1, 2)), 0.8).otherwise(0.0)
     )
     return (
-        table(spark, sf, "conversations").crossJoin(e).groupBy("turn", "brand")
+        table(spark, sf, "conversations").crossJoin(F.broadcast(e)).groupBy("conv_id", "turn", "brand")
         .agg(F.count_if(F.contains(low, F.split_part("b", F.lit("#"), F.lit(1)))).alias("hits"), F.max(score).alias("score"))
     )

@@ -16,17 +16,31 @@ def _file_system(df: DataFrame, path: str):
 
 
 def replace(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write beside the table, then put it in the old one's place: readers see
-    the old table or the new one, and a failed write leaves the old."""
+    """Write beside the table, then put it in the old one's place. A failed write
+    or rename leaves the old; between the two renames there is no table for a moment."""
     staged = f"{path}.{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
     fs, target, make = _file_system(df, path)
     old = make(f"{staged}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(make(staged), target)
-    fs.delete(old, True)
+    swap(fs, target, make(staged), old)
+
+
+def swap(fs, target, staged, old) -> None:
+    """Puts ``staged`` in ``target``'s place. Where a rename fails the old table is
+    put back, and nothing is deleted before the new one stands."""
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{target} could not be moved; it stands as it was, the new table is at {staged}")
+    try:
+        done = fs.rename(staged, target)
+    except Exception:
+        done = False
+    if not done:
+        back = not had or fs.rename(old, target)
+        raise OSError(f"{staged} could not be moved to {target}; the old table is {'there' if back else f'at {old}'}")
+    if had:
+        fs.delete(old, True)
 
 
 def upsert(rows: DataFrame, path: str, key: str) -> None:

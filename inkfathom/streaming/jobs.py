@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: State of a client or service that is heard of no more is dropped after this time.
+IDLE_MS = 3_600_000
+
+
 def watch(spark: SparkSession, folder: str, extensions: str = "*.{md,html}", per_trigger: int = 1000) -> DataFrame:
     """New files of a folder as path, mtime, length, content, at most ``per_trigger`` at once."""
     return (
@@ -71,20 +75,24 @@ def token_bucket(requests: DataFrame, per_minute: float = 60.0, burst: int = 10)
     """client, ts (ms), allowed: a bucket a client, refilled by the requests' own times."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (float(burst), -1)
-        for b in batches:
-            out = []
-            for ts in sorted(b["ts"]):
-                level = float(burst) if last < 0 else min(float(burst), level + (ts - last) / 60000 * per_minute)
-                last = ts
-                out.append(level >= 1)
-                level -= 1 if level >= 1 else 0
-            yield pd.DataFrame({"client": key[0], "ts": sorted(b["ts"]), "allowed": out})
+        times, out = sorted(pd.concat(list(batches))["ts"]), []
+        for ts in times:
+            # a request that comes late finds the bucket as it is
+            level = float(burst) if last < 0 else min(float(burst), level + max(0, ts - last) / 60000 * per_minute)
+            last = max(last, ts)
+            out.append(level >= 1)
+            level -= 1 if level >= 1 else 0
+        yield pd.DataFrame({"client": key[0], "ts": times, "allowed": out})
         state.update((level, last))
+        state.setTimeoutDuration(IDLE_MS)
 
     rows = requests.select("client", F.unix_millis("ts").alias("ts"))
     return rows.groupBy("client").applyInPandasWithState(
-        step, "client string, ts bigint, allowed boolean", "level double, last bigint", "append", GroupStateTimeout.NoTimeout
+        step, "client string, ts bigint, allowed boolean", "level double, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -93,27 +101,30 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, open_ms: int = 30_000)
     for one trial when the pause is over, whose success closes it again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failed, opened = state.get if state.exists else (0, -1)
-        for b in batches:
-            b, out = b.sort_values("ts"), []
-            for ts, ok in zip(b["ts"], b["ok"]):
-                if opened >= 0 and ts - opened < open_ms:
-                    out.append("open")
-                    continue
-                trial = opened >= 0
-                out.append("half_open" if trial else "closed")
-                if ok:
-                    failed, opened = 0, -1
-                else:
-                    failed += 1
-                    if trial or failed >= failures:
-                        opened = int(ts)
-            yield pd.DataFrame({"service": key[0], "ts": list(b["ts"]), "state": out})
+        b, out = pd.concat(list(batches)).sort_values("ts", kind="stable"), []
+        for ts, ok in zip(b["ts"], b["ok"]):
+            if opened >= 0 and ts - opened < open_ms:
+                out.append("open")
+                continue
+            trial = opened >= 0
+            out.append("half_open" if trial else "closed")
+            if ok:
+                failed, opened = 0, -1
+            else:
+                failed += 1
+                if trial or failed >= failures:
+                    opened = int(ts)
+        yield pd.DataFrame({"service": key[0], "ts": list(b["ts"]), "state": out})
         state.update((failed, opened))
+        state.setTimeoutDuration(IDLE_MS)
 
     rows = calls.select("service", F.unix_millis("ts").alias("ts"), "ok")
     return rows.groupBy("service").applyInPandasWithState(
-        step, "service string, ts bigint, state string", "failed int, opened bigint", "append", GroupStateTimeout.NoTimeout
+        step, "service string, ts bigint, state string", "failed int, opened bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -130,11 +141,32 @@ def stale_jobs(jobs: DataFrame, now, timeout_seconds: int = 600, most: int = 3)
     return late.withColumn("action", F.when(F.col("retries") + 1 >= most, "dead_letter").otherwise("requeue"))
 
 
-def upsert_each(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """A query that keeps a Parquet table at the latest row of each key."""
+def latest(batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``; without an order any, as then no row is later."""
+    if order is None:
+        return batch.dropDuplicates([key])
+    best = F.max_by(F.struct("*"), F.struct(order, F.xxhash64(F.struct("*"))))
+    return batch.groupBy(F.col(key).alias("__key")).agg(best.alias("__row")).select("__row.*")
+
+
+def upsert_each(stream: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):
+    """A query that keeps a Parquet table at the latest row of each key, as ``order`` tells."""
     from inkfathom.sources.sinks import upsert
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: upsert(batch.dropDuplicates([key]), path, key)).trigger(availableNow=True).start()
+        .foreachBatch(lambda batch, _: upsert(latest(batch, key, order), path, key)).trigger(availableNow=True).start()
     )
+
+
+def resumed(spark: SparkSession, folder: str, stages, start: DataFrame) -> DataFrame:
+    """Runs named stages one after the other, each written under ``folder`` and read
+    again; a stage whose table stands whole is not run anew."""
+    jvm, rows = spark._jvm, start
+    for name, stage in stages:
+        path = f"{folder}/{name}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            stage(rows).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+    return rows
