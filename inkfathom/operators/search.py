@@ -78,7 +78,7 @@ def knn_fields(
             own, ask = r[lengths_r == size].sort_values("id", ignore_index=True), q[lengths_q == size]
             whole = np.stack([np.asarray(v, np.float64) for v in own["vector"]])
             grp, ids = own["grp"].to_numpy(), own["id"].to_numpy()
-            for name, dims in fields.items():
+            for name, dims in enumerate(fields.values()):
                 x = unit(whole[:, dims])
                 for at in range(0, len(ask), 256):
                     part = ask.iloc[at : at + 256]
@@ -95,13 +95,14 @@ def knn_fields(
                         out["field"] += [name] * len(best)
                         out["id"] += ids[best].tolist()
                         out["score"] += row[best].tolist()
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, columns=list(out))
 
     found = (
         dealt.groupBy("a", "b")
         .cogroup(asked.groupBy("a", "b"))
-        .applyInPandas(search, "query_id bigint, field string, id bigint, score double")
+        .applyInPandas(search, "query_id bigint, field int, id bigint, score double")
     )
+    found = found.withColumn("field", F.get(F.array(*map(F.lit, fields)), F.col("field")))
     return found if k is None else top_k(found, ["query_id", "field"], [F.desc("score"), "id"], k)
 
 

@@ -341,11 +341,8 @@ def dedup_merged_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("V15", fields_sql("""
-s AS (SELECT id AS query_id, 'content_only' AS strategy, 'content' AS field, v FROM e WHERE id % 100 = 0
-  UNION ALL SELECT id, 'max_field', 'title', v FROM e WHERE id % 100 = 0
-  UNION ALL SELECT id, 'weighted', 'content', v FROM e WHERE id % 100 = 0
-  UNION ALL SELECT id, 'weighted', 'title', list_transform(v, lambda x: x * 0.5::DOUBLE) FROM e WHERE id % 100 = 0)
-SELECT query_id, strategy, field, round(v[1], 9) AS first, round(sqrt(list_dot_product(v, v)), 9) AS norm FROM s"""))
+s(strategy, field, weight) AS (VALUES ('content_only', 'content', 1.0::DOUBLE), ('max_field', 'title', 1.0::DOUBLE), ('weighted', 'content', 1.0::DOUBLE), ('weighted', 'title', 0.5::DOUBLE))
+SELECT id AS query_id, strategy, field, round(v[1] * weight, 9) AS first, round(sqrt(list_dot_product(v, v)) * weight, 9) AS norm FROM e CROSS JOIN s WHERE id % 100 = 0"""))
 def query_vector_strategies(spark: SparkSession, sf: str) -> DataFrame:
     """What each strategy sends to which field for a query's vector."""
     q = asked(spark, sf).select("query_id", F.col("vector").cast("array<double>").alias("v"))
