@@ -65,7 +65,7 @@ def knn_fields(
     deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = rows.where(fine).select(deal("id", blocks).alias("b"), every(asked_blocks).alias("a"), "id", "vector", "grp")
-    asked = queries.where(fine).select(deal("query_id", asked_blocks).alias("a"), every(blocks).alias("b"), "query_id", "vector", "grp")
+    asked = queries.where(fine).select(deal("query_id", asked_blocks).alias("a"), every(blocks).alias("b"), "query_id", F.col("vector").alias("asked"), F.col("grp").alias("own"))
 
     def unit(x: np.ndarray) -> np.ndarray:
         n = np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -73,7 +73,9 @@ def knn_fields(
 
     def search(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "field": [], "id": [], "score": []}
-        lengths_r, lengths_q = r["vector"].map(len), q["vector"].map(len)
+        if not r.size or not q.size:  # a block of one side alone has no columns of the other
+            return pd.DataFrame(out, columns=list(out))
+        lengths_r, lengths_q = r["vector"].map(len), q["asked"].map(len)
         for size in sorted(set(lengths_r) & set(lengths_q)):
             own, ask = r[lengths_r == size].sort_values("id", ignore_index=True), q[lengths_q == size]
             whole = np.stack([np.asarray(v, np.float64) for v in own["vector"]])
@@ -82,8 +84,8 @@ def knn_fields(
                 x = unit(whole[:, dims])
                 for at in range(0, len(ask), 256):
                     part = ask.iloc[at : at + 256]
-                    s = np.round(unit(np.stack([np.asarray(v, np.float64) for v in part["vector"]])[:, dims]) @ x.T, 9)
-                    for row, query, its in zip(s, part["query_id"], part["grp"]):
+                    s = np.round(unit(np.stack([np.asarray(v, np.float64) for v in part["asked"]])[:, dims]) @ x.T, 9)
+                    for row, query, its in zip(s, part["query_id"], part["own"]):
                         ok = np.ones(len(row), bool)
                         if least is not None:
                             ok &= row >= least
@@ -155,7 +157,8 @@ def query_vectors(vector: Column, weights: dict[str, float], max_field: str, fie
     """What each strategy sends: array of struct(strategy, field, vector). Weighted
     scales the vector for each field of a weight above 0."""
     one = lambda s, f, v: F.struct(F.lit(s).alias("strategy"), F.lit(f).alias("field"), v.alias("vector"))
-    scaled = [one("weighted", f, F.transform(vector, lambda x, w=w: x * w)) for f, w in weights.items() if w > 0]
+    times = lambda w: F.transform(vector, lambda x: x * w)
+    scaled = [one("weighted", f, times(w)) for f, w in weights.items() if w > 0]
     return F.array(one("content_only", field, vector), one("max_field", max_field, vector), *(scaled or [one("weighted", field, vector)]))
 
 

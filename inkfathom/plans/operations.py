@@ -301,7 +301,7 @@ def structure_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return u.groupBy("seed", "node").agg(via.alias("via"))
 
 
-@query("G37", """
+@query("C26", """
 WITH e AS (SELECT vec_id // 3 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT DISTINCT doc FROM e),
 x AS (SELECT doc AS src, unnest([doc + 1, doc + 2, doc + 1000000]) AS dst FROM d),
 p AS (SELECT x.src, x.dst, q.vec_id, max(list_dot_product(q.v, t.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(t.v, t.v)) + 1e-9))) AS c FROM x JOIN e q ON q.doc = x.src JOIN e t ON t.doc = x.dst GROUP BY ALL),
