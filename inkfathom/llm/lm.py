@@ -10,8 +10,8 @@ most frequent words and ``CLASSES`` classes that share all other words out by
 their last bytes. In a class each word of ``LEAST`` occurrences or more has a
 vector of its own (so their number grows with the corpus, up to ``HOT``), and one
 slot holds the class's other words, which take their smoothed share of its count,
-and its part of the half count that stands for all words never seen. Every word
-has just one place, so the probabilities after each context sum to one.
+and half a count for all its words never seen. Every word has just one place, so
+the probabilities after each context sum to one.
 
 First level: the outputs of the two words before a token are projected, by one
 matrix for each place, to a predicted vector, whose products with the outputs'
@@ -64,7 +64,8 @@ BATCH, NOISE = 4096, 64
 #: Characters of text read at once.
 READ = 1 << 20
 _FLUSH = 300_000
-UNSEEN = 0.5 / CLASSES
+#: What stands in each class for all its words never seen.
+UNSEEN = 0.5
 
 
 def tokens(text: str | None) -> list[bytes]:
