@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-#: State of a client or service that is heard of no more is dropped after this time.
+#: State of a client or service that is heard of no more is dropped when the watermark is so far beyond its last event.
 IDLE_MS = 3_600_000
 
 
@@ -71,15 +71,20 @@ def debounce(files: DataFrame, seconds: int = 5) -> DataFrame:
     )
 
 
-def token_bucket(requests: DataFrame, per_minute: float = 60.0, burst: int = 10) -> DataFrame:
-    """client, ts (ms), allowed: a bucket a client, refilled by the requests' own times."""
+def token_bucket(requests: DataFrame, per_minute: float = 60.0, burst: int = 10, late: str = "10 minutes") -> DataFrame:
+    """client, ts (ms), allowed: a bucket a client, refilled by the requests' own times.
+
+    State goes by event time, and only when the bucket has long been full again, so that no answer depends on it.
+    Requests that come more than ``late`` after newer ones of any client get no answer.
+    """
+    idle = max(IDLE_MS, int(burst / per_minute * 60_000))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         level, last = state.get if state.exists else (float(burst), -1)
-        times, out = sorted(pd.concat(list(batches))["ts"]), []
+        times, out = sorted(pd.concat(list(batches))["ms"]), []
         for ts in times:
             # a request that comes late finds the bucket as it is
             level = float(burst) if last < 0 else min(float(burst), level + max(0, ts - last) / 60000 * per_minute)
@@ -88,25 +93,30 @@ def token_bucket(requests: DataFrame, per_minute: float = 60.0, burst: int = 10)
             level -= 1 if level >= 1 else 0
         yield pd.DataFrame({"client": key[0], "ts": times, "allowed": out})
         state.update((level, last))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle)
 
-    rows = requests.select("client", F.unix_millis("ts").alias("ts"))
+    rows = requests.withWatermark("ts", late).select("client", "ts", F.unix_millis("ts").alias("ms"))
     return rows.groupBy("client").applyInPandasWithState(
-        step, "client string, ts bigint, allowed boolean", "level double, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "client string, ts bigint, allowed boolean", "level double, last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def circuit_breaker(calls: DataFrame, failures: int = 5, open_ms: int = 30_000) -> DataFrame:
+def circuit_breaker(calls: DataFrame, failures: int = 5, open_ms: int = 30_000, late: str = "10 minutes") -> DataFrame:
     """service, ts (ms), state: closed; open after so many failures on end; half_open
-    for one trial when the pause is over, whose success closes it again."""
+    for one trial when the pause is over, whose success closes it again.
+
+    State goes by event time; a service silent for that long, and beyond its pause, starts anew as closed.
+    Calls that come more than ``late`` after newer ones of any service get no answer.
+    """
+    idle = max(IDLE_MS, 2 * open_ms)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         failed, opened = state.get if state.exists else (0, -1)
-        b, out = pd.concat(list(batches)).sort_values("ts", kind="stable"), []
-        for ts, ok in zip(b["ts"], b["ok"]):
+        b, out = pd.concat(list(batches)).sort_values("ms", kind="stable"), []
+        for ts, ok in zip(b["ms"], b["ok"]):
             if opened >= 0 and ts - opened < open_ms:
                 out.append("open")
                 continue
@@ -118,13 +128,13 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, open_ms: int = 30_000)
                 failed += 1
                 if trial or failed >= failures:
                     opened = int(ts)
-        yield pd.DataFrame({"service": key[0], "ts": list(b["ts"]), "state": out})
+        yield pd.DataFrame({"service": key[0], "ts": list(b["ms"]), "state": out})
         state.update((failed, opened))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(int(b["ms"].max()), state.getCurrentWatermarkMs()) + idle)
 
-    rows = calls.select("service", F.unix_millis("ts").alias("ts"), "ok")
+    rows = calls.withWatermark("ts", late).select("service", "ts", F.unix_millis("ts").alias("ms"), "ok")
     return rows.groupBy("service").applyInPandasWithState(
-        step, "service string, ts bigint, state string", "failed int, opened bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "service string, ts bigint, state string", "failed int, opened bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

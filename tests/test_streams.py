@@ -10,7 +10,7 @@ from inkfathom.streaming import jobs
 
 def drained(df, tmp_path, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120), q.stop()
     return df.sparkSession.table(name)
 
 
@@ -45,6 +45,21 @@ def test_bucket_and_breaker(spark, tmp_path):
     assert [r["state"] for r in got] == ["closed", "closed", "open", "half_open", "open", "half_open"]
 
 
+def test_bucket_across_batches(spark, tmp_path):
+    """A request of an earlier time in a later batch takes from the bucket as it is; long silence fills it."""
+    where = str(tmp_path / "in")
+    for client, times in (("c", ["00:10", "00:11"]), ("c", ["00:05"]), ("d", ["59:00"]), ("c", ["59:30"])):
+        day = "2024-01-02 05" if times[0].startswith("59") else "2024-01-01 00"
+        rows = spark.createDataFrame([(f"{day}:{t}", client) for t in times], "ts string, client string")
+        rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(where)
+        stream = spark.readStream.schema("ts timestamp, client string").parquet(where)
+        out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+        q = jobs.token_bucket(stream, per_minute=1, burst=2).writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out)
+        assert q.awaitTermination(120), q.stop()
+    got = spark.read.parquet(out).orderBy("client", "ts").collect()
+    assert [(r["client"], r["allowed"]) for r in got] == [("c", False), ("c", True), ("c", True), ("c", True), ("d", True)]
+
+
 def test_debounce(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "p", 5), ("2024-01-01 00:00:09", "p", 6)]
     stream = source(spark, rows, "ts string, path string, length bigint", str(tmp_path / "in")).withColumnRenamed("ts", "mtime")
