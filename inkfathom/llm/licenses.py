@@ -21,6 +21,9 @@ join on directories.
 Templates and their words are fixed; nothing else leaves the executors but one
 count for each word of the one-sentence notices.
 
+The comparisons of all texts are written once to the shared folder, as three
+joins read them.
+
 Defined cases: null and empty texts have no licence of their own; a null path
 inherits nothing; of equal cosines the licence later by name wins, of several
 licence files in a directory the one of largest cosine, then path; repeated
@@ -39,6 +42,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfathom.llm.common import spool
+
 #: Licence notices as they are commonly written.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -248,6 +253,7 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", th
     own = base.select(id_col, "path", found.alias("best")).select(
         id_col, "path", parent(F.col("path")).alias("dir"), F.when(F.col("best.score") >= threshold, F.col("best")).alias("best")
     )
+    own = spool(own, "license-own")  # read three times below; texts are compared once
     name = F.regexp_extract("path", "[^/]*$", 0)
     licence_dirs = (
         own.where(F.col("best").isNotNull() & name.rlike(LICENCE_FILE))
