@@ -6,6 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of about equal size that ``percentile_by`` cuts each group into.
+PARTS = 128
+
+
+def percentile_by(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """group, value: the exact percentile of each group, between two places in proportion.
+
+    No task sorts a group: approximate percentiles cut it into parts, the parts are
+    counted, and only the distinct values of the parts that hold the two places are
+    ranked. What the cuts are changes nothing but the parts' sizes. Null values do
+    not count; a null group is one; a group without values has no row.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.struct(F.col(group).alias("g")).alias("k"), F.col(value).alias("v"))
+    cuts = own.groupBy("k").agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)]).alias("cuts"))
+    counts = own.groupBy("k", "v").agg(F.count("*").alias("n")).join(cuts, "k")
+    parts = counts.select("k", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    whole = Window.partitionBy("k")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("k", "part").agg(F.sum("n").alias("n")).withColumn("before", before)
+    sizes = sizes.withColumn("place", F.lit(p) * (F.sum("n").over(whole) - 1))
+    low, high = F.floor("place"), F.ceil("place")
+    held = sizes.where((F.col("before") <= high) & (F.col("before") + F.col("n") > low)).select("k", "part", "before", "place")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("k", "part").orderBy("v"))
+    ranked = parts.join(held, ["k", "part"]).withColumn("upto", upto)
+    found = ranked.groupBy("k", "place").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"))
+    return found.select(F.col("k.g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - low)).alias(value))
+
+
 def memberships(chunks: DataFrame, members: DataFrame) -> DataFrame:
     """Chunks that are not in exactly one document. ``members``: chunk_id, document_id."""
     n = members.groupBy("chunk_id").agg(F.count_distinct("document_id").alias("documents"))

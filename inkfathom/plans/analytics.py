@@ -222,7 +222,9 @@ WITH m AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.95) AS p95 F
 SELECT event_type, round(p95, 6) AS p95, CASE WHEN p95 <= 100 THEN 'OK' WHEN p95 <= 200 THEN 'ALERT' ELSE 'PAGE' END AS latency,
   CASE WHEN n >= 300 THEN 'OK' WHEN n >= 150 THEN 'ALERT' ELSE 'PAGE' END AS volume, CASE WHEN event_type <> 'error' THEN 'OK' ELSE 'PAGE' END AS errors FROM m""")
 def slo_status(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.95).alias("p95"))
+    e = table(spark, sf, "events")
+    p95 = quality.percentile_by(e, "event_type", "value", 0.95).withColumnRenamed("value", "p95")
+    m = e.groupBy("event_type").agg(F.count("*").alias("n")).join(p95, "event_type")
     wrong = F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)
     return m.select(
         "event_type", F.round("p95", 6).alias("p95"), quality.slo_status(F.col("p95"), F.lit(100.0), "max").alias("latency"),
@@ -263,7 +265,9 @@ WITH m AS (SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.95) AS
 SELECT a.event_type AS treatment, round(a.mean / b.mean - 1, 6) AS gain, round(a.p95 / b.p95, 6) AS latency_ratio, a.mean / b.mean - 1 >= 0.0 AND a.p95 / b.p95 <= 1.1 AND a.p95 <= 500 AS go
 FROM m a CROSS JOIN m b WHERE b.event_type = 'view' AND a.event_type <> 'view'""")
 def go_no_go(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", 0.95).alias("p95"))
+    e = table(spark, sf, "events")
+    p95 = quality.percentile_by(e, "event_type", "value", 0.95).withColumnRenamed("value", "p95")
+    m = e.groupBy("event_type").agg(F.avg("value").alias("mean")).join(p95, "event_type")
     base = m.where("event_type = 'view'").select(F.col("mean").alias("m0"), F.col("p95").alias("p0"))
     both = m.where("event_type <> 'view'").crossJoin(F.broadcast(base))  # one row
     gain, ratio = F.col("mean") / F.col("m0") - 1, F.col("p95") / F.col("p0")

@@ -215,3 +215,14 @@ def test_whole_texts_are_projected(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["whole_text_projection"](spark, sf).collect()
     assert got and all(r["text"] == texts[r["doc_id"]] for r in got) and any(len(r["text"]) > 100 for r in got)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
+def test_percentile_by_is_exact(spark, p):
+    """Ties, null values, a null group, a group of one value, a group of none, as against Spark's own exact percentile."""
+    spread = [("a", float(i * i % 7919)) for i in range(3000)] + [("a", 5.0)] * 2000 + [("b", 2.0)] * 40 + [("b", 9.0)]
+    few = [(None, 1.0), (None, 4.0), ("one", 3.5), ("one", None), ("none", None)]
+    df = spark.createDataFrame(spread + few, "g string, x double")
+    want = df.groupBy("g").agg(F.percentile("x", p).alias("x")).where("x is not null")
+    got = sorted(rows(quality.percentile_by(df, "g", "x", p)), key=repr)
+    assert [(g, pytest.approx(x)) for g, x in got] == sorted(rows(want), key=repr) and len(got) == 4
