@@ -117,9 +117,9 @@ def tuned_weights(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f"f{i}", float(x)) for i, x in enumerate(w)], "feature string, weight double")
 
 
-@query("C29 D16 Q32", "SELECT md5(regexp_replace(lower(split_part(text, ' ', 1)), '[0-9]+', '?', 'g')) AS fingerprint, count(*) AS n, max(length(text)) AS slowest FROM conversations GROUP BY ALL")
+@query("C29 D16 Q32", "SELECT md5(regexp_replace(lower(text), '[0-9]+', '?', 'g')) AS fingerprint, count(*) AS n, max(length(text)) AS slowest FROM conversations GROUP BY ALL")
 def query_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by the text that is left when their literals are parameters."""
-    first = F.regexp_replace(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), "[0-9]+", "?")
-    g = table(spark, sf, "conversations").groupBy(F.md5(first).alias("fingerprint"))
+    form = F.regexp_replace(F.lower("text"), "[0-9]+", "?")
+    g = table(spark, sf, "conversations").groupBy(F.md5(form).alias("fingerprint"))
     return g.agg(F.count("*").alias("n"), F.max(F.length("text")).cast("bigint").alias("slowest"))

@@ -70,12 +70,12 @@ _STARTERS = ", ".join(f"'{s}'" for s in ingest.STARTERS)
 
 
 @query("E01 E05 E06", f"""
-WITH t AS (SELECT doc_id, concat('Run `git push ', doc_id % 9, '` then `', split_part(text, ' ', 1), '`') AS text FROM documents),
+WITH t AS (SELECT doc_id, concat('Run `git push ', doc_id % 9, '` then `', text, '`') AS text FROM documents),
 c AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '`([^`]+)`', 1))) AS command FROM t)
 SELECT doc_id AS section, split_part(command, ' ', 1) AS name, max(command) AS command, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE split_part(command, ' ', 1) IN ({_STARTERS}) GROUP BY ALL""")
 def regex_commands(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    text = F.concat(F.lit("Run `git push "), (F.col("doc_id") % 9).cast("string"), F.lit("` then `"), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("`"))
+    text = F.concat(F.lit("Run `git push "), (F.col("doc_id") % 9).cast("string"), F.lit("` then `"), F.col("text"), F.lit("`"))
     return ingest.commands(d.select("doc_id", text.alias("text")), "doc_id", "text")
 
 
@@ -92,18 +92,29 @@ def numbered_procedures(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.procedures(d, "document_id", "title", "text")
 
 
-@query("E08 E09 G34 G35 G44 J10", """
-WITH t AS (SELECT doc_id, concat('[', split_part(text, ' ', 1), '](x.md) ', text) AS text FROM documents),
-f AS (SELECT doc_id AS document, unnest(regexp_extract_all(text, '(?i)\\[([^\\]]+)\\]\\([^)]+\\.md\\)', 1)) AS hint, 'hyperlink' AS kind, CAST(0.95 AS DOUBLE) AS confidence FROM t),
-d AS (SELECT document, document AS source, trim(hint) AS hint, kind, confidence, row_number() OVER (PARTITION BY document, lower(trim(hint)) ORDER BY hint) AS n FROM f WHERE trim(hint) <> ''),
+_KINDS = " UNION ALL ".join(
+    f"SELECT doc_id AS document, unnest(regexp_extract_all(text, '{p}', 1)) AS hint, '{kind}' AS kind, CAST({sure} AS DOUBLE) AS confidence FROM t"
+    for kind, p, sure in ingest.REFERENCES
+)
+
+
+@query("E08 E09 G34 G35 G44 J10", f"""
+WITH t AS (SELECT doc_id, concat('[', split_part(text, ' ', 1), '](x.md) ', text, chr(10), 'See also: ', split_part(text, ' ', 3), chr(10), 'Related: ',
+  split_part(text, ' ', 4), chr(10), 'Refer to the ', split_part(text, ' ', 5), ' Guide') AS text FROM documents),
+f AS ({_KINDS}),
+d AS (SELECT document, document AS source, trim(hint) AS hint, kind, confidence, row_number() OVER (PARTITION BY document, lower(trim(hint)) ORDER BY confidence DESC, trim(hint)) AS n FROM f WHERE trim(hint) <> ''),
 names AS (SELECT lower(trim(split_part(text, ' ', 2))) AS key, min(doc_id) AS target FROM documents GROUP BY ALL)
 SELECT document, source, hint, kind, confidence, target, CASE WHEN target IS NULL THEN 'ghost' ELSE 'resolved' END AS state FROM d LEFT JOIN names ON key = lower(trim(hint)) WHERE n = 1""")
 def resolved_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document names its first word; documents are titled by their second."""
+    """Each document's text with a reference of each kind, to its first, third,
+    fourth and fifth word; documents are titled by their second."""
     d = table(spark, sf, "documents")
     word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    text = F.concat(F.lit("["), word(1), F.lit("](x.md) "), F.col("text"))
-    refs = ingest.references(d.select("doc_id", text.alias("text")), "doc_id", "doc_id", "text").where("kind = 'hyperlink'")
+    text = F.concat(
+        F.lit("["), word(1), F.lit("](x.md) "), F.col("text"), F.lit("\nSee also: "), word(3), F.lit("\nRelated: "), word(4),
+        F.lit("\nRefer to the "), word(5), F.lit(" Guide"),
+    )
+    refs = ingest.references(d.select("doc_id", text.alias("text")), "doc_id", "doc_id", "text")
     return ingest.resolve(refs, d.select(F.col("doc_id").alias("document_id"), word(2).alias("title")))
 
 
