@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import bpe, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
+from inkfathom.llm import binpacking, bpe, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
 from inkfathom.llm.common import fold, table
 
 
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpacking.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
 #: The table has no paths, so the query gives each document one: every 50th is a
 #: licence file, at one of three levels.
 _PATH = """
@@ -156,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op10_license_scan": _license_sql()}
