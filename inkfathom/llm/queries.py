@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import binpacking, bpe, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
+from inkfathom.llm import binpacking, bpe, centroids, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
 from inkfathom.llm.common import fold, table
 
 
@@ -57,6 +57,42 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpacking.pack_best_fit(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql() -> str:
+    """Every round written out, in DuckDB's exact integers."""
+    k, dim, rounds = centroids.K, centroids.DIM, centroids.ROUNDS
+    gap = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - mid[i]) * (v[i] - mid[i])))"
+    steps = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS mid
+  FROM (SELECT sha256(concat('{centroids.SALT}:', CAST(vec_id AS VARCHAR))) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS (SELECT r, vec_id, v, min({{'gap': gap, 'c': c}}) AS best FROM"
+            f" (SELECT r, vec_id, v, c, CAST({gap} AS BIGINT) AS gap FROM kept, c{n}) GROUP BY r, vec_id, v)"
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mid
+  FROM (SELECT best.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, {dim + 1}) t(i) GROUP BY best.c, i) GROUP BY c),
+c{n + 1} AS (SELECT c, coalesce(m.mid, o.mid) AS mid FROM c{n} o LEFT JOIN m{n} m USING (c))"""
+            )
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS "cluster", best.gap AS distance,
+  CAST(sum(best.gap) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.gap) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(mid, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
 #: The table has no paths, so the query gives each document one: every 50th is a
 #: licence file, at one of three levels.
 _PATH = """
@@ -161,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op10_license_scan": _license_sql()}
+ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op10_license_scan": _license_sql(), "op12_centroid_clustering": _centroid_sql()}
