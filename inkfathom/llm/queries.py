@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.llm import binpacking, bpe, centroids, langid, licenses, lm, media, packing, rangejoin, simhash, toxicity, urlfilter
+from inkfathom.llm import binpacking, bpe, centroids, langid, licenses, lm, media, packing, rangejoin, resampling, simhash, toxicity, urlfilter
 from inkfathom.llm.common import fold, table
 
 
@@ -93,6 +93,44 @@ SELECT vec_id, CAST(best.c AS INTEGER) AS "cluster", best.gap AS distance,
 FROM a{rounds} JOIN c{rounds} ON c = best.c"""
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _resampling_sql() -> str:
+    """CRC-32 is written out over the UTF-8 bytes of each distinct word."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cut = f"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    n = resampling.BUCKETS
+    return f"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs
+  FROM range(256) r(i)),
+doc_words AS (SELECT row_number() OVER () AS r, doc_id, coalesce({cut}, []) AS ws FROM documents),
+in_docs AS (SELECT w, count(*) AS s FROM (SELECT unnest(ws) AS w FROM doc_words) GROUP BY w),
+in_target AS (SELECT w, count(*) AS t FROM (SELECT unnest({cut}) AS w FROM benchmark) GROUP BY w),
+each AS (SELECT w, coalesce(s, 0) AS s, coalesce(t, 0) AS t, hex(encode(w)) AS code FROM in_docs FULL JOIN in_target USING (w)),
+hashed AS (
+  SELECT w, s, t, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(code) // 2), lambda i: CAST(concat('0x', substr(code, 2 * i + 1, 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % {n} AS bucket
+  FROM each, crc_table),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM hashed),
+buckets AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (s_all + {n})) / ((s + 1) * (t_all + {n})))) AS BIGINT) AS gain FROM buckets, total),
+sums AS (
+  SELECT r, CAST(sum(gain) AS BIGINT) AS weight
+  FROM (SELECT r, unnest(ws) AS w FROM doc_words) JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST(concat('0x', substr(sha256(concat('{resampling.SALT}:', CAST(doc_id AS VARCHAR))), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM doc_words LEFT JOIN sums USING (r)),
+fit AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS place FROM scored WHERE n_features >= {resampling.LEAST_WORDS}),
+drawn AS (SELECT {resampling.PERCENT} * count(*) // 100 AS n FROM fit)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank FROM scored LEFT JOIN fit USING (r), drawn"""
+
+
 #: The table has no paths, so the query gives each document one: every 50th is a
 #: licence file, at one of three levels.
 _PATH = """
@@ -198,6 +236,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": _url_sql(), "op10_license_scan": _license_sql(), "op12_centroid_clustering": _centroid_sql()}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": _url_sql(),
+    "op10_license_scan": _license_sql(),
+    "op12_centroid_clustering": _centroid_sql(),
+    "op13_importance_resampling": _resampling_sql(),
+}
