@@ -24,8 +24,8 @@ n^2 / (2 block) rows.
 Defined cases: null labels, null, empty or zero vectors, and those with null or
 non-finite components link with nothing; so do vectors of different lengths;
 labels may have any type that has a text form; a null id is counted as a link
-but names no component; repeated rows link with each other; only the named
-columns are read.
+but names no component; components of any finite magnitude count alike;
+repeated rows link with each other; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -53,9 +53,14 @@ TILE = 1024
 
 
 def matrix(column: pa.Array, rows: slice) -> np.ndarray:
-    """Vectors of equal length as unit rows in double precision."""
+    """Vectors of equal length as unit rows in double precision.
+
+    Rows are first scaled by a power of two (which rounds nothing that counts) to
+    a largest component of 1/2 to 1, so that no square overflows or vanishes.
+    """
     part = column.slice(rows.start, rows.stop - rows.start)
     x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
