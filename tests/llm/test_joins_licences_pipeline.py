@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_codec_packing_media import check_packing
-from test_simhash_urls import brute_groups, brute_print
+from test_simhash_urls import brute_near
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,6 +35,13 @@ def brute(rows):
     return sorted(out)
 
 
+def test_join_of_extreme_magnitudes(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [0.1, 0.995]), (3, [1e200, 0.0]), (4, [2e200, 0.0]), (5, [5e-324, 0.0]), (6, [1e-200, 1.1e-200]), (7, [1e308, 1e308]), (8, [1e300, -1e300])]
+    d = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rangejoin.join(d).collect()}
+    assert got == {1: (2, 1), 6: (2, 1), 7: (2, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 8: (0, 8)}
+
+
 def vectors():
     rng = np.random.default_rng(7)
     rows = []
@@ -196,7 +203,7 @@ def test_pipeline_stages_against_brute_force(spark):
     rows = [r for r, s in zip(rows, scores) if s < 0.7]
     assert after("toxicity") == rows
 
-    groups = brute_groups([brute_print(r[1]) for r in rows])
+    groups = brute_near([r[1] for r in rows])
     least = {g: min(r[0] for r, x in zip(rows, groups) if x == g) for g in set(groups)}
     rows = [r for r, g in zip(rows, groups) if r[0] == least[g]]
     assert after("near_dedup") == rows

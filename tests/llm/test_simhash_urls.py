@@ -19,19 +19,50 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_groups(prints, radius=4):
-    root = list(range(len(prints)))
+def brute_wide(text, bits=512, keys=8, sample=4):
+    """The wide fingerprint and the keys of a text, as numbers."""
+    full, words = (1 << 64) - 1, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0, set()
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))]
+
+    def bits_of(x):
+        out = b""
+        for k in range(1, bits // 64 + 1):
+            y = x + k * 0x9E3779B97F4A7C15 & full
+            y = (y ^ y >> 30) * 0xBF58476D1CE4E5B9 & full
+            y = (y ^ y >> 27) * 0x94D049BB133111EB & full
+            out += (y ^ y >> 31).to_bytes(8, "little")
+        return int.from_bytes(out, "big")
+
+    many = [bits_of(x) for x in h]
+    own = [sorted({x for x in h if x % keys == k})[:sample] for k in range(keys)]
+    made = {xxhash.xxh64_intdigest(b"".join(x.to_bytes(8, "little") for x in xs), k) for k, xs in enumerate(own) if xs}
+    return sum(1 << b for b in range(bits) if 2 * sum(x >> b & 1 for x in many) > len(h)), made
+
+
+def grouped(n, linked):
+    root = list(range(n))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(prints)):
+    for i in range(n):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
+            if linked(i, j):
                 root[find(i)] = find(j)
-    return [find(i) for i in range(len(prints))]
+    return [find(i) for i in range(n)]
+
+
+def brute_near(texts, radius=86):
+    prints = [brute_wide(t) for t in texts]
+    return grouped(len(texts), lambda i, j: prints[i][0] == prints[j][0] or (bool(prints[i][1] & prints[j][1]) and (prints[i][0] ^ prints[j][0]).bit_count() <= radius))
+
+
+def brute_groups(prints, radius=4):
+    return grouped(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= radius)
 
 
 def test_fingerprint_matches_spark_hash(spark):
@@ -80,6 +111,55 @@ def test_one_row_of_each_group_where_ids_are_shared(spark):
     assert sorted(tuple(r)[:2] for r in kept) == sorted([(5, a), (5, b), (6, c)])
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"new{rng.randint(0, 10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("size, edits", [(120, (1, 2)), (700, (3, 16))])
+def test_near_copies_are_found(spark, size, edits):
+    """Copies that share 0.8 of their shingles or more are found, others are left alone."""
+    rng = random.Random(size)
+    base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(size)) for _ in range(60)]
+    copies = [(b, edited(rng, base[b], rng.randint(*edits))) for b in range(60) for _ in range(4)]
+    apart = [base[b].split() for b in range(0, 60, 2)]
+    apart = [" ".join(w[: size // 2] + [f"x{rng.randint(0, 10**6)}" for _ in range(size // 2)]) for w in apart]  # half a text
+    texts = [*base, *(t for _, t in copies), *apart]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    due = [(60 + k, b) for k, (b, t) in enumerate(copies) if alike(base[b], t) >= 0.8]
+    assert len(due) > 150
+    assert sum(got[i] == b for i, b in due) >= 0.95 * len(due)
+    assert all(got[b] == b for b in range(60)) and all(got[i] == i for i in range(len(texts) - len(apart), len(texts)))
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghij") * 2 + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(8)]
+    texts = [None, "", "  ", "one", "ONE", "one two", *base, *(edited(rng, b, k) for b in base for k in (1, 2, 3, 5)), *[base[0]] * 40, "same line\n" * 500]
+    docs = spark.createDataFrame([(i * 3, t, "x", "y") for i, t in enumerate(texts)] + [(None, base[1], "", ""), (None, "no id here", "", "")], DOCS)
+    groups = brute_near([*texts, base[1], "no id here"])
+    least = {g: min((i for i, x in enumerate(groups[: len(texts)]) if x == g), default=None) for g in set(groups)}
+    want = sorted(((i * 3 if i < len(texts) else None, None if least[g] is None else 3 * least[g]) for i, g in enumerate(groups)), key=str)
+    for tree in (2, 2048):
+        got = simhash.near_copies(docs, tree_size=tree).collect()
+        assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == want
+    kept = sorted((str(r["doc_id"]) for r in simhash.keep_one(docs, edited=True).collect()))
+    assert kept == sorted(str(None if i is None else 3 * i) for i in least.values())
+
+
 def test_bk_tree():
     rng = random.Random(1)
     values = [rng.getrandbits(10) for _ in range(300)]
