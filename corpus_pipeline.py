@@ -33,8 +33,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group, any one if none has an id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """The document of least id of each group of near copies (five-word shingles alike to about
+    0.8, by wide fingerprints), any one if none has an id."""
+    return simhash.keep_one(docs.select(*COLUMNS), edited=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
