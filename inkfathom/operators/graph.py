@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfathom.operators import walks
+
 
 def adjacency(rows: DataFrame, group: str | list[str], order: Sequence[str], id_col: str) -> DataFrame:
     """src, dst of each row and the next one of its group; n-1 edges a group."""
@@ -38,28 +40,20 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out")
     return found
 
 
-def paths(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """seed, node, distance, path (array): simple paths of 1 to ``hops`` edges."""
-    walk = directed(edges, direction)
-    at = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path"))
-    found = None
-    for d in range(1, hops + 1):
-        at = (
-            at.join(walk, F.col("node") == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")))
-            .select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        )
-        step = at.withColumn("distance", F.lit(d))
-        found = step if found is None else found.unionByName(step)
-    return found
+def nearest_paths(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
+    """seed, node, distance, path (array): of each node within 1 to ``hops`` edges one
+    shortest path, of equal ones that of least text."""
+    levels = walks.reach(directed(edges, direction), seeds, hops)
+    parts = [level.withColumn("distance", F.lit(d)) for d, level in enumerate(levels) if d]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("seed", "node", "distance", "path")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, direction: str = "both") -> DataFrame:
-    """seed, node, distance, path: one shortest path (least by text) of each pair."""
-    all_paths = paths(edges, sources, hops, direction).join(targets.select("node").distinct(), "node", "left_semi")
-    return all_paths.groupBy("seed", "node").agg(
-        F.min(F.struct("distance", F.array_join("path", ">").alias("path"))).alias("best")
-    ).select("seed", "node", "best.distance", "best.path")
+    """seed, node, distance, path: one shortest path (least by text) of each pair, searched from both ends."""
+    return walks.shortest_paths(directed(edges, direction), sources, targets, hops)
 
 
 def shared_pairs(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFrame:

@@ -239,7 +239,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS
 SELECT seed, node, distance, CASE WHEN total > 30 THEN base64('30'::BLOB) END AS next_cursor FROM o WHERE n > 20 AND n <= 30""")
 def cursor_page(spark: SparkSession, sf: str) -> DataFrame:
     """The third page of ten neighbours of each region, by cursor."""
-    found = graph.paths(place(spark, sf), regions(spark, sf), 2).drop("path")
+    found = graph.nearest_paths(place(spark, sf), regions(spark, sf), 2).drop("path")
     return answers.page(found, "seed", ["distance", "node"], "MjA=", 10)
 
 

@@ -59,7 +59,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS
 SELECT seed, node, path, distance FROM o WHERE n > 10 AND n <= 20""")
 def neighbors_page(spark: SparkSession, sf: str) -> DataFrame:
     """The second page of ten neighbours of each region, with a path to each."""
-    found = graph.paths(place(spark, sf), regions(spark, sf), 2)
+    found = graph.nearest_paths(place(spark, sf), regions(spark, sf), 2)
     w = Window.partitionBy("seed").orderBy("distance", "node")
     page = found.withColumn("n", F.row_number().over(w)).where("n > 10 and n <= 20")
     return page.select("seed", "node", F.array_join("path", ">").alias("path"), "distance")

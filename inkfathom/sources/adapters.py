@@ -88,6 +88,36 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    """src, dst, type, confidence, source: the edges of the types asked for, as one table.
+
+    Customers are documents, orders their chunks, parts entities, nations errors,
+    suppliers procedures: every fifth customer of a nation is a step of its
+    procedures, and the next customer a step of that step.
+    """
+    key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
+    of = lambda df, kind, a, b, confidence=F.lit(1.0), source=F.lit(""): df.select(
+        a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), confidence.alias("confidence"), source.alias("source")
+    )
+    src, dst = F.col("src"), F.col("dst")
+    steps = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
+    made = {
+        "HAS_CHUNK": lambda: of(table(spark, sf_dir, "orders"), "HAS_CHUNK", key("c", "o_custkey"), key("o", "o_orderkey")),
+        "NEXT_CHUNK": lambda: of(next_chunk(spark, sf_dir), "NEXT_CHUNK", src, dst),
+        "REFERENCES": lambda: of(references(spark, sf_dir), "REFERENCES", src, dst),
+        "MENTIONS": lambda: of(mentions(spark, sf_dir), "MENTIONS", src, dst, F.col("confidence"), src),
+        "RESOLVES": lambda: of(table(spark, sf_dir, "supplier"), "RESOLVES", key("s", "s_suppkey"), key("n", "s_nationkey")),
+        "CONTAINS_STEP": lambda: of(
+            table(spark, sf_dir, "supplier").join(steps, "s_nationkey"), "CONTAINS_STEP", key("s", "s_suppkey"), key("c", "c_custkey")
+        ).unionByName(of(references(spark, sf_dir), "CONTAINS_STEP", src, dst)),
+    }
+    parts = [made[t]() for t in types or made]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 VIEWS = {
     "chunks": """
   SELECT concat(doc_id, '-', ord) AS chunk_id, doc_id AS document_id, ord, text,
@@ -116,6 +146,20 @@ VIEWS = {
       concat('c', lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS dst,
       lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nxt FROM customer)
   WHERE nxt IS NOT NULL""",
+    "typed_edges": """
+  WITH refs AS (
+    SELECT concat('c', c_custkey) AS src, concat('c', nxt) AS dst
+    FROM (SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nxt FROM customer) WHERE nxt IS NOT NULL)
+  SELECT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst, 'HAS_CHUNK' AS type, 1.0::DOUBLE AS confidence, '' AS source FROM orders
+  UNION ALL SELECT src, dst, 'NEXT_CHUNK', 1.0, '' FROM (
+    SELECT concat('o', o_orderkey) AS src, concat('o', lead(o_orderkey) OVER w) AS dst, lead(o_orderkey) OVER w AS nxt
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y%m%d'), o_orderkey)) WHERE nxt IS NOT NULL
+  UNION ALL SELECT src, dst, 'REFERENCES', 1.0, '' FROM refs
+  UNION ALL SELECT concat('o', l_orderkey), concat('p', l_partkey), 'MENTIONS', max(round(1 - 5 * l_discount, 4)), concat('o', l_orderkey)
+    FROM lineitem GROUP BY l_orderkey, l_partkey
+  UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 'RESOLVES', 1.0, '' FROM supplier
+  UNION ALL SELECT concat('s', s_suppkey), concat('c', c_custkey), 'CONTAINS_STEP', 1.0, '' FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_custkey % 5 = 0
+  UNION ALL SELECT src, dst, 'CONTAINS_STEP', 1.0, '' FROM refs""",
 }
 
 
