@@ -158,52 +158,6 @@ def token_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overla
     return rows.select("id", "n", F.array_join(part, " ").alias("text"), F.size(part).cast("bigint").alias("tokens"))
 
 
-_CHUNK = "document_id {id}, chunk_id string, ord bigint, level bigint, text string, token_count bigint, section_ids array<string>, is_combined boolean"
-
-
-def combine_sections(
-    sections: DataFrame, target: int = 200, least: int = 50, hard: int = 400, most: int = 8
-) -> DataFrame:
-    """Greedy chunks of a document's sections (document_id, section_id, ord, level, text, token_count).
-
-    A level 1 or 2 heading begins a block. Within a block sections are joined
-    until the target is reached, a section would exceed the hard limit, or
-    ``most`` are together; a last chunk below ``least`` joins the one before if
-    that stays within the limit. What a chunk becomes depends on those before
-    it, hence one pass in order over each document's own rows.
-    """
-    id_type = sections.schema["document_id"].dataType.simpleString()
-
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "section_id"])
-        done: list[list] = []
-        for r in rows.itertuples(index=False):
-            now = done[-1] if done else None
-            joins = (
-                now is not None and r.level > 2 and now[1] < target and now[1] + r.token_count <= hard and len(now[0]) < most
-            )
-            if joins:
-                now[0].append(r)
-                now[1] += r.token_count
-            else:
-                done.append([[r], r.token_count])
-        merged: list[list] = []
-        for c in done:
-            if merged and c[1] < least and c[0][0].level > 2 and merged[-1][1] + c[1] <= hard:
-                merged[-1][0] += c[0]
-                merged[-1][1] += c[1]
-            else:
-                merged.append(c)
-        out = []
-        for c, tokens in merged:
-            ids = [str(r.section_id) for r in c]
-            key = ids[0] if len(ids) == 1 else hashlib.sha256("|".join([str(c[0].document_id), *ids]).encode()).hexdigest()
-            out.append((c[0].document_id, key, c[0].ord, min(r.level for r in c), "\n\n".join(r.text for r in c), tokens, ids, len(ids) > 1))
-        return pd.DataFrame(out, columns=["document_id", "chunk_id", "ord", "level", "text", "token_count", "section_ids", "is_combined"])
-
-    return sections.groupBy("document_id").applyInPandas(assemble, _CHUNK.format(id=id_type))
-
-
 def longest_entities(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most: int = 5) -> DataFrame:
     """id, place, entity: names found in each text's lower-case words, from left to
     right, at each word the longest of at most ``most`` words; a match's words

@@ -77,17 +77,6 @@ def mode_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("share", F.round(100.0 * F.col("n") / total, 6))
 
 
-@query("A16 N10 C30", """
-WITH w AS (SELECT regexp_replace(lower(split_part(text, ' ', 1)), '[0-9]+', '?', 'g') AS pattern, length(text) AS n FROM conversations WHERE role = 'user')
-SELECT pattern, count(*) AS freq, round(avg(n), 6) AS mean_length, round(least(1.0, count(*) / 10.0), 6)::DOUBLE AS confidence FROM w GROUP BY pattern HAVING count(*) >= 3
-ORDER BY freq DESC, pattern LIMIT 20""")
-def suggest_templates(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.regexp_replace(F.lower(F.split_part("text", F.lit(" "), F.lit(1))), "[0-9]+", "?")
-    c = table(spark, sf, "conversations").where("role = 'user'").select(first.alias("pattern"), F.length("text").alias("n"))
-    g = c.groupBy("pattern").agg(F.count("*").alias("freq"), F.round(F.avg("n"), 6).alias("mean_length")).where("freq >= 3")
-    return g.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("freq") / 10.0), 6)).orderBy(F.desc("freq"), "pattern").limit(20)
-
-
 @query("A17 N11 D15", """
 SELECT l_returnflag AS label, l_linestatus AS prop, count(*) AS freq, round(avg(l_quantity), 6) AS mean_ms, round(count(*) * avg(l_quantity), 3) AS benefit FROM lineitem GROUP BY ALL""")
 def suggest_indexes(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,7 +27,7 @@ units AS (SELECT chunk_id, ord - 1 AS ord, array_to_string(string_split(text, '
   SELECT chunk_id, unnest(s) AS text, generate_subscripts(s, 1) AS ord FROM (SELECT chunk_id, string_split(text, '. ') AS s FROM chunks)) WHERE text <> '')"""
 
 
-@query("V09 V10 P08 L01", with_views("chunks", _UNITS.strip() + f""",
+@query("V09 P08 L01", with_views("chunks", _UNITS.strip() + f""",
 corpus AS (SELECT chunk_id, -1 AS ord, '' AS heading, text FROM chunks UNION ALL SELECT * FROM units),
 w AS (SELECT *, {_WORDS} AS words FROM corpus),
 s AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM w),

@@ -256,7 +256,7 @@ def embedding_batches(spark: SparkSession, sf: str) -> DataFrame:
 _PLACE = "instr('0123456789abcdef', md5(w)[1]) - 1"
 
 
-@query("C28", f"""
+@query("V20 V22", f"""
 WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM conversations),
 u AS (SELECT conv_id, turn, unnest(ws) AS w FROM t),
 d AS (SELECT conv_id, turn, {_PLACE} AS at, sum(CASE WHEN instr('0123456789abcdef', md5(w)[2]) > 8 THEN -1.0 ELSE 1.0 END)::DOUBLE AS x FROM u GROUP BY ALL),
@@ -287,7 +287,7 @@ def greedy_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("sections", F.size("section_ids")).drop("section_ids")
 
 
-@query("K08")
+@query("K06 K08")
 def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Sections cut where sentences stop being alike (no SQL: likewise)."""
     return chunking.assembler("semantic")(_sections(spark, sf), target=120, least=20).drop("section_ids")

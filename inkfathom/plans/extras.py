@@ -50,7 +50,7 @@ def entity_anchored_channel(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("score", F.round(fusion.saturating(F.col("matched"), 3.0), 6))
 
 
-@query("G29 G30 K10", with_views("chunks", """
+@query("G29", with_views("chunks", """
 SELECT chunk_id, CASE WHEN contains(text, '=') AND contains(text, '|') THEN 'Chunk,CodeChunk,TableChunk' WHEN contains(text, '=') THEN 'Chunk,CodeChunk'
   WHEN contains(text, '|') THEN 'Chunk,TableChunk' ELSE 'Chunk' END AS labels, len(string_split(text, '|')) - 1 AS bars FROM chunks"""))
 def structural_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,23 +90,7 @@ def microdoc_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return context.stitch_microdocs(found, context.micro_documents(docs), near, 3).withColumn("text", F.sha2("text", 256))
 
 
-@query("X05", """
-WITH d AS (SELECT doc_id, source, CAST(len(string_split(text, ' ')) AS BIGINT) AS words FROM documents),
-s AS (SELECT doc_id AS seed, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d WHERE doc_id % 100 = 0),
-m AS (SELECT doc_id, source, words, (row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1) // 2 AS n FROM d WHERE words <= 120 AND doc_id % 100 <> 0)
-SELECT seed, doc_id, words FROM s JOIN m USING (source, n)""")
-def microdoc_stitching(spark: SparkSession, sf: str) -> DataFrame:
-    """Small documents stitched to the query set's documents of their source:
-    two a seed, each used once, in order. As two of at most 120 words stay within
-    the budget of 300, who takes what follows from the places alone."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.size(F.split("text", " ")).cast("bigint").alias("words"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    seeds = d.where("doc_id % 100 = 0").select("source", F.col("doc_id").alias("seed"), place.alias("n"))
-    small = d.where("words <= 120 and doc_id % 100 <> 0").select("source", "doc_id", "words", F.floor((place + 1) / 2).cast("int").alias("n"))
-    return seeds.join(small, ["source", "n"]).select("seed", "doc_id", "words")
-
-
-@query("N09 L07")
+@query("N09")
 def tuned_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of three features of documents, tuned on the mean of gains in each
     of 50 strata a language: a bounded aggregate reaches the driver."""
@@ -117,7 +101,7 @@ def tuned_weights(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f"f{i}", float(x)) for i, x in enumerate(w)], "feature string, weight double")
 
 
-@query("C29 D16 Q32", "SELECT md5(regexp_replace(lower(text), '[0-9]+', '?', 'g')) AS fingerprint, count(*) AS n, max(length(text)) AS slowest FROM conversations GROUP BY ALL")
+@query("C29", "SELECT md5(regexp_replace(lower(text), '[0-9]+', '?', 'g')) AS fingerprint, count(*) AS n, max(length(text)) AS slowest FROM conversations GROUP BY ALL")
 def query_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by the text that is left when their literals are parameters."""
     form = F.regexp_replace(F.lower("text"), "[0-9]+", "?")

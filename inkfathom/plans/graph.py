@@ -272,7 +272,7 @@ def related_documents(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(named, "src", "left").select("src", "dst", "shared", "rank", F.col("named").isNull().alias("no_reference"))
 
 
-@query("G39 G40 S20 S21", with_views("graph_chunks mentions", """
+@query("G39 G40 S20", with_views("graph_chunks mentions", """
 old AS (SELECT chunk_id, document_id FROM graph_chunks WHERE status <> 'P'), new AS (SELECT chunk_id FROM graph_chunks WHERE status = 'O'),
 used AS (SELECT src, count(*) AS n FROM mentions WHERE confidence >= 0.98 GROUP BY src)
 SELECT o.chunk_id, CASE WHEN coalesce(u.n, 0) = 0 THEN 'delete' ELSE 'mark_stale' END AS action

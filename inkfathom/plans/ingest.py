@@ -33,7 +33,7 @@ def marked_down(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.col("document_id").alias("doc_id")).agg(F.array_join(parts["line"], "\n").alias("text"))
 
 
-@query("S01 S02 S03 S04 S05 W11 A12", _MD)
+@query("S01 S02 S03 S04 W11 A12", _MD)
 def md_sections(spark: SparkSession, sf: str) -> DataFrame:
     s = ingest.markdown_sections(marked_down(spark, sf))
     return s.select("doc", "n", F.col("level").cast("bigint").alias("level"), "title", "checksum", "parent_path", "tokens")
@@ -69,7 +69,7 @@ def regex_configurations(spark: SparkSession, sf: str) -> DataFrame:
 _STARTERS = ", ".join(f"'{s}'" for s in ingest.STARTERS)
 
 
-@query("E01 E05 E06", f"""
+@query("E01 E05", f"""
 WITH t AS (SELECT doc_id, concat('Run `git push ', doc_id % 9, '` then `', text, '`') AS text FROM documents),
 c AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '`([^`]+)`', 1))) AS command FROM t)
 SELECT doc_id AS section, split_part(command, ' ', 1) AS name, max(command) AS command, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE split_part(command, ' ', 1) IN ({_STARTERS}) GROUP BY ALL""")
@@ -134,17 +134,6 @@ def collapsed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.collapse_small(chunks(spark, sf), 200)
 
 
-@query("K01 K03 K08 K10 K11")
-def combined_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy chunks of the marked-down documents' sections (no SQL: each depends on those before it)."""
-    s = ingest.markdown_sections(marked_down(spark, sf))
-    sections = s.select(
-        F.col("doc").alias("document_id"), F.concat_ws("#", F.col("doc").cast("string"), F.col("n").cast("string")).alias("section_id"),
-        F.col("n").cast("bigint").alias("ord"), F.col("level").cast("bigint").alias("level"), "text", F.col("tokens").alias("token_count"),
-    )
-    return ingest.combine_sections(sections).withColumn("sections", F.size("section_ids")).drop("section_ids")
-
-
 @query("S16 T02 S15", """
 SELECT source AS tag, sha256(text) AS checksum, min(doc_id) AS first, count(*) AS offered FROM documents GROUP BY ALL""")
 def dedup_checksum(spark: SparkSession, sf: str) -> DataFrame:

@@ -208,12 +208,6 @@ def template_comparison_v3(spark: SparkSession, sf: str) -> DataFrame:
     return both.where("b is not null")
 
 
-@query("Q31", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{v}', {str(d).lower()})" for i, v, d in learning.versions()) + ") t(intent, version, is_default)")
-def template_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """The library of templates: what is there, and which version a request without one gets."""
-    return spark.createDataFrame(learning.versions(), "intent string, version string, is_default boolean")
-
-
 @query("Q32 P20 L04", """
 WITH r AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'dependency_chain' WHEN 1 THEN 'impact_assessment' ELSE 'comparison' END AS template, turn + 1 AS depth, 40 * (turn + 1) AS results,
   CASE WHEN conv_id % 5 = 0 THEN 'AFFECTS' ELSE 'MENTIONS' END AS rel FROM conversations),
@@ -301,7 +295,7 @@ def structure_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return u.groupBy("seed", "node").agg(via.alias("via"))
 
 
-@query("C26", """
+@query("G37", """
 WITH e AS (SELECT vec_id // 3 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT DISTINCT doc FROM e),
 x AS (SELECT doc AS src, unnest([doc + 1, doc + 2, doc + 1000000]) AS dst FROM d),
 p AS (SELECT x.src, x.dst, q.vec_id, max(list_dot_product(q.v, t.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(t.v, t.v)) + 1e-9))) AS c FROM x JOIN e q ON q.doc = x.src JOIN e t ON t.doc = x.dst GROUP BY ALL),

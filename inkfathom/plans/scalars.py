@@ -73,7 +73,7 @@ def normalise_scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", *(F.round(S.normalise_score(x, k), 6).alias(k) for k in kinds))
 
 
-@query("C18 C19 C20 C21 R04 L03 R01 R02", """
+@query("C18 C19 C20 C21 R04 L03", """
 WITH o AS (SELECT o_orderkey AS id, o_custkey AS g, o_totalprice / 500000 * 2 - 1 AS x, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 100000 - 2 END AS rerank,
   o_orderkey % 4 AS distance, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS ts, CASE o_orderstatus WHEN 'F' THEN 'Procedure' WHEN 'O' THEN 'Concept' ELSE 'Other' END AS label,
   o_orderkey % 30 AS m, o_custkey % 5 AS c FROM orders),
@@ -186,20 +186,6 @@ p AS (SELECT q.doc AS query_id, d.doc AS id, q.vec_id, max(list_dot_product(q.v,
 SELECT query_id, id, round(avg(c), 6) AS mean_cosine, round(sum(x) / 32, 6) AS raw_sum FROM p GROUP BY ALL""")
 def max_sim(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, as a group of three vectors, against the one after it."""
-    return _adjacent(spark, sf)
-
-
-@query("C26 C27 R03", """
-WITH e AS (SELECT vec_id // 3 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT q.doc AS query_id, d.doc AS id, q.vec_id, max(list_dot_product(q.v, d.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(d.v, d.v)) + 1e-9))) AS c, max(list_dot_product(q.v, d.v)) AS x
-  FROM e q JOIN e d ON d.doc = q.doc + 1 GROUP BY ALL)
-SELECT query_id, id, round(avg(c), 6) AS mean_cosine, round(sum(x) / 32, 6) AS raw_sum FROM p GROUP BY ALL""")
-def max_sim_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rows as max_sim, under the name that had all of them first."""
-    return _adjacent(spark, sf)
-
-
-def _adjacent(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("doc"), F.col("embedding").cast("array<double>").alias("v"))
     m = e.groupBy("doc").agg(F.collect_list("v").alias("m"))
     q = m.select(F.col("doc").alias("query_id"), (F.col("doc") + 1).alias("id"), F.col("m").alias("qm"))
@@ -273,23 +259,11 @@ def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("chunk_id", F.array_join(F.col("l.label"), ", ").alias("evidence"), F.size("l").cast("bigint").alias("n"))
 
 
-@query("P01 P03 P04 P05 P16 P17 P18", """
-SELECT d.doc_id, d.lang, d.source, left(d.text, 100) AS text, octet_length(encode(d.text)) > 1000 AS long, l.doc_id IS NOT NULL AS labelled
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'de') AND d.source = 'src0'""")
-def filtered_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Filters and a projection that reach the scan, with a check of existence; the text's first 100 characters, as the SQL has it."""
-    return _projected(spark, sf, F.substring("text", 1, 100))
-
-
 @query("P01 P03 P04 P05 P16 P17 P18", """
 SELECT d.doc_id, d.lang, d.source, d.text, octet_length(encode(d.text)) > 1000 AS long, l.doc_id IS NOT NULL AS labelled
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IN ('en', 'de') AND d.source = 'src0'""")
 def whole_text_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """As filtered_projection, with whole texts."""
-    return _projected(spark, sf, F.col("text"))
-
-
-def _projected(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    """Filters and a projection that reach the scan, whole texts, and a check of existence."""
     from inkfathom.operators.guards import filters, project
 
     d = table(spark, sf, "documents")
@@ -297,6 +271,6 @@ def _projected(spark: SparkSession, sf: str, text: Column) -> DataFrame:
     labelled = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("labelled"))
     joined = project(kept, ("doc_id", "lang", "source", "text")).join(labelled, "doc_id", "left")
     return joined.select(
-        "doc_id", "lang", "source", text.alias("text"), (F.octet_length("text") > 1000).alias("long"),
+        "doc_id", "lang", "source", "text", (F.octet_length("text") > 1000).alias("long"),
         F.coalesce("labelled", F.lit(False)).alias("labelled"),
     )

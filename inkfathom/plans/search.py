@@ -311,7 +311,7 @@ def bm25(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25(docs, asked_).withColumn("score", F.round("score", 6))
 
 
-@query("V09 L01 V10 P08", _BM25_SQL + """
+@query("V09 L01 P08", _BM25_SQL + """
 SELECT query_id, id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
