@@ -59,6 +59,17 @@ def rrf_two(left: DataFrame, right: DataFrame, k: int = 60) -> DataFrame:
     return a.join(b, ["query_id", "id"], "full_outer").withColumn("fused", part("left_rank") + part("right_rank"))
 
 
+def distribution_fusion(rankings: DataFrame) -> DataFrame:
+    """query_id, id, fused: the sum over fields of scores placed between three standard
+    deviations below and above the mean of their list; 0.5 where all of a list are alike.
+
+    ``rankings``: query_id, field, id, score, cut to the lists that are fused."""
+    spread = rankings.groupBy("query_id", "field").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev"))
+    placed = rankings.join(spread, ["query_id", "field"])
+    part = F.when(F.col("dev") > 1e-12, (F.col("score") - F.col("mean") + 3 * F.col("dev")) / (6 * F.col("dev"))).otherwise(0.5)
+    return placed.groupBy("query_id", "id").agg(F.sum(part).alias("fused"))
+
+
 def min_max(score: Column, group: list[str]) -> Column:
     """Scaled to 0..1 in the group; 1 where all are equal. Null and 0 take no part and give 0."""
     used = F.when(score != 0, score)

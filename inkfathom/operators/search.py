@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfathom.sources.scratch import written
+
 #: Rows to a block of an exact vector search.
 BLOCK = 20_000
 
@@ -123,34 +125,47 @@ def sparse_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased blank-separated words."""
-    return F.filter(F.split(F.lower(F.translate(text, "\n", " ")), " "), lambda w: w != "")
+    """Lower-cased words between blanks and line ends; an empty array for an empty text."""
+    cut = F.btrim(F.lower(text), F.lit(" \n"))
+    return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, "[ \n]+"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score of every document that shares a term.
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, dl, term, tf of the terms ``wanted`` in docs (id, text), as a table of its own.
 
-    ``docs``: id, text; ``queries``: query_id, text. Only postings of the
-    queries' terms are shuffled; lengths are taken before.
+    A text is cut into words once: its length comes along as the count of the
+    empty term, which is no word, so documents without a wanted term are there too.
     """
-    words = docs.select("id", terms(F.col("text")).alias("words"))
-    lengths = words.select("id", F.size("words").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    postings = (
-        words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(stats))
+    wanted = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = docs.select("id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    each = words.select("id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    return written(each.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "counts")
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term of the distinct words of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
+def bm25_weights(counts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id, term, weight: what each term adds to the score of a document."""
+    stats = counts.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = counts.where("term <> ''")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return (
-        scored.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    )
+    return found.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", part.alias("weight"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score of every document that shares a term.
+
+    ``docs``: id, text; ``queries``: query_id, text. Only counts of the queries'
+    terms are shuffled. For the best few of short queries see ``impacts.best_bm25``.
+    """
+    asked = query_terms(queries)
+    weights = bm25_weights(term_counts(docs, asked), k1, b)
+    return weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
 
 
 def query_vectors(vector: Column, weights: dict[str, float], max_field: str, field: str = "content") -> Column:

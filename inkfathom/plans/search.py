@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.operators import fusion, search
+from inkfathom.operators import fusion, impacts, search
 from inkfathom.registry import query
 from inkfathom.sources.adapters import table
 
