@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfathom.operators import ingest
+from inkfathom.operators import ingest, markup
 from inkfathom.registry import query
 from inkfathom.sources.adapters import chunks, table, with_views
 
@@ -33,12 +33,46 @@ def marked_down(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.col("document_id").alias("doc_id")).agg(F.array_join(parts["line"], "\n").alias("text"))
 
 
-@query("S01 S02 S03 S04 W11 A12", _MD)
+@query("S02 W11 A12", _MD)
 def md_sections(spark: SparkSession, sf: str) -> DataFrame:
     s = ingest.markdown_sections(marked_down(spark, sf))
     return s.select("doc", "n", F.col("level").cast("bigint").alias("level"), "title", "checksum", "parent_path", "tokens")
 
 
+def marked_up(spark: SparkSession, sf: str) -> DataFrame:
+    """uri, text: the marked-down documents, two in three with front matter, one in two with a table and code after it."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    front = F.format_string("---\ntitle: Document %d\nversion: \"%d.0\"\nplace:\n  source: %s\n  lang: %s\ntags: [%s, a]\n---\n", "doc_id", (F.col("doc_id") % 3), "source", "lang", "lang")
+    more = F.format_string("\n\n| key | value |\n|---|---|\n| chars | %d |\n\n```sql\nSELECT %d\n```\n", "n_chars", "doc_id")
+    text = F.concat_ws("", F.when(F.col("doc_id") % 3 > 0, front), "text", F.when(F.col("doc_id") % 2 == 0, more))
+    return marked_down(spark, sf).join(d, "doc_id").select(F.concat(F.lit("Doc://"), F.col("doc_id").cast("string")).alias("uri"), text.alias("text"))
+
+
+@query("S01 S04")
+def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their title, version and nested front matter (no SQL: blocks within blocks; tested by hand-made texts)."""
+    d = markup.markdown_documents(markup.parsed_markdown(marked_up(spark, sf)))
+    at = lambda path: F.variant_get("front_matter", path, "string")
+    return d.select("id", "uri", "title", "version", at("$.place.source").alias("source"), at("$.tags[0]").alias("tag"))
+
+
+@query("S01 S03")
+def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of blocks, with the lines they stand on (no SQL: likewise)."""
+    s = markup.markdown_sections(markup.parsed_markdown(marked_up(spark, sf)))
+    return s.select(
+        "id", "document_id", "order", "level", "title", "anchor", "parent_path", "line_start", "line_end", F.array_join("block_types", ",").alias("block_types"),
+        "code_ratio", "is_heading_only", "tokens", "checksum",
+    )
+
+
+@query("S06")
+def html_tree_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of the main part of each page, from its tree (no SQL: likewise)."""
+    s = markup.html_sections(table(spark, sf, "pages"))
+    return s.select("id", "document_id", "uri", "order", "level", "title", "anchor", "text", F.size("tables").alias("tables"), F.size("code_blocks").alias("code_blocks"), "tokens", "checksum")
+
+
 @query("S06", """
 SELECT page_id AS page, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS headings,
   len(regexp_extract_all(html, '<a href="[^"]*"')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")
