@@ -3,7 +3,7 @@ commits, and pages of blocks.
 
 They read JSON over any URL that ``urllib`` opens. The two pollers are streaming
 sources whose offset is a cursor, so a restart goes on where the checkpoint
-stands and nothing is read twice.
+stands and nothing is read twice; the driver plans, tasks fetch.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import hashlib
 import hmac
 import json
 import sys
+import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def fetch(url: str):
@@ -26,68 +28,160 @@ def fetch(url: str):
         return json.load(r)
 
 
-class PollReader(SimpleDataSourceStreamReader):
-    """``documents[]{url, checksum}``; the offset holds how many have been read."""
+class Breaker:
+    """Lets no call through for ``open_seconds`` after ``failures`` failures in a row; then one, whose end decides."""
 
-    def __init__(self, url: str):
-        self.url = url
+    def __init__(self, failures: int = 3, open_seconds: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.failures, self.open_seconds, self.clock = failures, open_seconds, clock
+        self.failed, self.opened = 0, 0.0
+
+    @property
+    def state(self) -> str:
+        if self.failed < self.failures:
+            return "closed"
+        return "open" if self.clock() - self.opened < self.open_seconds else "half_open"
+
+    def call(self, f: Callable[[], Any], otherwise: Any) -> Any:
+        """What ``f`` gives, or ``otherwise`` while the breaker is open or where ``f`` fails."""
+        if self.state == "open":
+            return otherwise
+        try:
+            found = f()
+        except Exception:  # a feed's failure is no failure of the query: it goes on at the same offset
+            self.failed += 1
+            self.opened = self.clock()
+            return otherwise
+        self.failed = 0
+        return found
+
+
+def pages(url: str, field: str) -> Iterator[tuple[str, list[dict]]]:
+    """Each page of a feed with its items: a list, or an object with ``field`` and perhaps ``next``."""
+    while url:
+        page = fetch(url)
+        yield url, page if isinstance(page, list) else page[field]
+        url = "" if isinstance(page, list) else page.get("next") or ""
+
+
+class FeedReader(DataSourceStreamReader):
+    """A paged feed read by tasks.
+
+    The driver asks the feed how far it goes (through a breaker) and plans
+    partitions, each a page and the share of it that lies between two offsets; a
+    task fetches its page, and what its items point to. A batch planned again after
+    a restart has the same bounds, so the same rows.
+    """
+
+    field = ""
+
+    def __init__(self, options: dict[str, str]):
+        self.url = options["url"]
+        self.size = int(options.get("items", "100"))
+        self.breaker = Breaker(int(options.get("failures", "3")), float(options.get("openseconds", options.get("openSeconds", "60"))))
+        self.last: dict | None = None
+
+    def end(self, start: dict) -> dict:
+        """The offset after all that the feed has."""
+        raise NotImplementedError
+
+    def shares(self, start: dict, end: dict) -> Iterator[tuple]:
+        """What partitions are made of."""
+        raise NotImplementedError
+
+    def latestOffset(self) -> dict:
+        known = self.last or self.initialOffset()
+        self.last = self.breaker.call(lambda: self.end(known), known)
+        return self.last
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(share) for share in self.shares(start, end)]
+
+    def commit(self, end: dict) -> None:
+        """Nothing to keep: the checkpoint has the offset."""
+
+
+class PollReader(FeedReader):
+    """``documents[]{url, checksum}`` in the order they came; the offset says how many have been read."""
+
+    field = "documents"
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.content = options.get("content", "false") == "true"
 
     def initialOffset(self) -> dict:
         return {"seen": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [(d["url"], d["checksum"]) for d in fetch(self.url)["documents"][start["seen"] :]]
-        return iter(rows), {"seen": start["seen"] + len(rows)}
+    def end(self, start: dict) -> dict:
+        return {"seen": max(start["seen"], sum(len(items) for _, items in pages(self.url, self.field)))}
+
+    def shares(self, start: dict, end: dict) -> Iterator[tuple]:
+        at = 0
+        for url, items in pages(self.url, self.field):
+            first, last = max(start["seen"], at), min(end["seen"], at + len(items))
+            yield from ((url, i - at, min(i + self.size, last) - at) for i in range(first, last, self.size))
+            at += len(items)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(d["url"], d["checksum"]) for d in fetch(self.url)["documents"][start["seen"] : end["seen"]]])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        url, first, last = partition.value
+        page = fetch(url)
+        for d in (page if isinstance(page, list) else page[self.field])[first:last]:
+            if d.get("url") and d.get("checksum"):
+                yield (d["url"], d["checksum"], *([text_of(d["url"])] if self.content else []))
+
+
+def text_of(url: str) -> str:
+    with urllib.request.urlopen(url, timeout=30) as r:
+        return r.read().decode("utf-8", "replace")
 
 
 class PolledDocuments(DataSource):
-    """``spark.readStream.format("polled_documents").option("url", ...)``"""
+    """``spark.readStream.format("polled_documents").option("url", ...)``; with ``content`` true the documents' texts as well."""
 
     @classmethod
     def name(cls) -> str:
         return "polled_documents"
 
     def schema(self) -> str:
-        return "url string, checksum string"
+        return "url string, checksum string" + ", content string" * (self.options.get("content", "false") == "true")
 
-    def simpleStreamReader(self, schema) -> PollReader:
-        return PollReader(self.options["url"])
+    def streamReader(self, schema) -> PollReader:
+        return PollReader(dict(self.options))
 
 
 #: What a file's status in a commit means.
 STATUS = {"added": "created", "removed": "deleted", "modified": "updated", "renamed": "updated"}
 
 
-class CommitReader(SimpleDataSourceStreamReader):
-    """Commits ``[]{sha, date, files[]{filename, status}}``, oldest first; the offset is (date, sha)."""
+class CommitReader(FeedReader):
+    """Commits ``{sha, date, files[]{filename, status}}``, or with ``url`` in place of files for
+    a task to fetch; the offset is the latest (date, sha)."""
 
-    def __init__(self, url: str):
-        self.url = url
+    field = "commits"
 
     def initialOffset(self) -> dict:
         return {"date": "", "sha": ""}
 
-    def _after(self, start: dict, end: dict | None = None) -> list[dict]:
-        key = lambda c: (c["date"], c["sha"])
-        commits = sorted(fetch(self.url), key=key)
-        return [
-            c for c in commits if key(c) > (start["date"], start["sha"]) and (end is None or key(c) <= (end["date"], end["sha"]))
-        ]
-
     @staticmethod
-    def _rows(commits: list[dict]) -> list[tuple]:
-        return [(c["sha"], c["date"], f["filename"], STATUS.get(f["status"], "updated")) for c in commits for f in c["files"]]
+    def _key(c: dict) -> tuple[str, str]:
+        return c["date"], c["sha"]
+
+    def end(self, start: dict) -> dict:
+        date, sha = max((self._key(c) for _, items in pages(self.url, self.field) for c in items), default=("", ""))
+        return max(start, {"date": date, "sha": sha}, key=self._key)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = self._after(start)
-        end = {"date": new[-1]["date"], "sha": new[-1]["sha"]} if new else start
-        return iter(self._rows(new)), end
+    def shares(self, start: dict, end: dict) -> Iterator[tuple]:
+        for url, items in pages(self.url, self.field):
+            own = sorted(c["sha"] for c in items if self._key(start) < self._key(c) <= self._key(end))
+            yield from ((url, own[i : i + self.size]) for i in range(0, len(own), self.size))
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(self._after(start, end)))
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        url, wanted = partition.value
+        page = fetch(url)
+        for c in sorted(page if isinstance(page, list) else page[self.field], key=self._key):
+            if c["sha"] in wanted:
+                files = c["files"] if "files" in c else fetch(c["url"])["files"]
+                yield from ((c["sha"], c["date"], f["filename"], STATUS.get(f["status"], "updated")) for f in files)
 
 
 class Commits(DataSource):
@@ -100,8 +194,8 @@ class Commits(DataSource):
     def schema(self) -> str:
         return "sha string, date string, path string, event string"
 
-    def simpleStreamReader(self, schema) -> CommitReader:
-        return CommitReader(self.options["url"])
+    def streamReader(self, schema) -> CommitReader:
+        return CommitReader(dict(self.options))
 
 
 class BlockReader(DataSourceReader):

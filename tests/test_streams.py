@@ -116,3 +116,44 @@ def test_push_events(spark):
     got = connectors.push_events(spark.createDataFrame([(p,)], "payload string")).collect()
     assert sorted((r["path"], r["event"]) for r in got) == [("a", "created"), ("b", "deleted"), ("c", "updated")]
     assert not connectors.signed(b"x", b"k", "sha256=0")
+
+
+def test_tasks_fetch_what_the_driver_plans(spark, tmp_path):
+    """Pages of commits whose files are behind urls of their own, in partitions of two, from several tasks."""
+    connectors.register(spark)
+    at = lambda name: (tmp_path / name).as_uri()
+    put = lambda name, said: (tmp_path / name).write_text(json.dumps(said))
+    for i in range(7):
+        put(f"c{i}.json", {"files": [{"filename": f"docs/{i}.md", "status": "modified"}]})
+    commits = [{"sha": f"s{i}", "date": f"2024-01-0{i + 1}", "url": at(f"c{i}.json")} for i in range(7)]
+    put("one.json", {"commits": commits[:5], "next": at("two.json")})
+    put("two.json", {"commits": commits[5:]})
+    reader = connectors.CommitReader({"url": at("one.json"), "items": "2"})
+    end = reader.latestOffset()
+    shares = [p.value for p in reader.partitions({"date": "2024-01-01", "sha": "s0"}, end)]
+    assert end == {"date": "2024-01-07", "sha": "s6"}
+    assert shares == [(at("one.json"), ["s1", "s2"]), (at("one.json"), ["s3", "s4"]), (at("two.json"), ["s5", "s6"])]
+    s = spark.readStream.format("commits").option("url", at("one.json")).option("items", "2").load()
+    tasks = s.withColumn("task", F.spark_partition_id())
+    got = drain_some(tasks, tmp_path, "fetched", 7)
+    assert sorted(r[0] for r in got) == [f"s{i}" for i in range(7)] and len({r[-1] for r in got}) == 4
+    put("docs.json", {"documents": [{"url": at("c0.json"), "checksum": "1"}, {"url": at("c1.json")}, {"url": at("c2.json"), "checksum": "3"}]})
+    polled = spark.readStream.format("polled_documents").option("url", at("docs.json")).option("content", "true").option("items", "1").load()
+    assert [(r[1], json.loads(r[2])["files"][0]["filename"]) for r in drain_some(polled, tmp_path, "texts", 2)] == [("1", "docs/0.md"), ("3", "docs/2.md")]
+
+
+def test_a_broken_feed_is_left_alone_for_a_while(tmp_path):
+    now = [0.0]
+    feed = tmp_path / "feed.json"
+    reader = connectors.PollReader({"url": feed.as_uri(), "failures": "2"})
+    reader.breaker.clock = lambda: now[0]
+    assert reader.latestOffset() == {"seen": 0} and reader.breaker.state == "closed"
+    assert reader.latestOffset() == {"seen": 0} and reader.breaker.state == "open"
+    feed.write_text(json.dumps({"documents": [{"url": "u", "checksum": "c"}]}))
+    assert reader.latestOffset() == {"seen": 0}  # not asked
+    now[0] = 61.0
+    assert reader.breaker.state == "half_open" and reader.latestOffset() == {"seen": 1} and reader.breaker.state == "closed"
+    feed.write_text("no json")
+    assert reader.latestOffset() == {"seen": 1} == reader.latestOffset() and reader.breaker.state == "open"
+    now[0] = 200.0
+    assert reader.latestOffset() == {"seen": 1} and reader.breaker.state == "open"  # the one try failed: open again
