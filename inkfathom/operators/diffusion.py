@@ -50,35 +50,3 @@ def diffuse(candidates: DataFrame, edges: DataFrame, blend: float = 0.3) -> Data
     return candidates.groupBy("query_id").cogroup(edges.groupBy("query_id")).applyInPandas(
         one, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
     )
-
-
-def tune_weights(features: np.ndarray, gains: np.ndarray, groups: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Weights of sum one that raise mean NDCG: coordinate moves of halving size,
-    from equal weights. The arguments are aggregates on the driver."""
-
-    def ndcg(w: np.ndarray) -> float:
-        total, n = 0.0, 0
-        for g in np.unique(groups):
-            own = groups == g
-            order = np.argsort(-(features[own] @ w), kind="stable")
-            d = 1 / np.log2(np.arange(own.sum()) + 2)
-            best = (np.sort(gains[own])[::-1] * d).sum()
-            if best > 0:
-                total, n = total + (gains[own][order] * d).sum() / best, n + 1
-        return total / max(n, 1)
-
-    w = np.full(features.shape[1], 1 / features.shape[1])
-    best, size = ndcg(w), 0.25
-    for _ in range(steps):
-        moved = False
-        for i in range(len(w)):
-            for sign in (1, -1):
-                v = w.copy()
-                v[i] = max(0.0, v[i] + sign * size)
-                if v.sum() > 0 and (now := ndcg(v / v.sum())) > best + 1e-12:
-                    w, best, moved = v / v.sum(), now, True
-        if not moved:
-            size /= 2
-            if size < 1e-3:
-                break
-    return w

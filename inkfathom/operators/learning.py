@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkfathom.sources.scratch import written
+
 #: Templates by intent and version: the registered query of each.
 LIBRARY = {
     "search": {"v1": "template_search_v1", "v2": "template_search_v2", "v3": "khop_neighbors", "v4": "template_search_v4"},
-    "traverse": {"v1": "khop_neighbors", "v2": "khop_both_ways", "v3": "shortest_paths"},
+    "traverse": {"v1": "khop_neighbors", "v2": "khop_both_ways", "v3": "typed_traversal"},
     "compare": {"v1": "template_compare_v1", "v2": "template_compare_v2", "v3": "template_comparison"},
     "explain": {"v1": "template_explain", "v2": "template_explain_v2"},
-    "troubleshoot": {"v1": "template_troubleshoot_v1", "v2": "template_troubleshoot_full"},
+    "troubleshoot": {"v1": "template_troubleshoot_v1", "v2": "template_troubleshoot_full", "v3": "error_context"},
+    "troubleshooting_path": {"v1": "resolution_steps", "v2": "resolution_configs", "v3": "resolution_context"},
     "dependency_chain": {"v1": "template_dependency_v1", "v2": "template_dependency_v2", "v3": "template_dependency_v3"},
     "impact_assessment": {"v1": "template_impact", "v2": "template_dependency_v1"},
     "comparison": {"v1": "template_comparison_v1", "v2": "template_comparison", "v3": "template_comparison_v3"},
@@ -121,3 +125,59 @@ class Registry:
             .when(F.col("__model") != F.col("model"), "model").otherwise("ok")
         )
         return j.groupBy("name", "model", status.alias("status")).agg(F.count("*").alias("vectors"))
+
+
+# -- weights ---------------------------------------------------------------------
+def on_simplex(w: np.ndarray) -> np.ndarray:
+    """The nearest weights of sum one, none negative."""
+    u = np.sort(w)[::-1]
+    excess = (np.cumsum(u) - 1) / np.arange(1, len(u) + 1)
+    return np.maximum(w - excess[np.flatnonzero(u > excess)[-1]], 0)
+
+
+def tune_weights(rows: DataFrame, group: str, features: Sequence[str], gain: str, sharpness: float = 8.0, steps: int = 60, tolerance: float = 1e-5) -> tuple[np.ndarray, list[float]]:
+    """Weights of sum one, none negative, that rank each group's rows by gain; and the loss of each step.
+
+    The loss is listwise and smooth: for each group the cross-entropy of softmax(gain) and
+    softmax(sharpness * weighted features). It is convex. Each step sums it and its
+    gradient over all rows of all groups on the executors and brings back a number a
+    feature; the weights follow the gradient, by steps of Barzilai and Borwein, halved
+    where the loss would rise, and are projected to the simplex. Features are scaled to 0
+    to 1 over all rows, so no exponential overflows. Rows with nulls are left out; without
+    rows the weights are equal.
+    """
+    d = len(features)
+    fine = rows.select(F.col(group).alias("g"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), F.col(gain).cast("double").alias("y")).dropna()
+    ends = fine.agg(*(f(f"x{i}").alias(f"{n}{i}") for i in range(d) for n, f in (("low", F.min), ("high", F.max))), F.max("y").alias("top")).first()
+    w = np.full(d, 1 / d)
+    if ends["top"] is None:
+        return w, []
+    scaled = [((F.col(f"x{i}") - ends[f"low{i}"]) / ((ends[f"high{i}"] - ends[f"low{i}"]) or 1.0)).alias(f"x{i}") for i in range(d)]
+    data = written(fine.select("g", *scaled, F.exp(F.col("y") - ends["top"]).alias("p")), "gains")
+    wanted = data.groupBy("g").agg(F.sum("p").alias("z"), *(F.sum(F.col("p") * F.col(f"x{i}")).alias(f"c{i}") for i in range(d)))
+    due = wanted.agg(F.count("*").alias("n"), *(F.sum(F.col(f"c{i}") / F.col("z")).alias(f"c{i}") for i in range(d))).first()
+    target, groups = np.array([due[f"c{i}"] for i in range(d)]), due["n"]
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        score = sum((F.col(f"x{i}") * float(w[i]) for i in range(d)), F.lit(0.0)) * sharpness
+        e = data.select("g", F.exp(score).alias("e"), *(f"x{i}" for i in range(d)))
+        one = e.groupBy("g").agg(F.sum("e").alias("z"), *(F.sum(F.col("e") * F.col(f"x{i}")).alias(f"v{i}") for i in range(d)))
+        r = one.agg(F.sum(F.ln("z")).alias("loss"), *(F.sum(F.col(f"v{i}") / F.col("z")).alias(f"v{i}") for i in range(d))).first()
+        v = np.array([r[f"v{i}"] for i in range(d)])
+        return (r["loss"] - sharpness * float(target @ w)) / groups, sharpness * (v - target) / groups
+
+    loss, slope = at(w)
+    losses, size = [loss], 1.0 / sharpness
+    for _ in range(steps):
+        new = on_simplex(w - size * slope)
+        if np.abs(new - w).max() < tolerance:
+            break
+        now, then = at(new)
+        if now > loss + 1e-12:
+            size /= 2
+            continue
+        move, turn = new - w, then - slope
+        size = float(move @ move / (move @ turn)) if move @ turn > 1e-15 else size * 2
+        w, loss, slope = new, now, then
+        losses.append(loss)
+    return w, losses

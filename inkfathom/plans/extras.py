@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkfathom.operators import context, diffusion, fusion, graph, search
+from inkfathom.operators import context, fusion, graph, learning, search
 from inkfathom.registry import query
 from inkfathom.sources.adapters import chunks, entities, graph_chunks, mentions, next_chunk, table, with_views
 
@@ -92,12 +92,11 @@ def microdoc_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("N09")
 def tuned_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights of three features of documents, tuned on the mean of gains in each
-    of 50 strata a language: a bounded aggregate reaches the driver."""
+    """Weights of three features of the documents with labels that rank them by quality within
+    their language (no SQL: iterative; tested with a known optimum)."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    f = d.select("lang", F.pmod(F.xxhash64("doc_id"), 50).alias("s"), (F.col("n_chars") / 20000).alias("f0"), (F.col("doc_id") % 7 / 7).alias("f1"), F.col("toxic").alias("f2"), "quality")
-    g = f.groupBy("lang", "s").agg(*(F.avg(c).alias(c) for c in ("f0", "f1", "f2", "quality"))).orderBy("lang", "s").toPandas()
-    w = diffusion.tune_weights(g[["f0", "f1", "f2"]].to_numpy(float), g["quality"].to_numpy(float), g["lang"].to_numpy())
+    f = d.select("lang", (F.col("n_chars") / 20000).alias("f0"), (F.col("doc_id") % 7 / 7).alias("f1"), F.col("toxic").alias("f2"), "quality")
+    w, _ = learning.tune_weights(f, "lang", ["f0", "f1", "f2"], "quality")
     return spark.createDataFrame([(f"f{i}", float(x)) for i, x in enumerate(w)], "feature string, weight double")
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from inkfathom.registry import ORACLES, QUERIES
 
-for _module in ("search", "graph", "analytics", "scalars", "ingest", "streams", "extras", "answers", "building", "operations", "paths", "sparse", "stores", "sessions"):
+for _module in ("search", "graph", "analytics", "scalars", "ingest", "streams", "extras", "answers", "building", "operations", "paths", "sparse", "stores", "sessions", "linking"):
     import_module(f"inkfathom.plans.{_module}")
 
 ENTRY = "rrf_weighted_fields"
