@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfathom.operators.search import bm25, top_k
+from inkfathom.operators.search import term_counts, terms, top_k
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -50,14 +51,38 @@ def arrived(references: DataFrame, titles: DataFrame) -> DataFrame:
     return joined.select("document", "hint", state.alias("state"), F.coalesce("target", to).alias("target"))
 
 
-def fuzzy(hints: DataFrame, titles: DataFrame, least: float = 0.5, penalty: float = 0.25) -> DataFrame:
-    """query_id, id, score, confidence: each hint's best title by BM25, above
-    ``least``; ties by shorter title, then id. ``hints``: query_id, text, confidence."""
-    found = bm25(titles.select("id", "text"), hints.select("query_id", "text")).withColumn("score", F.round("score", 6)).where(F.col("score") > least)
-    sized = found.join(titles.select("id", F.length("text").alias("size")), "id")
-    best = top_k(sized, "query_id", [F.desc("score"), "size", "id"], 1)
-    sure = F.greatest(F.lit(0.1), F.col("confidence") - penalty)
-    return best.join(hints.select("query_id", "confidence"), "query_id").select("query_id", "id", "score", F.round(sure, 6).alias("confidence"))
+def fuzzy(hints: DataFrame, titles: DataFrame, least: float = 0.5, penalty: float = 0.25, shortest: int = 3) -> DataFrame:
+    """query_id, state, id, score, confidence of each hint.
+
+    ``hints``: query_id, text, confidence; ``titles``: id, text. A title fits that has the
+    hint's words one after the other; its score is the BM25 of the phrase (the sum of its
+    words' inverse frequencies, by how often the phrase comes and the title's length),
+    which has to be above ``least``. The best is taken, of equal ones the shorter title, then
+    the least id. A hint of fewer than ``shortest`` characters, or that no title fits, is pending.
+    """
+    said = lambda c: F.concat(F.lit(" "), F.array_join(terms(c), " "), F.lit(" "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x00-\x1F\x7F]", " "), r"\s+", " "))
+    h = hints.select("query_id", "confidence", F.when(F.length(clean) >= shortest, said(clean)).alias("part"))
+    t = titles.select("id", said(F.col("text")).alias("padded"), F.length("text").alias("size"))
+    asked = h.where("part is not null").select("part").distinct().withColumn("term", F.explode(terms(F.col("part"))))
+    counts = term_counts(titles.select("id", "text"), asked)
+    stats = counts.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    df = counts.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rare = asked.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("part").agg(F.sum(idf).alias("idf"), F.first("avgdl").alias("avgdl"))
+    met = containing(t.select(F.col("padded").alias("text")).distinct(), asked.select("part").distinct()).join(rare, "part")
+    words, phrase = terms(F.col("text")), terms(F.col("part"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - F.size(phrase) + 1)), lambda i: F.slice(words, i, F.size(phrase)) == phrase)
+    freq = F.size(starts)
+    score = F.col("idf") * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * F.size(words) / F.col("avgdl")))
+    scored = met.select("part", F.col("text").alias("padded"), F.round(score, 6).alias("score")).where(F.col("score") > least)
+    # Titles of one text share a score: each text stands for the best of its titles.
+    best_title = t.groupBy("padded").agg(F.min(F.struct("size", "id")).alias("best"))
+    best = top_k(scored.join(best_title, "padded").select("part", "score", "best.size", "best.id"), "part", [F.desc("score"), "size", "id"], 1)
+    j = h.join(best.select("part", "id", "score"), "part", "left")
+    found = F.col("id").isNotNull()
+    sure = F.when(found, F.greatest(F.lit(0.1), F.col("confidence") - penalty)).otherwise(F.col("confidence"))
+    return j.select("query_id", F.when(found, "resolved").otherwise("pending").alias("state"), "id", "score", F.round(sure, 6).alias("confidence"))
 
 
 def merge_hyperlinks(section_refs: DataFrame, raw_refs: DataFrame) -> DataFrame:
@@ -204,21 +229,21 @@ def lossless_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, over
 
 def text_batches(rows: DataFrame, group: str, order: str, size: str, most: int, chars: int) -> DataFrame:
     """group, order, batch: each group's texts in order, at most ``most`` and ``chars``
-    characters to a batch. A fold over a group's own sizes, as a batch's end decides the next."""
-    g = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, F.col(size).cast("bigint").alias("size")))).alias("l"))
-    state = "struct<done:array<int>,batch:int,n:int,chars:bigint>"
-    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("chars")).cast(state)
-
-    def add(s: Column, x: Column) -> Column:
-        new = (s["n"] > 0) & ((s["n"] >= most) | (s["chars"] + x["size"] > chars))
-        batch = s["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            F.concat(s["done"], F.array(batch)).alias("done"), batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
-            F.when(new, x["size"]).otherwise(s["chars"] + x["size"]).alias("chars"),
-        ).cast(state)
-
-    done = F.aggregate("l", start, add, lambda s: s["done"])
-    return g.select(group, F.inline(F.arrays_zip(F.col(f"l.{order}").alias(order), done.alias("batch"))))
+    characters to a batch. One pass over a group's own sizes, as a batch's end decides the next."""
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (group, order)}
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values([order, size], ignore_index=True)
+        batch, n, used, found = 0, 0, 0, []
+        for x in own[size].tolist():
+            if n and (n >= most or used + x > chars):
+                batch, n, used = batch + 1, 0, 0
+            n, used = n + 1, used + x
+            found.append(batch)
+        return own[[group, order]].assign(batch=found)
+
+    sized = rows.select(group, order, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias(size))
+    return sized.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {order} {kind[order]}, batch int")
 
 
 def hash_bundle(rows: DataFrame, keys: list[str], text_col: str, size: int = 16) -> DataFrame:

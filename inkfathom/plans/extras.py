@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkfathom.operators import context, fusion, graph, learning, search
+from inkfathom.operators import building, context, fusion, graph, learning, search
 from inkfathom.registry import query
 from inkfathom.sources.adapters import chunks, entities, graph_chunks, mentions, next_chunk, table, with_views
 
@@ -43,7 +43,7 @@ def entity_anchored_channel(spark: SparkSession, sf: str) -> DataFrame:
     e = entities(spark, sf)
     words = e.select(F.explode(F.split("name", " ")).alias("token"), "id").distinct()
     asked = e.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    tokens = words.select("token").distinct().join(asked, F.contains("token", "word")).select("word", "token").distinct()
+    tokens = building.containing(words.select(F.col("token").alias("text")).distinct(), asked.select(F.col("word").alias("part"))).select(F.col("part").alias("word"), F.col("text").alias("token"))
     hits = tokens.join(words, "token").select("word", "id").distinct()
     m = mentions(spark, sf).select(F.col("src").alias("chunk_id"), F.col("dst").alias("id"))
     g = hits.join(m, "id").groupBy("word", "chunk_id").agg(F.count_distinct("id").alias("matched"))

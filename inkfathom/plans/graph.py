@@ -252,7 +252,7 @@ def focus_bias(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("id", F.round(fusion.focus_bias(F.lit(0.5), F.col("hits")), 6).alias("score"))
 
 
-@query("G36 G38 G41 J05", with_views("refs mentions graph_chunks", """
+@query("G41 J05", with_views("refs mentions graph_chunks", """
 l AS (SELECT a.document_id AS src, b.document_id AS dst, count(DISTINCT m.dst) AS shared FROM graph_chunks a JOIN mentions m ON a.chunk_id = m.src
   JOIN mentions n ON m.dst = n.dst JOIN graph_chunks b ON n.src = b.chunk_id WHERE a.document_id <> b.document_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY shared DESC, dst) AS rank FROM l WHERE shared >= 2)

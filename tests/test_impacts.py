@@ -76,3 +76,28 @@ def test_distribution_fusion(spark):
     lists = spark.createDataFrame([(1, "a", 1, 1.0), (1, "a", 2, 3.0), (1, "b", 2, 7.0)], "query_id bigint, field string, id bigint, score double")
     got = {r["id"]: round(r["fused"], 6) for r in fusion.distribution_fusion(lists).collect()}
     assert got == {1: round((1 - 2 + 3) / 6, 6), 2: round((3 - 2 + 3) / 6 + 0.5, 6)}
+
+
+def test_fuzzy_references_ask_for_the_phrase(spark):
+    from inkfathom.operators import building
+
+    titles = [(1, "Green apple pie"), (2, "Red apple"), (3, "red apple tart"), (4, "RED APPLE"), (5, "the red and apple"), (6, None), (7, "go on")]
+    hints = [(1, "red apple", 0.9), (2, "apple  red", 0.9), (3, "go", 0.9), (4, "pie\x00", 0.2), (5, None, 0.5), (6, "   ", 0.5), (7, "pear", 0.4)]
+    got = building.fuzzy(spark.createDataFrame(hints, "query_id bigint, text string, confidence double"), spark.createDataFrame(titles, "id bigint, text string"), least=0.1)
+    assert sorted((r["query_id"], r["state"], r["id"], r["confidence"]) for r in got.collect()) == [
+        (1, "resolved", 2, 0.65), (2, "pending", None, 0.9), (3, "pending", None, 0.9), (4, "resolved", 1, 0.1), (5, "pending", None, 0.5), (6, "pending", None, 0.5), (7, "pending", None, 0.4),
+    ]
+
+
+def test_text_batches_of_a_long_document(spark):
+    from inkfathom.operators import building
+
+    rows = spark.range(30_000).selectExpr("1 AS d", "id AS n", "id % 7 AS size").unionByName(spark.createDataFrame([(2, 0, 99), (2, 1, None), (2, 2, 1)], "d int, n bigint, size bigint"))
+    got = {(r["d"], r["n"]): r["batch"] for r in building.text_batches(rows, "d", "n", "size", 5, 12).collect()}
+    batch = n = used = 0
+    for i in range(30_000):
+        if n and (n >= 5 or used + i % 7 > 12):
+            batch, n, used = batch + 1, 0, 0
+        n, used = n + 1, used + i % 7
+        assert got[1, i] == batch
+    assert [got[2, i] for i in range(3)] == [0, 1, 1]
