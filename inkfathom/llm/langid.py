@@ -3,7 +3,8 @@
 A text's hashed letter 1- to 3-grams make a TF-IDF vector of unit length. The
 document frequencies cover all labelled training rows. Each language's vectors,
 from a bounded sample of labelled rows, are clustered by spherical k-means into
-several centroids. A text takes the language of the centroid of largest cosine,
+several centroids, each language in a task of its own; the driver gets centroids
+only. A text takes the language of the centroid of largest cosine,
 and is rejected when that cosine lies far below what training texts of its
 length reach.
 
@@ -21,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import fold, map_batches
+from inkfathom.llm.common import fold, map_batches, spool
 from inkfathom.llm.ngrams import hashed, letters, new_letters
 
 BITS = 13
@@ -32,8 +33,8 @@ ORDERS = (1, 2, 3)
 #: Labelled rows of each language, in expectation, that are clustered.
 SAMPLE = 1000
 CENTROIDS = 4
-#: More languages than exist are an error, so what the driver holds is bounded.
-MOST_LANGS = 10_000
+#: More languages are an error: their centroids, ``CENTROIDS`` vectors of 64 KB each, are broadcast (128 MB at most).
+MOST_LANGS = 500
 #: Share of the lowest training cosine that a text must reach.
 REACH = 0.6
 _SCALE = 12.0
@@ -95,6 +96,14 @@ def kmeans(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
+def dense(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Rows of at and value as vectors in full."""
+    x = np.zeros((rows.num_rows, 1 << BITS), np.float32)
+    for k, (at, value) in enumerate(zip(rows["at"], rows["value"])):
+        x[k, at.values.to_numpy()] = value.values.to_numpy()
+    return x
+
+
 def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each bucket, and all documents, over all ``rows``."""
 
@@ -127,7 +136,10 @@ def train(rows: DataFrame, id_col: str, sample: int = SAMPLE, centroids: int = C
         return Model([], np.zeros(0, int), np.zeros((1 << BITS, 0)), idf, np.zeros(17))
     share = F.create_map(*(x for g in langs for x in (F.lit(g), F.lit(min(1.0, sample / sizes[g])))))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), 1 << 30) / float(1 << 30)
-    drawn = rows.where(draw < share[F.col("lang")]).limit(2 * sample * len(langs))
+    drawn = rows.select("text", "lang", draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
+    # Where one id stands for many rows more may be drawn than expected: no task clusters more than twice the sample.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= 2 * sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,36 +160,35 @@ def train(rows: DataFrame, id_col: str, sample: int = SAMPLE, centroids: int = C
                 names=["lang", "at", "value", "size"],
             )
 
-    got = map_batches(drawn.select("text", "lang"), vectors, "lang string, at array<int>, value array<float>, size bigint")
-    got = got.toArrow()
-    names, size = np.array(got["lang"].to_pylist(), object), got["size"].to_numpy()
-
-    def dense(lang: str) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors of one language's rows with letters, and their sizes."""
-        own = np.flatnonzero((names == lang) & (size > 0))
-        x = np.zeros((len(own), 1 << BITS), np.float32)
-        for row, i in enumerate(own.tolist()):
-            x[row, got["at"][i].values.to_numpy()] = got["value"][i].values.to_numpy()
-        return x, size[own]
-
-    owner, found = [], []
-    for k, g in enumerate(langs):
-        own, _ = dense(g)
-        if len(own):
-            c = kmeans(own, centroids)
-            found.append(c)
-            owner += [k] * len(c)
-    if not found:
+    found = map_batches(drawn.select("text", "lang"), vectors, "lang string, at array<int>, value array<float>, size bigint")
+    found = spool(found.where("size > 0"), "langid")
+
+    def clustered(own: pa.Table) -> pa.Table:
+        """Centroids of one language, of whose rows there are about ``sample``."""
+        c = kmeans(dense(own), centroids)
+        rows = {"lang": [own["lang"][0].as_py()] * len(c), "n": range(len(c)), "centroid": list(c)}
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), (pa.string(), pa.int32(), pa.list_(pa.float32())))})
+
+    made = found.groupBy("lang").applyInArrow(clustered, "lang string, n int, centroid array<float>").orderBy("lang", "n").toArrow()
+    if not made.num_rows:
         return Model([], np.zeros(0, int), np.zeros((1 << BITS, 0)), idf, np.zeros(17))
-    centres = np.concatenate(found)
-    lowest = np.full(18, np.inf)
-    for g in langs:
-        own, letters_in = dense(g)
-        for s, c in zip(letters_in, (own @ centres.T).max(1) if len(own) else ()):
-            lowest[_bucket(s)] = min(lowest[_bucket(s)], c)
+    centres = made["centroid"].combine_chunks().flatten().to_numpy().reshape(made.num_rows, -1)
+    place = {g: k for k, g in enumerate(langs)}
+    owner = np.array([place[g] for g in made["lang"].to_pylist()])
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = np.full(18, np.inf)
+        for b in batches:
+            if b.num_rows:
+                np.minimum.at(lowest, [_bucket(s) for s in b.column("size").to_pylist()], (dense(b) @ shared.value.T).max(1).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(range(18), pa.int32()), pa.array(lowest)], names=["size", "least"])
+
+    parts = map_batches(found, nearest, "size int, least double").groupBy("size").agg(F.min("least").alias("least"))
+    lowest = np.array([r["least"] for r in parts.orderBy("size").collect()])
     floor = np.minimum.accumulate(lowest[::-1])[::-1][:17]
     floor = np.where(np.isfinite(floor), floor, floor[np.isfinite(floor)].max()) * REACH
-    return Model(langs, np.array(owner), np.ascontiguousarray(centres.T.astype(np.float64)), idf, floor)
+    return Model(langs, owner, np.ascontiguousarray(centres.T.astype(np.float64)), idf, floor)
 
 
 def identify(

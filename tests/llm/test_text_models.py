@@ -311,3 +311,11 @@ def test_language_model_without_training_rows(spark):
     got = {r["doc_id"]: r for r in lm.score_texts(d, F.lit(False)).collect()}
     assert abs(got[1]["base_score"]) < 1e-12 and got[1]["train_tokens"] == 0 and got[2]["n_known"] == 0
     assert lm.score_texts(d.where("false"), F.lit(True)).count() == 0
+
+
+def test_hundreds_of_languages(spark):
+    """Each has letters of its own; all are clustered in tasks and told apart."""
+    rows = [(k * 10 + i, f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)} {chr(0x4E02 + 3 * k)}{chr(0x4E00 + 3 * k)}" * (i + 1), f"l{k:03d}") for k in range(300) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.identify(d, F.lit(True), keep=["lang"]).collect()
+    assert len(found) == 1200 and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in found)
