@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What a query's type is told by, in order of precedence.
-CLI = (r"\bweka\s+\w+", r"--[a-z][\w-]+", r"\s-[a-z]\b", r"\bcli\b", r"\bcommand\b", r"\brun\b.*\bcommand")
+CLI = (r"--[a-z][\w-]+", r"\s-[a-z]\b", r"\bcli\b", r"\bcommand\b", r"\brun\b.*\bcommand")
 CONFIG = (
     r"\w+\s*=\s*\w+", r"\.ya?ml\b", r"\.json\b", r"\.conf\b", r"\bconfig(ure|uration)?\b", r"\bsetting\b", r"\bparameter\b",
     r"\benvironment\s+variable",
@@ -34,7 +34,7 @@ INTENTS = {
 #: Entities named in a query.
 LINKS = (
     ("error_code", r"\b[EW]\d{3,5}\b", False),
-    ("command", r"\b(?:weka|fs|snap|nfs|smb)\s+[a-z_-]+\b", True),
+    ("command", r"\b(?:fs|snap|nfs|smb)\s+[a-z_-]+\b", True),
     ("component", r"\b(?:cluster|node|client|backend|frontend)\b", True),
 )
 
@@ -57,9 +57,11 @@ def matches(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (text.rlike(p).cast("int") for p in patterns))
 
 
-def query_type(text: Column) -> Column:
+def query_type(text: Column, tool: str | None = None) -> Column:
+    """``tool``: the documented product's own command, whose calls are told as such as well."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    typed = F.when(matches(low, CLI) >= 2, "cli").when(matches(low, CONFIG) > 0, "config")
+    calls = CLI if tool is None else (rf"\b{tool}\s+\w+", *CLI)
+    typed = F.when(matches(low, calls) >= 2, "cli").when(matches(low, CONFIG) > 0, "config")
     for name, words in PHRASES:
         typed = typed.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), name)
     return typed.otherwise("conceptual")
@@ -73,10 +75,11 @@ def intent(text: Column) -> Column:
     return reduce(lambda rest, n: F.when(scores[n] == best, n).otherwise(rest), reversed(INTENTS), F.lit(None))
 
 
-def linked(text: Column) -> dict[str, Column]:
-    """First error code, command and component that a query names, else null."""
+def linked(text: Column, tool: str | None = None) -> dict[str, Column]:
+    """First error code, command (of ``tool`` too) and component that a query names, else null."""
+    named = lambda name, pattern: pattern.replace("(?:", f"(?:{tool}|", 1) if tool and name == "command" else pattern
     return {
-        name: F.nullif(F.regexp_extract(F.lower(text) if low else text, f"({pattern})", 1), F.lit(""))
+        name: F.nullif(F.regexp_extract(F.lower(text) if low else text, f"({named(name, pattern)})", 1), F.lit(""))
         for name, pattern, low in LINKS
     }
 

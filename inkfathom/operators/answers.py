@@ -36,11 +36,15 @@ def bm25_cited(chunks: DataFrame, units: DataFrame, queries: DataFrame, kept: Co
     return top_k(rows, "query_id", [F.desc("labels"), F.desc("score"), "chunk_id"], k)
 
 
+#: Left-over mark-up, and what takes its place.
+CLEAN_UP = (
+    (r"<[^>]+>", " "), (r"\[/?CODE\]", " "), (r"\b[A-Z]{1,4}\]\s*", " "), ("####", " "), (r"DE\]", " "), (r"^[^A-Za-z0-9]+", ""), (r"\s+", " "),
+)
+
+
 def reranker_text(text: Column) -> Column:
     """Without tags and left-over mark-up, white space as single blanks."""
-    for pattern, by in (
-        (r"<[^>]+>", " "), (r"\[/?CODE\]", " "), (r"\b[A-Z]{1,4}\]\s*", " "), ("####", " "), (r"DE\]", " "), (r"^[^A-Za-z0-9]+", ""), (r"\s+", " "),
-    ):
+    for pattern, by in CLEAN_UP:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(text)
 

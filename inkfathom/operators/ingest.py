@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*$"
 FENCE = r"^\s*```"
 #: Words that begin a command line.
-STARTERS = "sudo docker kubectl curl git npm pip python bash systemctl ls cd cp mv cat grep mount umount weka aws ssh".split()
+STARTERS = "sudo docker kubectl curl git npm pip python bash systemctl ls cd cp mv cat grep mount umount aws ssh".split()
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,15 +92,15 @@ def configurations(sections: DataFrame, id_col: str, text_col: str) -> DataFrame
     return rows.groupBy("section", "name").agg(best.alias("kind"), F.max("confidence").alias("confidence"))
 
 
-def commands(sections: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """section, name, command, confidence: lines of fenced code and inline code that begin like a command."""
+def commands(sections: DataFrame, id_col: str, text_col: str, tools: tuple[str, ...] = ()) -> DataFrame:
+    """section, name, command, confidence: lines of fenced code and inline code that begin like a command, or like one of ``tools``."""
     text = F.col(text_col)
     code = F.transform(found_spans(text, r"(?s)```[a-z]*\n(.*?)```"), lambda b: F.split(b, "\n"))
     lines = F.transform(F.flatten(code), lambda x: F.struct(F.trim(x).alias("command"), F.lit(0.9).alias("confidence")))
     inline = F.transform(found_spans(text, r"(?<!`)`([^`\n]+)`(?!`)"), lambda x: F.struct(F.trim(x).alias("command"), F.lit(0.85).alias("confidence")))
     rows = sections.select(F.col(id_col).alias("section"), F.inline(F.concat(lines, inline)))
     name = F.split_part("command", F.lit(" "), F.lit(1))
-    rows = rows.withColumn("name", name).where(F.col("name").isin(*STARTERS))
+    rows = rows.withColumn("name", name).where(F.col("name").isin(*STARTERS, *tools))
     return rows.groupBy("section", "name").agg(F.max_by("command", F.struct("confidence", "command")).alias("command"), F.max("confidence").alias("confidence"))
 
 

@@ -133,3 +133,14 @@ def test_nested_tables_against_a_plain_reading():
         t = make(3)
         found = next(x for x in html.tree(say(t)).walk() if x.tag == "table")
         assert html.table_text(found) == "\n".join(lines(t))
+
+
+def test_a_product_names_its_own_command(spark):
+    from inkfathom.functions import scalars
+    from inkfathom.operators import ingest
+
+    q = spark.createDataFrame([("acme status of the command",), ("acme mount x",)], "q string")
+    got = [tuple(r) for r in q.select(scalars.query_type(F.col("q")), scalars.query_type(F.col("q"), "acme"), scalars.linked(F.col("q"))["command"], scalars.linked(F.col("q"), "acme")["command"]).collect()]
+    assert got == [("conceptual", "cli", None, "acme status"), ("conceptual", "conceptual", None, "acme mount")]
+    code = spark.createDataFrame([(1, "`acme up` and `git pull`")], "i int, t string")
+    assert {r["name"] for r in ingest.commands(code, "i", "t").collect()} == {"git"} and {r["name"] for r in ingest.commands(code, "i", "t", ("acme",)).collect()} == {"git", "acme"}
