@@ -319,3 +319,13 @@ def test_hundreds_of_languages(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     found = langid.identify(d, F.lit(True), keep=["lang"]).collect()
     assert len(found) == 1200 and all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in found)
+
+
+def test_ties_at_the_cut_of_features(monkeypatch):
+    """Of features that deviate alike the earlier buckets are kept, as by definition."""
+    monkeypatch.setattr(toxicity, "KEPT", 5)
+    rng = np.random.default_rng(4)
+    p = rng.choice([20, 40, 60], 60)
+    u = rng.choice([0, 1], 60)
+    got = toxicity.choose(p, p, u, u, 100, 1000, 0.1).tolist()
+    assert got == brute.telling(p, p, u, u, 100, 1000, 0.1) and len(got) == 5
