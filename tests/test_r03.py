@@ -40,3 +40,26 @@ def test_procedures_of_the_same_nations_are_walked_once(spark, crowded, monkeypa
                     if at >= up and mine[at - up] % 5 == 0:
                         want[c] = min(want.get(c, 9), up + 2)
         assert own(r) == want and r["step_count"] == len(want)
+
+
+@pytest.mark.parametrize("hops", [2, 3])
+def test_seeds_of_the_same_neighbours_are_walked_once(spark, monkeypatch, hops):
+    edges = [(f"s{i}", f"n{i % 2}") for i in range(40)] + [("n0", "r"), ("n1", "r"), ("s0", "n1")] + [("hub", f"h{i}") for i in range(70)] + [("h3", "s1"), ("s1", "s1")]
+    e = spark.createDataFrame([*edges, (None, "n0"), ("n0", None)], "src string, dst string")
+    names = [f"s{i}" for i in range(40)] + ["hub", "lone"]
+    kept, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.append((name, df.count())) or real(df, name))
+    got = sorted(map(tuple, graph.k_hop(e, spark.createDataFrame([(n,) for n in names], "node string"), hops, "both").collect()))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = []
+    for n in names:
+        dist, front = {n: 0}, {n}
+        for d in range(1, hops + 1):
+            front = {y for x in front for y in near.get(x, ())} - set(dist)
+            dist |= dict.fromkeys(front, d)
+        want += [(n, y, d) for y, d in dist.items()]
+    assert got == sorted(want)
+    assert sum(n for name, n in kept if name == "hops") < 500 < len(want)
