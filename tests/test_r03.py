@@ -63,3 +63,18 @@ def test_seeds_of_the_same_neighbours_are_walked_once(spark, monkeypatch, hops):
         want += [(n, y, d) for y, d in dist.items()]
     assert got == sorted(want)
     assert sum(n for name, n in kept if name == "hops") < 500 < len(want)
+
+
+def test_shortest_paths_of_lone_and_several_middles(spark, monkeypatch):
+    """Each end is told whether it has one middle alone; pairs of two ends with several keep the least path."""
+    told, real = [], graph.walks.written
+    monkeypatch.setattr(graph.walks, "written", lambda df, name: real(df, name) if name != "ends" else told.append(real(df, name)) or told[-1])
+    rows = [("a", "m1"), ("a", "m2"), ("b", "m1"), ("c", "m2"), ("c", "m1"), ("d", "m3")]
+    e = spark.createDataFrame(rows + [(y, x) for x, y in rows] + [("a", "c")], "src string, dst string")
+    ends = spark.createDataFrame([(n,) for n in "abcd"], "node string")
+    got = {(r["seed"], r["node"], r["distance"], r["path"]) for r in graph.shortest_paths(e, ends, ends, 2, "out").collect()}
+    assert got == {
+        ("a", "c", 1, "a>c"), ("a", "b", 2, "a>m1>b"), ("b", "a", 2, "b>m1>a"), ("b", "c", 2, "b>m1>c"),
+        ("c", "a", 2, "c>m1>a"), ("c", "b", 2, "c>m1>b"),
+    }
+    assert any(set(map(tuple, t.select("seed", "alone").collect())) >= {("b", True), ("c", False), ("d", True)} for t in told if "seed" in t.columns)
