@@ -80,13 +80,34 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hop
     return walks.shortest_paths(directed(edges, direction), sources, targets, hops)
 
 
+#: A chunk of so many entities at most takes them along.
+_LISTED = 32
+
+
 def shared_pairs(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
     """a < b, shared: entities that both chunks mention; entities of fewer than
-    ``least`` or more than ``most`` chunks make no pairs, which bounds a group."""
+    ``least`` or more than ``most`` chunks make no pairs, which bounds a group.
+
+    Each mention takes the entities of its chunk along: a pair is counted where it meets
+    at its least entity, and no pairs are shuffled. Only those with a chunk of more
+    than ``_LISTED`` entities are counted by a shuffle.
+    """
     sized = mentions.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
-    own = mentions.select("src", "dst").join(sized.select("dst"), "dst", "left_semi")
-    pairs = own.withColumnRenamed("src", "a").join(own.withColumnRenamed("src", "b"), "dst").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count_distinct("dst").alias("shared"))
+    own = mentions.select("src", "dst").join(sized.select("dst"), "dst", "left_semi").distinct()
+    many = own.groupBy("src").agg(F.count("*").alias("n"))
+    few = own.join(many.where(F.col("n") <= _LISTED).select("src"), "src", "left_semi")
+    lists = few.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("has"))
+    listed = lists.select("src", "has", F.explode("has").alias("dst"))
+    wide = own.join(many.where(F.col("n") > _LISTED).select("src"), "src", "left_semi")
+    rows = written(listed.unionByName(wide.withColumn("has", F.lit(None).cast(listed.schema["has"].dataType))), "mentions")
+    short, long = rows.where("has is not null"), rows.where("has is null").drop("has")
+    end = lambda df, name, has: df.select(F.col("src").alias(name), "dst", F.col("has").alias(has))
+    both = F.array_intersect("one", "other")
+    inline = end(short, "a", "one").join(end(short, "b", "other"), "dst").where("a < b").withColumn("both", both)
+    inline = inline.where(F.array_min("both") == F.col("dst")).select("a", "b", F.size("both").cast("bigint").alias("shared"))
+    two = lambda x, y: x.select(F.col("src").alias("a"), "dst").join(y.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
+    rest = two(long, rows).unionByName(two(short, long)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return inline.unionByName(rest)
 
 
 def coverage(edges: DataFrame) -> DataFrame:

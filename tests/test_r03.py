@@ -1,5 +1,7 @@
 """Work that once grew with the square of the input."""
 
+import random
+
 import pytest
 
 from inkfathom.operators import graph
@@ -78,3 +80,26 @@ def test_shortest_paths_of_lone_and_several_middles(spark, monkeypatch):
         ("c", "a", 2, "c>m1>a"), ("c", "b", 2, "c>m1>b"),
     }
     assert any(set(map(tuple, t.select("seed", "alone").collect())) >= {("b", True), ("c", False), ("d", True)} for t in told if "seed" in t.columns)
+
+
+def test_shared_pairs_are_made_where_their_least_entity_is(spark, monkeypatch):
+    """Wide chunks (of more than 32 entities) and others, entities of too many chunks left out; what is kept is no more than the mentions."""
+    rng = random.Random(5)
+    rows = {(f"c{rng.randint(0, 59)}", f"e{rng.randint(0, 99)}") for _ in range(500)}
+    rows |= {("w1", f"e{i}") for i in range(60)} | {("w2", f"e{i}") for i in range(40, 99)} | {(f"c{i}", "common") for i in range(60)}
+    kept, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.append(df.count()) or real(df, name))
+    m = spark.createDataFrame(sorted(rows), "src string, dst string")
+    got = sorted(map(tuple, graph.shared_pairs(m, 2, 50).collect()))
+    of = {}
+    for c, e in rows:
+        of.setdefault(e, set()).add(c)
+    want = {}
+    for chunks in of.values():
+        if 2 <= len(chunks) <= 50:
+            for a in chunks:
+                for b in chunks:
+                    if a < b:
+                        want[a, b] = want.get((a, b), 0) + 1
+    assert got == sorted((*p, n) for p, n in want.items())
+    assert kept and sum(kept) <= len(rows)
