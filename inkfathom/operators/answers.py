@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfathom.operators.search import bm25, top_k
+from inkfathom.operators.search import bm25_by, top_k
 
 #: How much a hit in a citation unit counts beside one in its chunk.
 CITED = 1.25
@@ -18,18 +18,17 @@ def bm25_cited(chunks: DataFrame, units: DataFrame, queries: DataFrame, kept: Co
     """query_id, chunk_id, score, labels, rank: BM25 over chunks and citation units as one corpus.
 
     ``chunks``: chunk_id, text and what ``kept`` reads; ``units``: chunk_id (whose
-    they are), ord, heading, text. A chunk with a unit that is hit has its best
-    unit's score times CITED, else its own; more hit labels come first.
+    they are), ord, heading, text and what ``kept`` reads. A chunk with a unit that is hit has its
+    best unit's score times CITED, else its own; more hit labels come first. All is counted
+    in the corpus, only what is kept is scored, and a chunk's units where the chunk is.
     """
-    own = chunks.select(F.struct(F.col("chunk_id"), F.lit(-1).alias("ord"), F.lit("").alias("heading")).alias("id"), "text")
-    cited = units.select(F.struct("chunk_id", F.col("ord").cast("int").alias("ord"), "heading").alias("id"), "text")
-    hits = bm25(own.unionByName(cited), queries).select("query_id", "id.*", "score")
-    if kept is not None:
-        hits = hits.join(chunks.where(kept).select("chunk_id"), "chunk_id", "left_semi")
+    is_kept = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
+    own = chunks.select("chunk_id", F.lit(-1).alias("ord"), F.lit("").alias("heading"), "text", is_kept.alias("kept"))
+    cited = units.select("chunk_id", F.col("ord").cast("int").alias("ord"), "heading", "text", is_kept.alias("kept"))
+    hits = bm25_by(own.unionByName(cited), ["chunk_id", "ord", "heading"], queries, F.col("kept"))
     unit = F.col("ord") >= 0
     best = hits.groupBy("query_id", "chunk_id").agg(
-        F.max(F.when(unit, F.col("score"))).alias("cited"), F.max(F.when(~unit, F.col("score"))).alias("own"),
-        F.count_distinct(F.when(unit, F.struct("ord", "heading"))).alias("labels"),
+        F.max(F.when(unit, F.col("score"))).alias("cited"), F.max(F.when(~unit, F.col("score"))).alias("own"), F.count_if(unit).alias("labels")
     )
     score = F.when(F.col("cited") > 0, F.col("cited") * CITED).otherwise(F.coalesce("own", F.lit(0.0)))
     rows = best.select("query_id", "chunk_id", "labels", F.round(score, 6).alias("score"))
