@@ -7,14 +7,16 @@ in order over each document's own sections.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from inkfathom.operators.ordered import by_group
+
 #: Least tokens of a chunk, tokens it grows to, tokens it never exceeds, sections it may have.
 LEAST, TARGET, HARD, SECTIONS = 900, 1300, 7900, 12
 OVERLAP = 200
@@ -24,7 +26,6 @@ _OUT = (
     "document_id {id}, chunk_id string, ord bigint, level bigint, heading string, text string, token_count bigint, "
     "section_ids array<string>, is_combined boolean, is_split boolean"
 )
-_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def count(text: str) -> int:
@@ -119,15 +120,14 @@ def balance(chunks: list[dict], least: int, hard: int) -> list[dict]:
 def _by_document(sections: DataFrame, assemble: Callable[[list[dict], object], list[dict]]) -> DataFrame:
     kind = sections.schema["document_id"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "section_id"])
-        rows["text"], rows["heading"] = rows["text"].fillna(""), rows["heading"].fillna("")
-        own = rows.to_dict("records")
-        done = sorted(assemble(own, own[0]["document_id"]), key=lambda c: (c["ord"], c["chunk_id"]))
-        return pd.DataFrame([[c[k] for k in _COLUMNS] for c in done], columns=_COLUMNS)
+    def run(own: list[dict]) -> list[dict]:
+        for s in own:
+            s["text"], s["heading"] = s["text"] or "", s["heading"] or ""
+            s["ord"], s["level"] = (math.nan if s[c] is None else s[c] for c in ("ord", "level"))
+        return sorted(assemble(own, own[0]["document_id"]), key=lambda c: (c["ord"], c["chunk_id"]))
 
     need = sections.select("document_id", "section_id", "ord", "level", "heading", "text")
-    return need.groupBy("document_id").applyInPandas(run, _OUT.format(id=kind))
+    return by_group(need, "document_id", ["ord", "section_id"], run, _OUT.format(id=kind))
 
 
 def greedy_chunks(sections: DataFrame, least: int = LEAST, target: int = TARGET, hard: int = HARD, most: int = SECTIONS, breaks: str = BREAKS, overlap: int = OVERLAP) -> DataFrame:
