@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfathom.operators.ordered import by_group
+
 
 def personalised_rank(seed: np.ndarray, weight: np.ndarray, damping: float = 0.85, steps: int = 20, stop: float = 1e-4) -> np.ndarray:
     """Restart at ``seed``; rows of the symmetrised weights sum to one, an isolated node restarts."""
@@ -32,21 +33,22 @@ def diffuse(candidates: DataFrame, edges: DataFrame, blend: float = 0.3) -> Data
     query_id, a, b, weight among them.
     """
 
-    def one(key: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(c):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        c = c.sort_values("id", ignore_index=True)
-        at = {x: i for i, x in enumerate(c["id"])}
+    def one(rows: list[dict]) -> list[dict]:
+        c = [r for r in rows if r["kind"] == 0]
+        if not c:
+            return []
+        at = {r["id"]: i for i, r in enumerate(c)}
         w = np.zeros((len(c), len(c)))
-        for a, b, x in zip(e["a"], e["b"], e["weight"]):
-            if a in at and b in at:
-                w[at[a], at[b]] += x
-        r = personalised_rank(np.maximum(c["score"].to_numpy(float), 0), w)
+        for r in rows[len(c) :]:
+            if r["id"] in at and r["other"] in at:
+                w[at[r["id"]], at[r["other"]]] += np.nan if r["score"] is None else r["score"]
+        score = np.array([r["score"] for r in c], float)
+        r = personalised_rank(np.maximum(score, 0), w)
         scaled = r / r.max() if r.max() > 0 else r
-        return pd.DataFrame({"query_id": key[0], "id": c["id"], "score": (1 - blend) * c["score"] + blend * scaled})
+        return [x | {"score": y} for x, y in zip(c, ((1 - blend) * score + blend * scaled).tolist())]
 
-    edges = edges.select(*(F.col(c).alias(c) for c in ("query_id", "a", "b", "weight")))  # own columns, should both stem from one table
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("query_id").cogroup(edges.groupBy("query_id")).applyInPandas(
-        one, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
-    )
+    end = F.lit(None).cast(kinds["id"]).alias("other")
+    nodes = candidates.select("query_id", F.lit(0).alias("kind"), "id", end, F.col("score").cast("double").alias("score"))
+    links = edges.select("query_id", F.lit(1).alias("kind"), F.col("a").alias("id"), F.col("b").alias("other"), F.col("weight").cast("double").alias("score"))
+    return by_group(nodes.unionByName(links), "query_id", ["kind", "id", "other"], one, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
