@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfathom.operators.ordered import by_group
 from inkfathom.operators.search import term_counts, terms, top_k
 
 
@@ -232,18 +232,18 @@ def text_batches(rows: DataFrame, group: str, order: str, size: str, most: int,
     characters to a batch. One pass over a group's own sizes, as a batch's end decides the next."""
     kind = {c: rows.schema[c].dataType.simpleString() for c in (group, order)}
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([order, size], ignore_index=True)
-        batch, n, used, found = 0, 0, 0, []
-        for x in own[size].tolist():
+    def run(own: list[dict]) -> list[dict]:
+        batch, n, used = 0, 0, 0
+        for r in own:
+            x = r[size]
             if n and (n >= most or used + x > chars):
                 batch, n, used = batch + 1, 0, 0
             n, used = n + 1, used + x
-            found.append(batch)
-        return own[[group, order]].assign(batch=found)
+            r["batch"] = batch
+        return own
 
     sized = rows.select(group, order, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias(size))
-    return sized.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {order} {kind[order]}, batch int")
+    return by_group(sized, group, [order, size], run, f"{group} {kind[group]}, {order} {kind[order]}, batch int")
 
 
 def hash_bundle(rows: DataFrame, keys: list[str], text_col: str, size: int = 16) -> DataFrame:
