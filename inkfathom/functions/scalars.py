@@ -180,10 +180,11 @@ def chunk_id(document: Column, sections: Column) -> Column:
 def shingle_hash(text: Column, n: int = 8, most: int = 64) -> Column:
     """Hash of the first word shingles, a text of fewer words being one shingle."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    count = F.greatest(F.lit(1), F.size(words) - n + 1)
-    upto = F.least(F.lit(most), count)
-    shingles = F.transform(F.sequence(F.lit(1), upto), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.sha2(F.array_join(shingles, "||"), 256)
+    shingle = lambda w, i: F.array_join(F.slice(w, i, n), " ")
+    upto = lambda w: F.least(F.lit(most), F.greatest(F.lit(1), F.size(w) - n + 1))
+    joined = lambda w: F.array_join(F.transform(F.sequence(F.lit(1), upto(w)), lambda i: shingle(w, i)), "||")
+    # The words are a lambda's argument: named within a lambda, they were cut anew for each shingle.
+    return F.sha2(F.get(F.transform(F.array(words), joined), F.lit(0)), 256)
 
 
 def path_prefix(path: Column, depth: int) -> Column:
