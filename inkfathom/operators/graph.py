@@ -110,6 +110,15 @@ def shared_pairs(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFra
     return inline.unionByName(rest)
 
 
+#: Rows to a task of what is counted by key.
+PART = 500_000
+
+
+def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows dealt by the key, for ``n`` rows to be counted: what a task holds does not grow with the table, and groups of the key are not shuffled again."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PART)), key)
+
+
 def coverage(edges: DataFrame) -> DataFrame:
     """src, targets, distinct: out-edges and distinct ends."""
     return edges.groupBy("src").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))

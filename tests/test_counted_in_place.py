@@ -20,3 +20,7 @@ def test_prefetch_scores_texts_in_place(spark, monkeypatch):
 
     monkeypatch.setattr(impacts, "best_bm25", never)
     assert sparse.prefetch_fusion(spark, SF).count() > 0
+
+
+def test_dependency_v2(spark):
+    assert not [k for k in keys(graph.template_dependency_v2(spark, SF)) if len(k) > 1]
