@@ -120,8 +120,9 @@ def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def coverage(edges: DataFrame) -> DataFrame:
-    """src, targets, distinct: out-edges and distinct ends."""
-    return edges.groupBy("src").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
+    """src, edges, targets: out-edges and distinct ends."""
+    each = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return each.groupBy("src").agg(F.sum("n").alias("edges"), F.count("dst").alias("targets"))
 
 
 def nearest_before(rows: DataFrame, parents: DataFrame, group: str, order: str, parent_id: str) -> DataFrame:

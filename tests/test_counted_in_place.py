@@ -35,3 +35,7 @@ def test_related_documents(spark, monkeypatch):
 
 def test_dependency_v1(spark):
     assert not [k for k in keys(graph.template_dependency_v1(spark, SF)) if len(k) > 1]
+
+
+def test_coverage_deals_lines_once(spark):
+    assert keys(graph.coverage_counts(spark, SF)) == [["chunk"]]
