@@ -44,9 +44,14 @@ def entity_anchored_channel(spark: SparkSession, sf: str) -> DataFrame:
     words = e.select(F.explode(F.split("name", " ")).alias("token"), "id").distinct()
     asked = e.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("word")).distinct()
     tokens = building.containing(words.select(F.col("token").alias("text")).distinct(), asked.select(F.col("word").alias("part"))).select(F.col("part").alias("word"), F.col("text").alias("token"))
-    hits = tokens.join(words, "token").select("word", "id").distinct()
-    m = mentions(spark, sf).select(F.col("src").alias("chunk_id"), F.col("dst").alias("id"))
-    g = hits.join(m, "id").groupBy("word", "chunk_id").agg(F.count_distinct("id").alias("matched"))
+    hits = tokens.join(words, "token").groupBy("id").agg(F.collect_set("word").alias("words"))
+    # An entity takes its words along to each chunk, and chunks are counted where they are.
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("part"))
+    n = lines.count()
+    m = graph.dealt(lines, "part", n).distinct().withColumn("id", F.concat(F.lit("p"), F.col("part").cast("string")))
+    met = graph.dealt(m.join(hits, "id").select("chunk", "words"), "chunk", 3 * n).select("chunk", F.explode("words").alias("word"))
+    counted = met.groupBy("word", "chunk").agg(F.count("*").alias("matched"))
+    g = counted.select("word", F.concat(F.lit("o"), F.col("chunk").cast("string")).alias("chunk_id"), "matched")
     return g.withColumn("score", F.round(fusion.saturating(F.col("matched"), 3.0), 6))
 
 

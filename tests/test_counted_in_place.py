@@ -39,3 +39,7 @@ def test_dependency_v1(spark):
 
 def test_coverage_deals_lines_once(spark):
     assert keys(graph.coverage_counts(spark, SF)) == [["chunk"]]
+
+
+def test_entity_channel_counts_by_chunk(spark):
+    assert not [k for k in keys(extras.entity_anchored_channel(spark, SF)) if "chunk" in k[1:] or "chunk_id" in k[1:]]
