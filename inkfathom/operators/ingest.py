@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*$"
 FENCE = r"^\s*```"
@@ -201,6 +203,10 @@ def collapse_small(chunks: DataFrame, limit: int) -> DataFrame:
     return small.unionByName(rest)
 
 
+#: Pages whose sections are given at once.
+_PAGES = 50
+
+
 def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page, n, level, title, text: headings begin sections; navigation, headers,
     footers, scripts and styles are skipped; a page without headings is one."""
@@ -208,11 +214,15 @@ def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     id_type = pages.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"page {id_type}, n int, level int, title string, text string"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(page, *s) for page, html in zip(b["page"], b["html"]) for s in sections_of(html or "")]
-            yield pd.DataFrame(rows, columns=["page", "n", "level", "title", "text"])
+            for at in range(0, b.num_rows, _PAGES):  # so many pages are held as Python's own values, not a whole batch
+                part = b.slice(at, _PAGES)
+                rows = [(page, *s) for page, html in zip(part.column(0).to_pylist(), part.column(1)) for s in sections_of(html.as_py() or "")]
+                columns = zip(*rows) if rows else [[]] * len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, out)], schema=out)
 
-    return pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html")).mapInPandas(
-        run, f"page {id_type}, n int, level int, title string, text string"
-    )
+    return pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html")).mapInArrow(run, schema)

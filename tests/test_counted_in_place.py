@@ -43,3 +43,11 @@ def test_coverage_deals_lines_once(spark):
 
 def test_entity_channel_counts_by_chunk(spark):
     assert not [k for k in keys(extras.entity_anchored_channel(spark, SF)) if "chunk" in k[1:] or "chunk_id" in k[1:]]
+
+
+def test_html_sections_hold_few_pages(spark):
+    found = ingest.html_sections(spark, SF)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(130).selectExpr("id AS page_id", "if(id % 9 = 0, null, concat('<h1>t', id, '</h1><p>some words of text</p>')) AS html").coalesce(1)
+    rows = ingest.ingest.html_sections(many).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, 0, 1, f"t{i}", "some words of text") for i in range(130) if i % 9]
