@@ -160,21 +160,30 @@ def token_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overla
     return rows.select("id", "n", F.array_join(part, " ").alias("text"), F.size(part).cast("bigint").alias("tokens"))
 
 
+#: First words of names that are looked up before runs are made of the words.
+_HEADS = 2000
+
+
 def longest_entities(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most: int = 5) -> DataFrame:
     """id, place, entity: names found in each text's lower-case words, from left to
     right, at each word the longest of at most ``most`` words; a match's words
     are not looked at again.
 
-    All runs of words meet the names by an equi-join; what is taken depends on
+    Runs of words meet the names by an equi-join: those that begin with a name's first
+    word, or all if names have more than ``_HEADS`` first words. What is taken depends on
     the matches before it, hence a fold over each text's own matches.
     """
     words = F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\s+", " "))), " ")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("w"))
     run = lambda at, n: F.struct(at.alias("place"), n.alias("n"), F.array_join(F.slice("w", at, n), " ").alias("entity"))
     sizes = lambda at: F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - at + 1))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda at: F.transform(sizes(at), lambda n: run(at, n))))
-    runs = rows.select("row", "id", F.inline(every))
     known = names.select(F.lower(F.trim(F.regexp_replace(name_col, r"\s+", " "))).alias("entity")).where("entity <> ''").distinct()
+    heads = [r["head"] for r in known.select(F.split_part("entity", F.lit(" "), F.lit(1)).alias("head")).distinct().limit(_HEADS + 1).collect()]
+    places = F.sequence(F.lit(1), F.size("w"))
+    if len(heads) <= _HEADS:
+        places = F.filter(places, lambda at: F.element_at("w", at).isin(heads))
+    every = F.flatten(F.transform(places, lambda at: F.transform(sizes(at), lambda n: run(at, n))))
+    runs = rows.select("row", "id", F.inline(every))
     hits = runs.join(known, "entity")
     best = hits.groupBy("row", "id", "place").agg(F.max(F.struct("n", "entity")).alias("m"))
     listed = best.groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("place", "m.n", "m.entity"))).alias("l"))
