@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +25,7 @@ _ORDER = {"create": 0, "query": 1, "answer": 2}
 
 META = "user_id string, started bigint, expires bigint, last bigint, queries int"
 OUT = "session_id string, event string, at timestamp, turn int, text string, asked string, citations string, started timestamp, expires timestamp, total_queries int"
+_ROW = Row(*(f.split()[0] for f in OUT.split(", ")))
 
 
 class Sessions(StatefulProcessor):
@@ -38,59 +38,63 @@ class Sessions(StatefulProcessor):
         self.asked = handle.getListState("asked", "turn int, text string, at bigint")
         self.answers = handle.getMapState("answers", "turn int", "text string, citations string, at bigint")
 
-    def _row(self, key: str, event: str, at: int, meta: tuple, turn: int | None = None, text: str | None = None, asked: str | None = None, citations: str | None = None) -> tuple:
-        stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-        return (key, event, stamp(at), turn, text, asked, citations, stamp(meta[1]), stamp(meta[2]), meta[4])
+    def _row(self, key: str, event: str, at: int, meta: tuple, turn: int | None = None, text: str | None = None, asked: str | None = None, citations: str | None = None) -> Row:
+        return _ROW(key, event, at, turn, text, asked, citations, meta[1], meta[2], meta[4])
 
-    def _end(self, key: str, meta: tuple) -> tuple:
+    def _clear(self) -> None:
         self.meta.clear()
         self.asked.clear()
         self.answers.clear()
-        return self._row(key, "expired", meta[2], meta)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        events["__ms"] = (events["ts"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
-        events["__order"] = events["kind"].map(_ORDER).fillna(3)
-        out: list[tuple] = []
-        meta = self.meta.get() if self.meta.exists() else None
-        session = key[0]
-        for e in events.sort_values(["__ms", "__order", "text"]).itertuples(index=False):
-            at = int(e[events.columns.get_loc("__ms")])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """State is read once and written once a call: each access is a round trip to the JVM."""
+        events = sorted(rows, key=lambda e: (e.ms, _ORDER.get(e.kind, 3), e.text is None, e.text or ""))
+        before = meta = self.meta.get()
+        session, said, asked, answers = key[0], None, [], {}
+        known = False  # whether ``said`` is the last query's text
+        for e in events:
+            at = e.ms
             if meta is not None and at >= meta[2]:
-                self.handle.deleteTimer(meta[2])
-                out.append(self._end(session, meta))
-                meta = None
+                yield self._row(session, "expired", meta[2], meta)
+                if before is not None:
+                    self.handle.deleteTimer(before[2])
+                    self._clear()
+                    before = None
+                meta, asked, answers = None, [], {}
             new = meta is None
             if new:
-                meta = (e.user_id, at, at + self.ttl_ms, at, 0)
-                self.handle.registerTimer(meta[2])
+                meta, known = (e.user_id, at, at + self.ttl_ms, at, 0), True
+                said = None
             user, started, expires, last, queries = meta
             meta = (user if user is not None else e.user_id, started, expires, max(last, at), queries + (e.kind == "query"))
             if e.kind == "query":
-                self.asked.appendValue((meta[4], e.text, at))
-                out.append(self._row(session, "query", at, meta, meta[4], e.text))
+                said, known = e.text, True
+                asked.append((meta[4], e.text, at))
+                yield self._row(session, "query", at, meta, meta[4], e.text)
             elif e.kind == "answer":
                 turn = meta[4]
-                said = next((q[1] for q in self.asked.get() if q[0] == turn), None) if turn else None
-                cited = ",".join(f"{rank}:{s}" for rank, s in enumerate(e.sections if e.sections is not None else [], 1))
-                self.answers.updateValue((turn,), (e.text, cited, at))
-                out.append(self._row(session, "answer", at, meta, turn, e.text, said, cited))
+                if not known:
+                    said, known = next((q[1] for q in self.asked.get() if q[0] == turn), None) if turn else None, True
+                cited = ",".join(f"{rank}:{s}" for rank, s in enumerate(e.sections or [], 1))
+                answers[turn] = (e.text, cited, at)
+                yield self._row(session, "answer", at, meta, turn, e.text, said, cited)
             else:
-                out.append(self._row(session, "created" if new else "ensured", at, meta))
-            self.meta.update(meta)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        meta = self.meta.get() if self.meta.exists() else None
-        due = meta is not None and meta[2] <= expiredTimerInfo.getExpiryTimeInMs()
-        yield self._frame([self._end(key[0], meta)] if due else [])
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [f.split()[0] for f in OUT.split(", ")]
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.astype({"turn": "Int32", "total_queries": "Int32"}) if rows else frame
+                yield self._row(session, "created" if new else "ensured", at, meta)
+        if meta is None:
+            return
+        if before is None:
+            self.handle.registerTimer(meta[2])
+        self.meta.update(meta)
+        if asked:
+            self.asked.appendList(asked)
+        for turn, answer in answers.items():
+            self.answers.updateValue((turn,), answer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        meta = self.meta.get()
+        if meta is not None and meta[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self._clear()
+            yield self._row(key[0], "expired", meta[2], meta)
 
     def close(self) -> None:
         pass
@@ -103,10 +107,11 @@ def tracked(events: DataFrame, ttl_days: float = TTL_DAYS, delay: str = "1 hour"
     an answer: what it cites, in order). A batch table or a stream. An answer is to the
     last query before it; one before any query has turn 0.
     """
-    e = events.where("session_id is not null and ts is not null").withWatermark("ts", delay)
-    return e.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=Sessions(int(ttl_days * _DAY_MS)), outputStructType=OUT, outputMode="append", timeMode="eventTime"
+    e = events.where("session_id is not null and ts is not null").withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    made = e.groupBy("session_id").transformWithState(
+        statefulProcessor=Sessions(int(ttl_days * _DAY_MS)), outputStructType=OUT.replace("timestamp", "bigint"), outputMode="append", timeMode="eventTime"
     )
+    return made.withColumns({c: F.timestamp_millis(c) for c in ("at", "started", "expires")})
 
 
 def conversation_events(turns: DataFrame, days: int) -> DataFrame:
