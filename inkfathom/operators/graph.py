@@ -83,16 +83,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, hop
 #: A chunk of so many entities at most takes them along.
 _LISTED = 32
 
+#: Chunks of an entity that meet in one place.
+_CELL = 1000
 
-def shared_pairs(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
+
+def _ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (dst, src, ...) as the first and as the second end of a pair, with ``cell``: each two of a dst meet in one cell.
+
+    A dst of more than ``_CELL`` rows is cut into parts, and each two of its parts meet in a
+    cell of their own: no task holds all of its rows, and what is shuffled
+    beyond the rows themselves is a small share of the pairs.
+    """
+    many = written(rows.groupBy("dst").agg(F.ceil(F.count("*") / _CELL).alias("of")).where("of > 1"), "crowded")
+    if many.isEmpty():
+        here = rows.withColumn("cell", F.lit(0).cast("bigint"))
+        return here, here
+    cut = rows.join(many, "dst", "left").withColumn("of", F.coalesce("of", F.lit(1).cast("bigint"))).withColumn("part", F.pmod(F.xxhash64("src"), F.col("of")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1))
+    met = cut.withColumn("other", every)
+    first = met.withColumn("cell", F.col("part") * F.col("of") + F.col("other"))
+    second = met.withColumn("cell", F.col("other") * F.col("of") + F.col("part"))
+    return first.drop("of", "part", "other"), second.drop("of", "part", "other")
+
+
+def shared_pairs(mentions: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
     """a < b, shared: entities that both chunks mention; entities of fewer than
-    ``least`` or more than ``most`` chunks make no pairs, which bounds a group.
+    ``least`` or, if it is given, more than ``most`` chunks make no pairs.
 
     Each mention takes the entities of its chunk along: a pair is counted where it meets
     at its least entity, and no pairs are shuffled. Only those with a chunk of more
-    than ``_LISTED`` entities are counted by a shuffle.
+    than ``_LISTED`` entities are counted by a shuffle. Mentions meet by sorted
+    shuffles: a file's size does not tell how large its lists are in memory.
     """
-    sized = mentions.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+    held = F.col("n") >= least if most is None else F.col("n").between(least, most)
+    sized = mentions.groupBy("dst").agg(F.count("*").alias("n")).where(held)
     own = mentions.select("src", "dst").join(sized.select("dst"), "dst", "left_semi").distinct()
     many = own.groupBy("src").agg(F.count("*").alias("n"))
     few = own.join(many.where(F.col("n") <= _LISTED).select("src"), "src", "left_semi")
@@ -100,14 +124,16 @@ def shared_pairs(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFra
     listed = lists.select("src", "has", F.explode("has").alias("dst"))
     wide = own.join(many.where(F.col("n") > _LISTED).select("src"), "src", "left_semi")
     rows = written(listed.unionByName(wide.withColumn("has", F.lit(None).cast(listed.schema["has"].dataType))), "mentions")
-    short, long = rows.where("has is not null"), rows.where("has is null").drop("has")
-    end = lambda df, name, has: df.select(F.col("src").alias(name), "dst", F.col("has").alias(has))
+    first, second = _ends(rows)
+    a = first.select(F.col("src").alias("a"), "dst", "cell", F.col("has").alias("one"))
+    b = second.select(F.col("src").alias("b"), "dst", "cell", F.col("has").alias("other"))
+    two = lambda x, y: x.join(y.hint("merge"), ["dst", "cell"]).where("a < b")
     both = F.array_intersect("one", "other")
-    inline = end(short, "a", "one").join(end(short, "b", "other"), "dst").where("a < b").withColumn("both", both)
+    inline = two(a.where("one is not null"), b.where("other is not null")).withColumn("both", both)
     inline = inline.where(F.array_min("both") == F.col("dst")).select("a", "b", F.size("both").cast("bigint").alias("shared"))
-    two = lambda x, y: x.select(F.col("src").alias("a"), "dst").join(y.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
-    rest = two(long, rows).unionByName(two(short, long)).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return inline.unionByName(rest)
+    long_a, short_a = (a.where(f"one is {has}").drop("one") for has in ("null", "not null"))
+    rest = two(long_a, b.drop("other")).unionByName(two(short_a, b.where("other is null").drop("other")))
+    return inline.unionByName(rest.groupBy("a", "b").agg(F.count("*").alias("shared")))
 
 
 #: Rows to a task of what is counted by key.
