@@ -1,6 +1,6 @@
 """Whole results where groups are large, and plans that the driver can hold."""
 
-from inkfathom.operators import graph
+from inkfathom.operators import graph, search, subsets
 from inkfathom.plans import graph as plans
 from inkfathom.registry import ORACLES
 
@@ -33,3 +33,17 @@ def test_shared_entity_pairs_leaves_no_entity_out(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert plans.shared_entity_pairs(spark, str(tmp_path)).count() == 60 * 59 // 2
     assert "50" not in ORACLES["shared_entity_pairs"]
+
+
+def test_short_lists_are_not_broadcast(spark, monkeypatch):
+    """By the sizes of their files lists look small, so Spark would send them to the driver."""
+    plans_of, real = [], search.written
+    said = lambda df: plans_of.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (search, subsets):
+        monkeypatch.setattr(module, "written", lambda df, name: said(df) or real(df, name))
+    rows = [(i, t, 1.0, i) for i in range(300) for t in ("often", f"w{i % 7}", f"v{i}")]
+    p = spark.createDataFrame(rows, "id bigint, term string, weight double, grp bigint")
+    got = subsets.best_sparse(p, p.withColumnRenamed("id", "query_id"), 5, alone=True)
+    said(got)
+    assert got.count() >= 300 * 5
+    assert "SortMergeJoin" in plans_of[-1] and not [x for x in plans_of if "BroadcastExchange" in x]
