@@ -47,3 +47,15 @@ def test_short_lists_are_not_broadcast(spark, monkeypatch):
     said(got)
     assert got.count() >= 300 * 5
     assert "SortMergeJoin" in plans_of[-1] and not [x for x in plans_of if "BroadcastExchange" in x]
+
+
+def test_hops_are_not_broadcast(spark, monkeypatch):
+    """Seeds, hops and edges grow with the tables, and seeds meet what they reach in many parts."""
+    said, real = [], graph.written
+    plan = lambda df: said.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "written", lambda df, name: plan(df) or real(df, name))
+    edges = spark.range(200).selectExpr("concat('n', id % 5) AS src", "concat('s', id) AS dst")
+    found = graph.k_hop(edges, edges.selectExpr("dst AS node"), 2, "both")
+    plan(found)
+    assert found.count() == 200 * (1 + 1 + 39)
+    assert "SortMergeJoin" in said[-1] and not [x for x in said if "BroadcastExchange" in x]
