@@ -1,7 +1,14 @@
 """Whole results where groups are large, and plans that the driver can hold."""
 
+import random
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from inkfathom.operators import graph, search, subsets
 from inkfathom.plans import graph as plans
+from inkfathom.plans import sparse
 from inkfathom.registry import ORACLES
 
 
@@ -59,3 +66,47 @@ def test_hops_are_not_broadcast(spark, monkeypatch):
     plan(found)
     assert found.count() == 200 * (1 + 1 + 39)
     assert "SortMergeJoin" in said[-1] and not [x for x in said if "BroadcastExchange" in x]
+
+
+def test_what_queries_find_is_given_some_queries_at_a_time(spark, monkeypatch):
+    """A task holds a block of rows and the results of few queries, however many queries there are."""
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(90, 6)), 3)
+    d = spark.createDataFrame([(i, v[i % 80].tolist(), i % 3) for i in range(90)], "id bigint, vector array<float>, grp int")
+    q = d.withColumnRenamed("id", "query_id")
+    fields = {"a": slice(None), "b": slice(0, 3)}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(search.knn_fields(d, q, 4, fields, unlike=True))
+    assert len(want) == 90 * 2 * 4
+    monkeypatch.setattr(search, "_AT_ONCE", 7)
+    assert rows(search.knn_fields(d, q, 4, fields, unlike=True, block=20)) == want
+    local = pd.DataFrame({"id": range(90), "vector": [v[i % 80] for i in range(90)], "grp": 0})
+    asked = local.rename(columns={"id": "query_id", "vector": "asked", "grp": "own"})
+    parts = list(search._nearest(search._units(local, fields), asked, 4, fields, None, False))
+    assert max(map(len, parts)) == 7 * 2 * 4 and sum(map(len, parts)) == 90 * 2 * 4
+    plan = search.knn_fields(d, q, 4, fields)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInPandas" in plan
+
+
+def test_best_texts_are_those_of_all_scores(spark, monkeypatch):
+    """With ties, texts without words, words asked for that no text has, and more blocks than texts to some."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(25)], [1 / (i + 1) for i in range(25)], k=n))
+    docs = [(i, text(rng.randint(1, 9))) for i in range(120)] + [(200 + i, "w0 w1") for i in range(30)] + [(300, ""), (301, None), (302, "\n ")]
+    asked = [(i, text(4)) for i in range(40)] + [(50, "nowhere"), (51, "nowhere w3 w3"), (52, "w0"), (53, None), (54, "")]
+    d, q = spark.createDataFrame(docs, "id bigint, text string"), spark.createDataFrame(asked, "query_id bigint, text string")
+    scores = search.bm25(d, q).withColumn("score", F.round("score", 6))
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    want = rows(search.top_k(scores, "query_id", [F.desc("score"), "id"], 8))
+    assert len(want) > 300
+    for texts in (8000, 10):
+        monkeypatch.setattr(search, "_TEXTS", texts)
+        assert rows(search.bm25_best(d, q, 8)) == want
+
+
+def test_prefetch_ranks_no_pairs(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("all pairs of queries and texts go into a shuffle")
+
+    monkeypatch.setattr(search, "bm25", never)
+    assert sparse.prefetch_fusion(spark, "/root/testdata/sf0.001").count() > 0
